@@ -8,11 +8,13 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chainevents.functions.keccak import checksum_addresses, keccak256_many
 
 _ARRAY = re.compile(r"^(.+)\[(\d*)\]$", re.S)
 _NUMBER = re.compile(r"^(uint|int|bytes)(\d+)$")
+_DECODED = T.StructType().add("values", T.ArrayType(T.StringType())).add("error", T.StringType())
 _OVERRUN = "ABI decode error: buffer overrun while deserializing"
 
 
@@ -137,7 +139,7 @@ def _plain(value, names: dict):
     return [_plain(v, names) for v in value] if isinstance(value, list) else value
 
 
-@F.pandas_udf("struct<values:array<string>,error:string>")
+@F.pandas_udf(_DECODED)
 def decode_data(layout: pd.Series, data: pd.Series) -> pd.DataFrame:
     """JSON text of every non-indexed field, by the JSON list of types in ``layout``."""
     decoded, errors, found = [], [], set()
@@ -161,7 +163,7 @@ def decode_data(layout: pd.Series, data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"values": texts, "error": errors})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def layout_error(layout: pd.Series) -> pd.Series:
     """Why a list of non-indexed types cannot be decoded, or NULL."""
 
@@ -175,7 +177,7 @@ def layout_error(layout: pd.Series) -> pd.Series:
     return layout.map(check)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_types(inputs: pd.Series) -> pd.Series:
     """Comma-joined canonical types of a JSON list of {type, components}."""
 
@@ -185,19 +187,19 @@ def canonical_types(inputs: pd.Series) -> pd.Series:
     return inputs.map(join, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def keccak_text(text: pd.Series) -> pd.Series:
     """``0x`` Keccak-256 of UTF-8 text."""
     return pd.Series(["0x" + d.hex() for d in keccak256_many([t.encode() for t in text])])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def keccak_hex(values: pd.Series) -> pd.Series:
     """Unprefixed Keccak-256 hex of binary values."""
     return pd.Series([d.hex() for d in keccak256_many([bytes(v) for v in values])])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def checksum_address(raw: pd.Series) -> pd.Series:
     """Mixed-case text of 20-byte addresses; used on registry-sized tables only."""
     return pd.Series(checksum_addresses([bytes(v) for v in raw]))

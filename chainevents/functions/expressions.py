@@ -26,19 +26,31 @@ def prefixed_hex(raw: Column | str) -> Column:
     return F.concat(F.lit("0x"), hex_text(raw))
 
 
+def is_hex_bytes(text: Column | str) -> Column:
+    """True for an even number of hex digits, with or without ``0x``."""
+    text = _col(text)
+    return (F.length(text) % 2 == 0) & text.rlike("^(0x)?[0-9a-fA-F]*$")
+
+
 def bytes_or_null(text: Column | str) -> Column:
     """Hex text, with or without ``0x``, to binary; malformed text gives NULL."""
-    body = F.regexp_replace(_col(text), "^0x", "")
-    even = (F.length(body) % 2 == 0) & body.rlike("^[0-9a-fA-F]*$")
-    return F.when(even, F.unhex(body))
+    return F.when(is_hex_bytes(text), F.unhex(F.regexp_replace(_col(text), "^0x", "")))
+
+
+def _parsed_topics(text: Column) -> Column:
+    kind = F.schema_of_variant(F.try_parse_json(text))
+    parsed = F.from_json(text, "array<string>")
+    return F.when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(parsed, lambda t: t.isNotNull()), parsed)
 
 
 def topics_array(text: Column | str) -> Column:
-    """Topics text to an array; NULL unless it is a JSON array of strings."""
-    kind = F.schema_of_variant(F.try_parse_json(_col(text)))
-    parsed = F.from_json(_col(text), "array<string>")
-    strings_only = kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(parsed, lambda t: t.isNotNull())
-    return F.when(strings_only, parsed)
+    """Topics text to an array; NULL unless it is a JSON array of strings.
+
+    Text in the stored form is split directly; anything else goes through the JSON parser.
+    """
+    text = _col(text)
+    plain = text.rlike('^\\["[0-9a-zA-Z]*"(,"[0-9a-zA-Z]*"){0,15}\\]$')
+    return F.when(plain, F.split(F.substring(text, F.lit(3), F.length(text) - 4), '","')).otherwise(_parsed_topics(text))
 
 
 def topics_text(topics: Column | str) -> Column:

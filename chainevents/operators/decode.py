@@ -69,7 +69,7 @@ def decode_logs(matched: DataFrame) -> DataFrame:
     )
 
 
-def stored_rows(decoded: DataFrame, source: str = "era1") -> DataFrame:
+def stored_rows(decoded: DataFrame, source: str = "era1", extra: list[str] | None = None) -> DataFrame:
     """Decoded logs in the stored event shape; ``contract`` is the registry's checksummed text."""
     return decoded.select(
         "contract",
@@ -85,6 +85,7 @@ def stored_rows(decoded: DataFrame, source: str = "era1") -> DataFrame:
         "decoded",
         F.lit(source).alias("source"),
         F.col("timestamp").cast("bigint").alias("timestamp"),
+        *(extra or []),
     )
 
 

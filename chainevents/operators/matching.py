@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainevents.functions.expressions import bloom_bit, bloom_digit, bloom_digit_set
-from chainevents.operators.ranges import containing
+from chainevents.operators.ranges import bucket_of, clipped, containing, exploded
 
 _PROBES = range(6)
 
@@ -67,6 +67,19 @@ def bloom_prefilter(pairs: DataFrame, targets: DataFrame) -> DataFrame:
     return pairs.alias("p").join(targets.alias("t"), same_scope & bloom_hit(F.col("p.bloom")), "left_semi")
 
 
+def bloom_candidates(blocks: DataFrame, targets: DataFrame, span: DataFrame) -> DataFrame:
+    """Whole block rows that some target may hold, by range and ``bloom``.
+
+    The targets carry their scope's range; they are the small side, so the wide
+    block rows are filtered where they are read.
+    """
+    cut = exploded(clipped(targets, span), "lo", "hi")
+    inside = F.col("b.block_number").between(F.col("t.from_block"), F.col("t.to_block"))
+    probe = (F.col("b.bucket") == F.col("t.bucket")) & inside & bloom_hit(F.col("b.bloom"))
+    numbered = blocks.withColumn("bucket", bucket_of("block_number"))
+    return numbered.alias("b").join(cut.alias("t"), probe, "left_semi").drop("bucket")
+
+
 # --- logs ------------------------------------------------------------------------
 
 

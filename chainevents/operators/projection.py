@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainevents.functions.expressions import bytes_or_null, decoded_json, topics_array
+from chainevents.functions.expressions import bytes_or_null, decoded_json, is_hex_bytes, topics_array
 
 _HASH = "^(0x)?[0-9a-fA-F]{64}$"
 _ADDRESS = "^(0x)?[0-9a-fA-F]{40}$"
+# One to four well-formed topics as they are stored: nothing to parse.
+_TOPICS = '^\\["(0x)?[0-9a-fA-F]{64}"(,"(0x)?[0-9a-fA-F]{64}"){0,3}\\]$'
 _LOSSY_DATA = "raw_data hex decode failed"
 _LOSSY_JSON = "decoded JSON parse failed"
 API_FIELDS = [
@@ -34,6 +36,7 @@ def invalid_reason() -> Column:
         .when(_otherwise_true(F.col("contract").rlike(_ADDRESS)), "contract address parse failed")
         .when(_otherwise_true(F.col("tx_hash").rlike(_HASH)), "tx_hash parse failed")
         .when(_otherwise_true(F.col("block_hash").rlike(_HASH)), "block_hash parse failed")
+        .when(F.col("raw_topics").rlike(_TOPICS), F.lit(None))
         .when(topics.isNull(), "raw_topics JSON parse failed")
         .when(_otherwise_true(F.forall(topics, lambda t: t.rlike(_HASH))), "topic value parse failed")
         .when(F.size(topics) > 4, "log shape invalid: more than four topics")
@@ -43,12 +46,11 @@ def invalid_reason() -> Column:
 def log_shape(events: DataFrame) -> DataFrame:
     """The log fields of every row with ``quality`` and ``quality_reason`` for that shape."""
     invalid = F.col("_invalid")
-    data = bytes_or_null("raw_data")
-    lossy = F.when(data.isNull(), _LOSSY_DATA)
+    lossy = F.when(_otherwise_true(is_hex_bytes("raw_data")), _LOSSY_DATA)
     return (
         events.withColumn("_invalid", invalid_reason())
         .withColumn("topics", topics_array("raw_topics"))
-        .withColumn("data", F.coalesce(data, F.unhex(F.lit(""))))
+        .withColumn("data", F.coalesce(bytes_or_null("raw_data"), F.unhex(F.lit(""))))
         .withColumn("quality", F.when(invalid.isNotNull(), "invalid").when(lossy.isNotNull(), "lossy").otherwise("valid"))
         .withColumn("quality_reason", F.coalesce(invalid, lossy))
         .drop("_invalid")
@@ -60,7 +62,7 @@ def row_quality(events: DataFrame) -> DataFrame:
 
     Invalid beats lossy beats valid; unreadable ``decoded`` text makes only this shape lossy.
     """
-    lossy_data = F.when(bytes_or_null("raw_data").isNull(), _LOSSY_DATA)
+    lossy_data = F.when(_otherwise_true(is_hex_bytes("raw_data")), _LOSSY_DATA)
     lossy_json = F.when(decoded_json("decoded").isNull(), _LOSSY_JSON)
     lossy = F.concat_ws("; ", lossy_data, lossy_json)
     return (
