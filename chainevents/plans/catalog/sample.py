@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainevents.session import ship_package
+
 ARRIVAL = ["contract", "event_name", "raw_topics", "raw_data", "timestamp"]
 
 
@@ -169,6 +171,7 @@ class Sample:
     """The views as DataFrames of one data directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship_package(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -26,3 +30,20 @@ def shared_folder(spark: SparkSession, unset: str | None = None) -> str:
     if not named:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return named.rstrip("/")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="chainevents-")
+    with zipfile.ZipFile(f"{folder}/chainevents.zip", "w") as bundle:
+        for source in package.rglob("*.py"):
+            bundle.write(source, source.relative_to(package.parent))
+    context.addPyFile(f"{folder}/chainevents.zip")
+    _shipped.add(context.applicationId)
