@@ -6,6 +6,7 @@ import json
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +15,7 @@ from chainevents.functions.keccak import checksum_addresses, keccak256_many
 
 _ARRAY = re.compile(r"^(.+)\[(\d*)\]$", re.S)
 _NUMBER = re.compile(r"^(uint|int|bytes)(\d+)$")
-_DECODED = T.StructType().add("values", T.ArrayType(T.StringType())).add("error", T.StringType())
+_DECODED = T.StructType().add("members", T.StringType()).add("error", T.StringType())
 _OVERRUN = "ABI decode error: buffer overrun while deserializing"
 
 
@@ -91,11 +92,8 @@ def _sequence(types, data: bytes, base: int) -> list:
     return out
 
 
-class _Address(bytes):
-    pass
-
-
 def _value(t: tuple, data: bytes, at: int):
+    """One value by the ABI layout; addresses stay 20-byte strings until they are named."""
     kind = t[0]
     if kind == "tuple":
         return _sequence(t[1], data, at)
@@ -115,7 +113,7 @@ def _value(t: tuple, data: bytes, at: int):
         body = data[at + 32 : at + 32 + size]
         return body.decode("utf-8", "replace") if kind == "string" else "0x" + body.hex()
     if kind == "address":
-        return _Address(word[12:])
+        return word[12:]
     if kind == "bool":
         return any(word)
     if kind == "function":
@@ -125,52 +123,114 @@ def _value(t: tuple, data: bytes, at: int):
     return str(int.from_bytes(word, "big", signed=kind == "int"))
 
 
-def _addresses(value, found: set) -> None:
-    if isinstance(value, _Address):
-        found.add(bytes(value))
+def _json(value, names: dict[bytes, str]) -> str:
+    if isinstance(value, bytes):
+        return f'"{names[value]}"'
+    if isinstance(value, list):
+        return "[" + ",".join(_json(v, names) for v in value) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _found_addresses(value, found: set[bytes]) -> None:
+    if isinstance(value, bytes):
+        found.add(value)
     elif isinstance(value, list):
         for item in value:
-            _addresses(item, found)
+            _found_addresses(item, found)
 
 
-def _plain(value, names: dict):
-    if isinstance(value, _Address):
-        return names[bytes(value)]
-    return [_plain(v, names) for v in value] if isinstance(value, list) else value
+def _static_column(kind: str, words: np.ndarray) -> list:
+    """One 32-byte word per row to values of a static type, column-wise."""
+    if kind == "address":
+        flat = words[:, 12:].tobytes()
+        return [flat[i : i + 20] for i in range(0, len(flat), 20)]
+    if kind == "bool":
+        return words.any(axis=1).tolist()
+    if kind == "word":
+        digits = words.tobytes().hex()
+        return ["0x" + digits[i : i + 64] for i in range(0, len(digits), 64)]
+    small = ~words[:, :24].any(axis=1)
+    texts = list(map(str, np.ascontiguousarray(words[:, 24:]).view(">u8")[:, 0].tolist()))
+    for i in np.flatnonzero(~small):
+        texts[i] = str(int.from_bytes(words[i].tobytes(), "big", signed=kind == "int"))
+    return texts
+
+
+_STATIC = ("address", "bool", "word", "uint", "int")
+
+
+def _decode_alike(types: list[tuple], raws: list[bytes]) -> tuple[list[list], list[str | None]]:
+    """Values per field and errors per row, for rows that share one layout."""
+    size = sum(map(_head, types))
+    errors: list[str | None] = [None if len(r) >= size else _OVERRUN for r in raws]
+    blank = bytes(size)
+    heads = np.frombuffer(b"".join(blank if e else r[:size] for r, e in zip(raws, errors)), dtype=np.uint8)
+    heads = heads.reshape(len(raws), size // 32, 32)
+    columns, at = [], 0
+    for t in types:
+        if t[0] in _STATIC:
+            columns.append(_static_column(t[0], heads[:, at // 32]))
+        else:
+            column = []
+            for i, raw in enumerate(raws):
+                value = None
+                if errors[i] is None:
+                    try:
+                        start = int.from_bytes(raw[at : at + 32], "big") if _dynamic(t) else at
+                        value = _value(t, raw, start)
+                    except (ValueError, OverflowError, RecursionError) as err:
+                        errors[i] = str(err)
+                column.append(value)
+            columns.append(column)
+        at += _head(t)
+    return columns, errors
+
+
+def _texts(column: list, kind: str, names: dict[bytes, str]) -> list[str]:
+    if kind == "address":
+        return [f'"{names[v]}"' for v in column]
+    if kind == "bool":
+        return ["true" if v else "false" for v in column]
+    if kind in ("word", "uint", "int"):
+        return [f'"{v}"' for v in column]
+    return [_json(v, names) for v in column]
 
 
 @F.pandas_udf(_DECODED)
 def decode_data(layout: pd.Series, data: pd.Series) -> pd.DataFrame:
-    """JSON text of every non-indexed field, by the JSON list of types in ``layout``."""
-    decoded, errors, found = [], [], set()
-    for text, raw in zip(layout, data):
-        values, error = None, None
-        if raw and text and text != "[]":
-            try:
-                values = _sequence([parse_type(t) for t in json.loads(text)], bytes(raw), 0)
-                _addresses(values, found)
-            except (ValueError, OverflowError, RecursionError) as err:
-                values, error = None, str(err)
-        decoded.append(values)
-        errors.append(error)
-    names = dict(zip(found, checksum_addresses(list(found))))
-    texts = [
-        None
-        if values is None
-        else [json.dumps(_plain(v, names), ensure_ascii=False, separators=(",", ":")) for v in values]
-        for values in decoded
-    ]
-    return pd.DataFrame({"values": texts, "error": errors})
+    """JSON members of the non-indexed fields, by the JSON list of [name, type] in ``layout``.
+
+    Rows of one event share a layout, so a batch is decoded field by field.
+    """
+    members: list[str | None] = [None] * len(data)
+    errors: list[str | None] = [None] * len(data)
+    wanted = (data.str.len() > 0) & layout.notna() & (layout != "[]")
+    for text, rows in data[wanted].groupby(layout[wanted]):
+        fields = json.loads(text)
+        types = [parse_type(kind) for _, kind in fields]
+        columns, faults = _decode_alike(types, rows.tolist())
+        found: set[bytes] = set()
+        for t, column in zip(types, columns):
+            found.update(column) if t[0] == "address" else None if t[0] in _STATIC else _found_addresses(column, found)
+        names = dict(zip(found, checksum_addresses(list(found))))
+        last = {name: at for at, (name, _) in enumerate(fields)}  # of equal names the last wins
+        kept = sorted(last.values())
+        keys = [json.dumps(fields[at][0], ensure_ascii=False) + ":" for at in kept]
+        rendered = [[key + v for v in _texts(columns[at], types[at][0], names)] for key, at in zip(keys, kept)]
+        for i, fault, parts in zip(rows.index, faults, zip(*rendered)):
+            errors[i] = fault
+            members[i] = None if fault else ",".join(parts)
+    return pd.DataFrame({"members": members, "error": errors})
 
 
 @F.pandas_udf(T.StringType())
 def layout_error(layout: pd.Series) -> pd.Series:
-    """Why a list of non-indexed types cannot be decoded, or NULL."""
+    """Why a list of non-indexed [name, type] pairs cannot be decoded, or NULL."""
 
     def check(text):
         try:
-            for t in json.loads(text):
-                parse_type(t)
+            for _, kind in json.loads(text):
+                parse_type(kind)
         except ValueError as err:
             return str(err)
 

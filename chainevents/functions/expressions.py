@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_DIGITS = "0123456789abcdef"
 # Hex digits that have bit 0, 1, 2 or 3 set.
 NIBBLES_WITH_BIT = ("13579bdf", "2367abef", "4567cdef", "89abcdef")
 
@@ -99,8 +100,9 @@ def reason_text(reason: Column | str, gap_from: Column | str, gap_to: Column | s
 
 def bloom_bit(digest_hex: Column | str, which: int) -> Column:
     """Bit 0, 1 or 2 (of 2048) that a value with this hex digest sets."""
-    pair = F.substring(_col(digest_hex), 1 + 4 * which, 4)
-    return F.conv(pair, 16, 10).cast("int").bitwiseAND(F.lit(2047))
+    nibble = lambda at: F.instr(F.lit(_DIGITS), F.substring(_col(digest_hex), at, 1)) - 1
+    first = 4 * which + 2  # the low eleven bits of the pair of bytes
+    return nibble(first) % 8 * 256 + nibble(first + 1) * 16 + nibble(first + 2)
 
 
 def bloom_digit(bit: Column) -> Column:

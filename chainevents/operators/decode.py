@@ -30,42 +30,35 @@ def indexed_value(kind: Column, topic: Column) -> Column:
 def decode_logs(matched: DataFrame) -> DataFrame:
     """Add ``decoded`` (JSON text) and ``decode_failed`` to matched logs.
 
-    Needs ``topics``, ``data`` (binary), ``inputs`` and ``layout``. Indexed fields
-    are column expressions; only the packed data goes through Arrow. A field
-    without its topic is absent, and so are data fields when data is empty. When
-    data cannot be decoded the event keeps the raw bytes and an error marker.
+    Needs ``topics``, ``data`` (binary), ``inputs``, ``layout`` and ``repeated``.
+    Indexed fields are column expressions; only the packed data goes through
+    Arrow. A field without its topic is absent, and so are data fields when data
+    is empty. When data cannot be decoded the event keeps the raw bytes and an
+    error marker.
     """
     indexed = F.filter("inputs", lambda i: i["indexed"])
-    plain = F.filter("inputs", lambda i: ~i["indexed"])
+    plain = F.transform(F.filter("inputs", lambda i: ~i["indexed"]), lambda i: i["name"])
     topics = F.slice("topics", 2, 3)
     present = F.slice(indexed, F.lit(1), F.least(F.size(indexed), F.size(topics)))
-    entry = lambda name, value: F.struct(name.alias("name"), value.alias("json"))
-    with_data = matched.withColumn("_data", decode_data("layout", "data"))
-    from_topics = F.transform(
-        present, lambda i, at: entry(i["name"], indexed_value(i["type"], hex_text(F.get(topics, at))))
-    )
-    from_data = F.transform(
-        F.coalesce("_data.values", F.expr("array() :: array<string>")),
-        lambda v, at: entry(F.get(plain, at)["name"], v),
+    named = F.transform(
+        present, lambda i, at: F.struct(i["name"].alias("name"), indexed_value(i["type"], hex_text(F.get(topics, at))).alias("json"))
     )
+    # Of equal names the last one present wins.
+    later = lambda e, i: F.exists(F.slice(F.col("_indexed"), i + 2, 3), lambda x: x["name"] == e["name"])
+    in_data = lambda e: F.col("_data.members").isNotNull() & F.array_contains(plain, e["name"])
+    kept = F.when(F.col("repeated"), F.filter("_indexed", lambda e, i: ~later(e, i) & ~in_data(e))).otherwise(F.col("_indexed"))
+    from_topics = F.array_join(F.transform(kept, lambda e: F.concat(json_string(e["name"]), F.lit(":"), e["json"])), ",")
     fallback = F.when(
         F.col("_data.error").isNotNull(),
-        F.array(
-            entry(F.lit("_decode_error"), json_string("_data.error")),
-            entry(F.lit("_raw_data"), F.concat(F.lit('"'), hex_text("data"), F.lit('"'))),
-        ),
-    ).otherwise(F.expr("array() :: array<struct<name:string,json:string>>"))
-    # Repeated names: the last one wins.
-    entries = F.filter(
-        F.col("_entries"),
-        lambda e, i: ~F.exists(F.slice("_entries", i + 2, F.size("_entries")), lambda later: later["name"] == e["name"]),
+        F.concat(F.lit('"_decode_error":'), json_string("_data.error"), F.lit(',"_raw_data":"'), hex_text("data"), F.lit('"')),
     )
-    fields = F.transform(F.array_sort(entries), lambda e: F.concat(json_string(e["name"]), F.lit(":"), e["json"]))
+    members = F.concat_ws(",", F.when(F.length(from_topics) > 0, from_topics), F.col("_data.members"), fallback)
     return (
-        with_data.withColumn("_entries", F.concat(from_topics, from_data, fallback))
-        .withColumn("decoded", F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")))
+        matched.withColumn("_data", decode_data("layout", "data"))
+        .withColumn("_indexed", named)
+        .withColumn("decoded", F.concat(F.lit("{"), members, F.lit("}")))
         .withColumn("decode_failed", F.col("_data.error").isNotNull())
-        .drop("_data", "_entries")
+        .drop("_data", "_indexed")
     )
 
 

@@ -218,7 +218,7 @@ def page_requests(s: Sample) -> DataFrame:
     ).replace(") , matched", "), matched")
 )
 def query_outcome(s: Sample) -> DataFrame:
-    return Q.query_outcome(s.view("requests"), s.stored, s.contracts, s.covered)
+    return Q.query_outcome(s.view("requests"), s.stored, s.contracts, s.covered, s.present)
 
 
 # --- projections and quality ---------------------------------------------------------

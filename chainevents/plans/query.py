@@ -168,7 +168,7 @@ def page_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def count_matches(requests: DataFrame, events: DataFrame) -> DataFrame:
+def count_matches(requests: DataFrame, events: DataFrame, span: DataFrame | None = None) -> DataFrame:
     """(request_id, matches): how many events each request selects.
 
     Events are first counted per block and per bucket. A request adds up whole
@@ -183,7 +183,7 @@ def count_matches(requests: DataFrame, events: DataFrame) -> DataFrame:
         F.coalesce("from_block", F.lit(0)).alias("from_block"),
         F.coalesce("to_block", F.lit(_LARGEST)).alias("to_block"),
     )
-    pieces = exploded(clipped(wanted, events), "lo", "hi")
+    pieces = exploded(clipped(wanted, events if span is None else span), "lo", "hi")
     whole = (F.col("bucket") * BUCKET >= F.col("lo")) & (F.col("bucket") * BUCKET + (BUCKET - 1) <= F.col("hi"))
     pieces = pieces.withColumn("whole", whole).withColumn("any_contract", F.col("contract").isNull())
 
@@ -213,8 +213,13 @@ def count_matches(requests: DataFrame, events: DataFrame) -> DataFrame:
     return union.groupBy("request_id").agg(F.sum("n").cast("bigint").alias("matches"))
 
 
-def query_outcome(requests: DataFrame, events: DataFrame, contracts: DataFrame, covered: DataFrame) -> DataFrame:
-    """(request_id, outcome, rows_returned) for a whole table of requests in one job."""
+def query_outcome(
+    requests: DataFrame, events: DataFrame, contracts: DataFrame, covered: DataFrame, span: DataFrame | None = None
+) -> DataFrame:
+    """(request_id, outcome, rows_returned) for a whole table of requests in one job.
+
+    ``span`` may give the block numbers that bound open-ended requests more cheaply than ``events``.
+    """
     known = contracts.select(F.col("address").alias("contract"), F.lit(True).alias("indexed"))
     guarded = F.col("contract").isNotNull() & F.col("from_block").isNotNull() & F.col("to_block").isNotNull()
     holding = range_covered(requests.where(guarded).select("request_id", "contract", "from_block", "to_block"), covered)
@@ -228,7 +233,7 @@ def query_outcome(requests: DataFrame, events: DataFrame, contracts: DataFrame,
             ),
         )
     )
-    counts = count_matches(checked.where(F.col("refused").isNull()), events)
+    counts = count_matches(checked.where(F.col("refused").isNull()), events, span)
     after = F.greatest(F.coalesce("matches", F.lit(0)) - F.col("page_offset"), F.lit(0))
     returned = F.when(F.col("page_limit") == 0, after).otherwise(F.least(after, "page_limit"))
     outcome: Column = (

@@ -75,14 +75,21 @@ def flat_signature(name: Column | str, inputs: Column | str) -> Column:
 
 
 def with_signatures(events: DataFrame) -> DataFrame:
-    """Add ``signature``, ``topic0`` and the decode layout to event rows."""
-    data_types = F.transform(F.filter("inputs", lambda i: ~i["indexed"]), lambda i: i["type"])
+    """Add ``signature``, ``topic0`` and what decoding needs to event rows.
+
+    ``layout`` lists [name, type] of the non-indexed inputs; ``repeated`` tells
+    whether any name occurs twice.
+    """
+    plain = F.filter("inputs", lambda i: ~i["indexed"])
+    layout = F.to_json(F.transform(plain, lambda i: F.array(i["name"], i["type"])))
     described = F.to_json(F.transform("inputs", lambda i: F.struct(i["type"].alias("type"), i["components"].alias("components"))))
+    names = F.transform("inputs", lambda i: i["name"])
     return (
         events.withColumn("signature", F.concat("event_name", F.lit("("), canonical_types(described), F.lit(")")))
         .withColumn("topic0", keccak_text("signature"))
-        .withColumn("layout", F.to_json(data_types))
+        .withColumn("layout", layout)
         .withColumn("layout_error", layout_error("layout"))
+        .withColumn("repeated", F.size(F.array_distinct(names)) < F.size(names))
     )
 
 
