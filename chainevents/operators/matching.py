@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainevents.functions.expressions import bloom_bit, bloom_digit, bloom_digit_set
-from chainevents.operators.ranges import bucket_of, clipped, containing, exploded
+from chainevents.operators.ranges import bucket_of, clipped, containing, exploded, numbered
 
 _PROBES = range(6)
 
@@ -84,21 +84,8 @@ def bloom_candidates(blocks: DataFrame, targets: DataFrame, span: DataFrame) ->
 
 
 def block_log_index(logs: DataFrame) -> DataFrame:
-    """Number every log of a block in (tx_index, pos) order, matched or not.
-
-    The running count is split into an offset per transaction and a place within
-    it, so one very large block is still spread over its transactions.
-    """
-    per_tx = logs.groupBy("block_number", "tx_index").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("block_number").orderBy("tx_index").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_tx.select("block_number", "tx_index", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("block_number", "tx_index").orderBy("pos")
-    return (
-        logs.withColumn("place", F.row_number().over(within) - 1)
-        .join(offsets, ["block_number", "tx_index"])
-        .withColumn("log_index", (F.col("offset") + F.col("place")).cast("bigint"))
-        .drop("offset", "place")
-    )
+    """Number every log of a block in (tx_index, pos) order, matched or not."""
+    return numbered(logs, ["block_number"], ["tx_index", "pos"], "log_index")
 
 
 def zip_tx_hashes(receipts: DataFrame, hashes: DataFrame, zero: Column) -> DataFrame:

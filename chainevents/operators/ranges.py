@@ -7,7 +7,7 @@ size, or split on skew; no side is ever compared as a whole with the other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainevents.schemas import BUCKET
@@ -66,3 +66,20 @@ def overlapping(items: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
         & (F.col("i.from_block") <= F.col("r.to_block"))
     )
     return pieces.alias("i").join(wanted.alias("r"), hit, "left_semi").drop("bucket").dropDuplicates([key])
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Number the rows of each group from 0 in ``order``, whose last column is an integer position.
+
+    Rows are numbered inside chunks of positions, and a running sum over the chunk
+    counts gives each chunk its offset, so no task ever holds a whole large group.
+    """
+    *lead, position = order
+    chunked = rows.withColumn("_chunk", bucket_of(position))
+    unit = [*group, *lead, "_chunk"]
+    sizes = chunked.groupBy(*unit).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy(*lead, "_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*unit, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy(*unit).orderBy(position)) - 1
+    placed = chunked.withColumn("_place", place).join(offsets, unit)
+    return placed.withColumn(name, (F.col("_offset") + F.col("_place")).cast("bigint")).select(*rows.columns, name)

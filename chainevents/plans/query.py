@@ -66,23 +66,26 @@ def page(rows: DataFrame, limit: int, offset: int) -> DataFrame:
 def deep_page(rows: DataFrame, limit: int, offset: int) -> DataFrame:
     """A page far into a large result, without sorting or moving the rows before it.
 
-    Counts per block, summed per bucket and then per block inside the buckets the
-    page touches, tell where each block starts; only rows of blocks that the page
-    cuts through are numbered.
+    Counts per unit (a block, or a stretch of log positions of a very large one),
+    summed per bucket and then per unit inside the buckets the page touches, tell
+    where each unit starts; only rows of units that the page cuts through are
+    numbered. The one window without a partition runs over one row per bucket.
     """
-    per_block = rows.groupBy("block_number").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", bucket_of("block_number"))
-    per_bucket = per_block.groupBy("bucket").agg(F.sum("n").alias("bucket_n"))
+    unit = ["block_number", "chunk"]
+    chunked = rows.withColumn("chunk", bucket_of("log_index"))
+    per_unit = chunked.groupBy(*unit).agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", bucket_of("block_number"))
+    per_bucket = per_unit.groupBy("bucket").agg(F.sum("n").alias("bucket_n"))
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bucket_start = per_bucket.select("bucket", F.coalesce(F.sum("bucket_n").over(earlier), F.lit(0)).alias("bucket_start"), "bucket_n")
     last = F.lit(offset + limit if limit else _LARGEST)
     touched = bucket_start.where((F.col("bucket_start") < last) & (F.col("bucket_start") + F.col("bucket_n") > offset))
-    before = Window.partitionBy("bucket").orderBy("block_number").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("bucket").orderBy(*unit).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("bucket_start") + F.coalesce(F.sum("n").over(before), F.lit(0))
-    spans = per_block.join(touched, "bucket").withColumn("start", start).withColumn("stop", start + F.col("n"))
+    spans = per_unit.join(touched, "bucket").withColumn("start", start).withColumn("stop", start + F.col("n"))
     spans = spans.where((F.col("start") < last) & (F.col("stop") > offset))
     whole = (F.col("start") >= offset) & (F.col("stop") <= last)
-    placed = rows.join(spans.select("block_number", "start", whole.alias("whole")), "block_number")
-    inside = Window.partitionBy("block_number").orderBy("log_index", "tx_index")
+    placed = chunked.join(spans.select(*unit, "start", whole.alias("whole")), unit)
+    inside = Window.partitionBy(*unit).orderBy("log_index", "tx_index")
     cut = (
         placed.where(~F.col("whole"))
         .withColumn("place", F.col("start") + F.row_number().over(inside) - 1)

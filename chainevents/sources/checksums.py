@@ -6,9 +6,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainevents.operators.ranges import numbered
 from chainevents.sources.archive import open_file
 
 _HASHING_BUFFER = 64 << 10
@@ -24,13 +25,10 @@ def parse_checksum_lines(lines: DataFrame) -> DataFrame:
     """(list_id, ordinal, sha256, filename): the valid lines of every list, numbered in line order."""
     words = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
     digest = F.regexp_replace(F.get(words, F.lit(0)), "^0x", "")
-    in_order = Window.partitionBy("list_id").orderBy("line_no")
-    return (
-        lines.where(digest.rlike("^[0-9a-fA-F]{64}$"))
-        .select("list_id", "line_no", F.lower(digest).alias("sha256"), F.get(words, F.lit(1)).alias("filename"))
-        .withColumn("ordinal", (F.row_number().over(in_order) - 1).cast("bigint"))
-        .select("list_id", "ordinal", "sha256", "filename")
+    valid = lines.where(digest.rlike("^[0-9a-fA-F]{64}$")).select(
+        "list_id", "line_no", F.lower(digest).alias("sha256"), F.get(words, F.lit(1)).alias("filename")
     )
+    return numbered(valid, ["list_id"], ["line_no"], "ordinal").select("list_id", "ordinal", "sha256", "filename")
 
 
 def hash_files(files: DataFrame) -> DataFrame:
