@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainevents.operators.ranges import bucket_of, exploded
+from chainevents.operators.ranges import bucket_of, clipped, exploded
 from chainevents.schemas import BUCKET
 
 _COVERED_KEY = ["contract", "from_block", "to_block", "source"]
@@ -38,6 +38,27 @@ def present_ranges(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pieces.where(~at_edge).unionByName(merged)
 
 
+def clip_to_scopes(islands: DataFrame, scopes: DataFrame, keys: list[str], span: DataFrame) -> DataFrame:
+    """Present ranges of every scope, cut out of the ranges present at all.
+
+    All scopes read the same blocks, so blocks are merged once and only ranges are
+    met with scopes; a pair is kept in the first bucket the two share.
+    """
+    held = exploded(islands.select("from_block", "to_block"))
+    wanted = exploded(clipped(scopes.select(*keys, "from_block", "to_block"), span), "lo", "hi")
+    meet = (
+        (F.col("i.bucket") == F.col("s.bucket"))
+        & (F.col("i.to_block") >= F.col("s.from_block"))
+        & (F.col("i.from_block") <= F.col("s.to_block"))
+        & (F.col("i.bucket") == F.greatest(bucket_of("i.from_block"), bucket_of("s.lo")))
+    )
+    return held.alias("i").join(wanted.alias("s"), meet).select(
+        *[F.col(f"s.{k}") for k in keys],
+        F.greatest("i.from_block", "s.from_block").alias("from_block"),
+        F.least("i.to_block", "s.to_block").alias("to_block"),
+    )
+
+
 def missing_ranges(scopes: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     """Sub-ranges of each scope's inclusive range that no present range covers."""
     wanted = scopes.select(*keys, F.col("from_block").alias("scope_from"), F.col("to_block").alias("scope_to"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainevents.functions.expressions import reason_text
-from chainevents.operators.ranges import containing
+from chainevents.operators.ranges import bucket_of, clipped, containing, exploded
+from chainevents.schemas import BUCKET
 
 
 def block_outcome(scopes_in_range: Column, bloom_hits: Column, root_ok: Column, decode_failed: Column) -> Column:
@@ -29,14 +30,27 @@ def taint(failures: DataFrame, scopes: DataFrame, span: DataFrame | None = None)
     return containing(failures.select("block_number", "reason"), scopes.select("scope_id", "from_block", "to_block"), span)
 
 
-def first_failure(tainted: DataFrame) -> DataFrame:
-    """(scope_id, failed_block, reason): the first failure in block order.
+def first_failure(failures: DataFrame, scopes: DataFrame, span: DataFrame) -> DataFrame:
+    """(scope_id, failed_block, reason): each scope's first failure in block order.
 
-    Two integer minima keep the aggregation hash-based and combined map-side.
+    Buckets that lie wholly inside a scope answer with their own first failure;
+    single blocks are looked at only in the buckets at the scope's ends.
     """
-    verify = F.min(F.when(F.col("reason") == "VerifyFailure", F.col("block_number")))
-    decode = F.min(F.when(F.col("reason") == "DecodeFailure", F.col("block_number")))
-    both = tainted.groupBy("scope_id").agg(verify.alias("verify"), decode.alias("decode"))
+    kinds = {"VerifyFailure": "verify", "DecodeFailure": "decode"}
+    firsts = [F.min(F.when(F.col("reason") == r, F.col("block_number"))).alias(c) for r, c in kinds.items()]
+    numbered = failures.withColumn("bucket", bucket_of("block_number"))
+    by_block = numbered.groupBy("bucket", "block_number").agg(*firsts)
+    by_bucket = numbered.groupBy("bucket").agg(*firsts)
+    pieces = exploded(clipped(scopes.select("scope_id", "from_block", "to_block"), span), "lo", "hi")
+    start = F.col("bucket") * BUCKET
+    pieces = pieces.withColumn("whole", (start >= F.col("lo")) & (start + (BUCKET - 1) <= F.col("hi")))
+    inside = pieces.where("whole").join(by_bucket, "bucket").select("scope_id", *kinds.values())
+    ends = (
+        pieces.where("NOT whole").join(by_block, "bucket")
+        .where(F.col("block_number").between(F.col("lo"), F.col("hi")))
+        .select("scope_id", *kinds.values())
+    )
+    both = inside.unionByName(ends).groupBy("scope_id").agg(F.min("verify").alias("verify"), F.min("decode").alias("decode"))
     verify_first = F.coalesce(F.col("verify") <= F.col("decode"), F.col("verify").isNotNull())
     return both.select(
         "scope_id",

@@ -39,19 +39,24 @@ def _scopes(s: Sample) -> DataFrame:
 
 
 def _present(s: Sample) -> DataFrame:
-    blocks = s.present.distinct()
-    pairs = scope_blocks(blocks, _scopes(s).select("scope_id", "from_block", "to_block"), s.present)
-    return coverage.present_ranges(pairs.select("scope_id", "block_number"), _KEYS)
+    return coverage.clip_to_scopes(coverage.present_ranges(s.present, []), _scopes(s), _KEYS, s.present)
 
 
-def _tainted(s: Sample) -> DataFrame:
+def _failures(s: Sample) -> DataFrame:
     reason = F.expr("CASE WHEN block_number % 397 = 0 THEN 'VerifyFailure' WHEN block_number % 389 = 0 THEN 'DecodeFailure' END")
-    failures = s.present.distinct().withColumn("reason", reason).where("reason IS NOT NULL")
-    return outcomes.taint(failures, _scopes(s), s.present)
+    return s.present.withColumn("reason", reason).where("reason IS NOT NULL").distinct()
 
 
 @query(_sql(_PRESENT_SQL, " SELECT * FROM islands"))
 def present_ranges(s: Sample) -> DataFrame:
+    """The general form: any (scope, block) pairs."""
+    pairs = scope_blocks(s.present.distinct(), _scopes(s).select("scope_id", "from_block", "to_block"), s.present)
+    return coverage.present_ranges(pairs.select("scope_id", "block_number"), _KEYS)
+
+
+@query(_sql(_PRESENT_SQL, " SELECT * FROM islands"))
+def scope_present_ranges(s: Sample) -> DataFrame:
+    """The form for scopes that share one block stream."""
     return _present(s)
 
 
@@ -93,12 +98,12 @@ def coverage_append(s: Sample) -> DataFrame:
 
 @query(_sql(_FAILURE_SQL, " SELECT * FROM tainted"))
 def scope_taint(s: Sample) -> DataFrame:
-    return _tainted(s)
+    return outcomes.taint(_failures(s), _scopes(s), s.present)
 
 
 @query(_sql(_FAILURE_SQL, " SELECT * FROM firsts"))
 def first_failure(s: Sample) -> DataFrame:
-    return outcomes.first_failure(_tainted(s))
+    return outcomes.first_failure(_failures(s), _scopes(s), s.present)
 
 
 _OUTCOME_SQL = """, few AS (SELECT * FROM pairs WHERE scope_id % 3 = 0), in_range AS (SELECT block_number, count(*) AS n FROM few GROUP BY 1),
@@ -124,7 +129,7 @@ def _decided(s: Sample) -> DataFrame:
     gaps = coverage.first_gap(coverage.missing_ranges(_scopes(s), _present(s), _KEYS), _KEYS)
     flags = s.present.select((F.col("block_number") < 0).alias("source_failed"), F.lit(False).alias("store_failed"))
     run_reason = outcomes.run_failure(flags).scalar()
-    return outcomes.coverage_decision(_scopes(s), outcomes.first_failure(_tainted(s)), gaps, run_reason, F.lit(False))
+    return outcomes.coverage_decision(_scopes(s), outcomes.first_failure(_failures(s), _scopes(s), s.present), gaps, run_reason, F.lit(False))
 
 
 @query(_sql(_PRESENT_SQL, _FAILURE_SQL, _DECISION_SQL, " SELECT * FROM decided"))

@@ -189,7 +189,7 @@ def run_blocks(
     # Bloom first: only candidate blocks are audited and have their logs unpacked.
     candidates = matching.bloom_candidates(good.withColumn("bloom", hex_text("logs_bloom")), known, span)
     checks = run.keep("audit", audited(candidates.drop("bloom"), audit))
-    events = run.keep("events", _events(candidates, checks, known, span))
+    events = run.keep("events", _events(candidates, checks, known))
     total, low, high = events.agg(F.count(F.lit(1)), F.min("block_number"), F.max("block_number")).first()
     store_failed = False
     if total:
@@ -201,9 +201,9 @@ def run_blocks(
     verify = checks.where("NOT root_ok").select("block_number", F.lit("VerifyFailure").alias("reason"))
     broken = events.where("decode_failed").select("block_number", F.lit("DecodeFailure").alias("reason"))
     failures = verify.unionByName(broken).distinct()
-    firsts = run.keep("first_failures", outcomes.first_failure(outcomes.taint(failures, ranges, span)))
-    pairs = matching.scope_blocks(span.distinct(), ranges.select("scope_id", "from_block", "to_block"), span)
-    present = run.keep("present", coverage.present_ranges(pairs.select("scope_id", "block_number"), _KEYS))
+    firsts = run.keep("first_failures", outcomes.first_failure(failures, ranges, span))
+    islands = run.keep("islands", coverage.present_ranges(span, []))
+    present = run.keep("present", coverage.clip_to_scopes(islands, ranges, _KEYS, span))
     gaps = run.keep("gaps", coverage.first_gap(coverage.missing_ranges(ranges, present, _KEYS), _KEYS))
 
     run_reason = F.lit("SourceFailure" if source_failed else "StoreFailure" if store_failed else None).cast("string")
@@ -220,16 +220,19 @@ def run_blocks(
     return SyncResult(total, report)
 
 
-def _events(candidates: DataFrame, checks: DataFrame, known: DataFrame, span: DataFrame) -> DataFrame:
+def _events(candidates: DataFrame, checks: DataFrame, known: DataFrame) -> DataFrame:
     """Decoded events of verified candidate blocks, once per scope whose range and Bloom test hold."""
     logs = block_ops.explode_logs(candidates).withColumn("topic0", F.concat(F.lit("0x"), hex_text(F.get("topics", F.lit(0)))))
-    ruled = known.drop("position", "signature", "layout_error", "address_digest", "topic_digest")
-    matched = matching.match_logs(logs, ruled)
-    matched = matched.where(F.col("block_number").between(F.col("from_block"), F.col("to_block")))
-    narrow = candidates.select("path", "block_number", "bloom")
-    hits = matching.scope_blocks(narrow, known.select("scope_id", "from_block", "to_block").distinct(), span)
-    hits = matching.bloom_prefilter(hits, known).select("scope_id", "path", "block_number")
+    ruled = known.select("scope_id", "contract", "event_name", "inputs", "layout", "repeated", "address", "topic0", "from_block", "to_block")
     verified = checks.where("root_ok").select("path", "block_number")
-    kept = matched.join(hits, ["scope_id", "path", "block_number"], "left_semi").join(verified, ["path", "block_number"], "left_semi")
-    decoded = decode.decode_logs(kept)
+    matched = (
+        matching.match_logs(logs, ruled)
+        .where(F.col("block_number").between(F.col("from_block"), F.col("to_block")))
+        .join(verified, ["path", "block_number"], "left_semi")
+    )
+    # Only blocks with a matching log are tested against the scopes it matched.
+    place = ["scope_id", "path", "block_number"]
+    met = matched.select(*place).distinct().join(candidates.select("path", "block_number", "bloom"), ["path", "block_number"])
+    hits = matching.bloom_prefilter(met, known).select(*place).distinct()
+    decoded = decode.decode_logs(matched.join(hits, place, "left_semi"))
     return decode.stored_rows(decoded, extra=["scope_id", "path", "decode_failed"])
