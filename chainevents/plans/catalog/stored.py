@@ -180,7 +180,6 @@ def _filters(spark: bool) -> str:
 )
 def filter_requests(s: Sample) -> DataFrame:
     customer = s.table("customer")
-    customer.createOrReplaceTempView("_filter_customers")
     return Q.filter_requests(s.spark.sql(f"SELECT {_filters(True)} FROM {{customer}}", customer=customer))
 
 

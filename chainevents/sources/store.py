@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainevents.operators.ranges import bucket_of
-from chainevents.schemas import CONTRACTS, COVERED_RANGES, EVENT_COLUMNS, EVENT_KEY, EVENTS
+from chainevents.schemas import BUCKET, CONTRACTS, COVERED_RANGES, EVENT_COLUMNS, EVENT_KEY, EVENTS
 
 
 def first_per_key(incoming: DataFrame, arrival: list) -> DataFrame:
@@ -82,8 +82,6 @@ class Store:
 
     def append_events(self, incoming: DataFrame, low: int, high: int) -> None:
         """Insert-or-ignore rows of blocks ``low .. high``; only their partitions are compared."""
-        from chainevents.schemas import BUCKET
-
         existing = self.events.where(F.col("block_bucket").between(low // BUCKET, high // BUCKET))
         # A rerun hands over the same row for a key, except that several scopes may decode it alike.
         added = new_events(existing, incoming, ["contract", "event_name", "decoded"])
