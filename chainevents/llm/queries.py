@@ -1,6 +1,6 @@
 """All registered queries of this package."""
 
-from chainevents.llm import exact_dedup, packing  # noqa: F401
+from chainevents.llm import bpe, exact_dedup, packing, token_files  # noqa: F401
 from chainevents.llm.common import QUERIES
 
 __all__ = ["QUERIES"]
