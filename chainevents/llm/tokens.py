@@ -23,7 +23,7 @@ _CUT = re.compile(r"(?= \S)")
 class PartEncoder:
     """``encode(texts)`` gives the ids of all texts in one array, and the bounds of each text's ids in it."""
 
-    def __init__(self, path: str, spaces_kept: bool, limit: int = 350_000, longest: int = 48):
+    def __init__(self, path: str, spaces_kept: bool, limit: int = 250_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -31,7 +31,7 @@ class PartEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.spaces_kept, self.limit, self.longest, self.known = spaces_kept, limit, longest, {}
+        self.spaces_kept, self.limit, self.longest, self.known, self.older = spaces_kept, limit, longest, {}, {}
         self.marks = dict(zip(".,", self._library([".", ","]), strict=True))
         size = self.tokenizer.get_vocab_size()
         spaced = [(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)]
@@ -46,7 +46,7 @@ class PartEncoder:
         texts = ["".join(parts[k] for k in side[i : i + most]) for i in range(0, len(side), most)]
         every = b"".join(self._library(texts))
         at = (np.flatnonzero(self.begins[np.frombuffer(every, "<u4")]) * 4).tolist()
-        for k, a, b in zip(side, at, [*at[1:], len(every)], strict=True):
+        for k, a, b in zip(side, at, [*at[1:], len(every)][: len(at)], strict=True):
             found[k] = every[a:b]
         rest = [k for k, x in enumerate(found) if x is None]
         for k, ids in zip(rest, self._library([parts[k] for k in rest]), strict=True):
@@ -62,9 +62,14 @@ class PartEncoder:
         tails = [p[-1:] if p[-1:] in self.marks and p[-2:-1].isalpha() else "" for p in parts]
         heads = [p[:-1] if t else p for p, t in zip(parts, tails, strict=True)]
         if len(self.known) > self.limit:
-            self.known.clear()
-        known = self.known
-        missing = list({h for h in heads if h not in known})
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        missing = []
+        for h in {h for h in heads if h not in known}:
+            if h in older:
+                known[h] = older[h]
+            else:
+                missing.append(h)
         once = {}
         for h, ids in zip(missing, self._words(missing), strict=True):
             (known if len(h) <= self.longest else once)[h] = ids
