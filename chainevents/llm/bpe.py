@@ -135,7 +135,7 @@ class StreamingEncoder(PartEncoder):
         # fixed value: how the vocabulary splits texts into words
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.split_added = regex.compile("(" + "|".join(regex.escape(t) for t in self.added) + ")") if self.added else None
-        self.special, self.spaces_kept, self.limit, self.longest, self.known, self.older, self.begins = list(self.added), True, 250_000, 48, {}, {}, None
+        self.special, self.spaces_kept, self.limit, self.longest, self.known, self.older, self.edges = list(self.added), True, 250_000, 48, {}, {}, None
         self.marks = dict(zip(".,", self._library([".", ","]), strict=True))
         pool = [self.texts.get(i, b"") for i in range(max(self.texts) + 1)]
         self.sizes = np.fromiter(map(len, pool), np.int64, len(pool))

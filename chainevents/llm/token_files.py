@@ -24,7 +24,7 @@ from chainevents.llm.tokens import encoder, slices
 END = 1
 #: Rounds of replacement, pairs replaced in one, and occurrences that a rule must have in its shard.
 ROUNDS, PAIRS, LEAST = 4, 4096, 16
-_SLOTS = 20
+_SLOTS = 18
 
 _FILE = "shard int, block int, n_ids long, doc_ids binary, starts binary, places binary, base long, rules binary, lengths binary, sequence binary"
 
@@ -104,7 +104,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, base: int, id
         encode, shard, block = encoder(vocabulary, spaces_kept=False).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
             texts, names = batch["text"].tolist(), batch["id"].astype("Int64")
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1 << 23):
                 ids, bounds = encode(texts[a:b])
                 ids = np.insert(ids, bounds[1:], END)
                 starts = bounds + np.arange(len(bounds))

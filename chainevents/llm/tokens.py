@@ -34,18 +34,23 @@ class PartEncoder:
         self.spaces_kept, self.limit, self.longest, self.known, self.older = spaces_kept, limit, longest, {}, {}
         self.marks = dict(zip(".,", self._library([".", ","]), strict=True))
         size = self.tokenizer.get_vocab_size()
-        spaced = [(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)]
-        self.begins = np.array(spaced) if spaces_kept else None
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.edges = np.array([t.startswith("\u0120") if spaces_kept else t.endswith("</w>") for t in names])
 
     def _words(self, parts: Sequence[str], most: int = 256) -> list[bytes]:
-        """Ids of parts; those with one space, in front, are encoded side by side, as just their first ids begin with a space."""
-        if self.begins is None:
+        """Ids of parts. Those that are one word with a space in front, or letters only, are encoded side by side: just their
+        first ids begin with a space, or just their last ids end a word."""
+        if self.edges is None:
             return self._library(parts)
-        side = [k for k, p in enumerate(parts) if p[:1] == " " and p.count(" ") == 1 and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
+        if self.spaces_kept:
+            side = [k for k, p in enumerate(parts) if p[:1] == " " and p.count(" ") == 1 and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
+        else:
+            side = [k for k, p in enumerate(parts) if p.isalpha() and p.lower().isalpha()]
         found: list[bytes | None] = [None] * len(parts)
-        texts = ["".join(parts[k] for k in side[i : i + most]) for i in range(0, len(side), most)]
+        texts = [("" if self.spaces_kept else " ").join(parts[k] for k in side[i : i + most]) for i in range(0, len(side), most)]
         every = b"".join(self._library(texts))
-        at = (np.flatnonzero(self.begins[np.frombuffer(every, "<u4")]) * 4).tolist()
+        edge = self.edges[np.frombuffer(every, "<u4")]
+        at = (np.flatnonzero(edge) * 4).tolist() if self.spaces_kept else [0, *((np.flatnonzero(edge) + 1) * 4).tolist()][:-1]
         for k, a, b in zip(side, at, [*at[1:], len(every)][: len(at)], strict=True):
             found[k] = every[a:b]
         rest = [k for k, x in enumerate(found) if x is None]
@@ -59,22 +64,31 @@ class PartEncoder:
 
     def _ids(self, parts: Sequence[str]) -> list[bytes]:
         """Of different parts; those worth it are kept for later batches."""
-        tails = [p[-1:] if p[-1:] in self.marks and p[-2:-1].isalpha() else "" for p in parts]
-        heads = [p[:-1] if t else p for p, t in zip(parts, tails, strict=True)]
         if len(self.known) > self.limit:
             self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        missing = []
-        for h in {h for h in heads if h not in known}:
-            if h in older:
-                known[h] = older[h]
+        known, older, marks = self.known, self.older, self.marks
+        found = list(map(known.get, parts))
+        missing = [k for k, x in enumerate(found) if x is None]
+        heads: dict[str, bytes | None] = {}
+        again = []
+        for k in missing:
+            part = parts[k]
+            ids = older.get(part)
+            if ids is None:
+                tail = part[-1] if part and part[-1] in marks and part[-2:-1].isalpha() else ""
+                head = part[:-1] if tail else part
+                heads[head] = known.get(head)
+                again.append((k, head, tail))
             else:
-                missing.append(h)
-        once = {}
-        for h, ids in zip(missing, self._words(missing), strict=True):
-            (known if len(h) <= self.longest else once)[h] = ids
-        marks = self.marks | {"": b""}
-        return [(known[h] if h in known else once[h]) + marks[t] for h, t in zip(heads, tails, strict=True)]
+                found[k] = known[part] = ids
+        new = [h for h, x in heads.items() if x is None]
+        heads.update(zip(new, self._words(new), strict=True))
+        for k, head, tail in again:
+            ids = found[k] = heads[head] + marks[tail] if tail else heads[head]
+            if len(head) < self.longest:
+                known[parts[k]] = ids
+                known[head] = heads[head]
+        return found
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         whole: dict[int, bytes] = {}
