@@ -1,6 +1,6 @@
 """All registered queries of this package."""
 
-from chainevents.llm import bpe, exact_dedup, jaccard, packing, suffix_dedup, token_files  # noqa: F401
+from chainevents.llm import bpe, exact_dedup, jaccard, packing, quality, suffix_dedup, token_files, toxicity  # noqa: F401
 from chainevents.llm.common import QUERIES
 
 __all__ = ["QUERIES"]
