@@ -34,7 +34,7 @@ def byte_letters() -> dict[int, str]:
 class Merges:
     """A vocabulary and its merge list; decides which tokens may follow each other."""
 
-    def __init__(self, vocabulary: dict[bytes, int], merges: Sequence[tuple[bytes, bytes]], remember: int = 1_000_000):
+    def __init__(self, vocabulary: dict[bytes, int], merges: Sequence[tuple[bytes, bytes]], remember: int = 500_000):
         self.ids = vocabulary
         self.ranks = {pair: k for k, pair in enumerate(merges)}
         made = {a + b for a, b in merges}
@@ -135,7 +135,7 @@ class StreamingEncoder(PartEncoder):
         # fixed value: how the vocabulary splits texts into words
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.split_added = regex.compile("(" + "|".join(regex.escape(t) for t in self.added) + ")") if self.added else None
-        self.special, self.spaces_kept, self.limit, self.longest, self.known, self.older, self.edges = list(self.added), True, 250_000, 48, {}, {}, None
+        self.special, self.spaces_kept, self.limit, self.longest, self.known, self.older, self.edges = list(self.added), True, 500_000, 48, {}, {}, None
         self.marks = dict(zip(".,", self._library([".", ","]), strict=True))
         pool = [self.texts.get(i, b"") for i in range(max(self.texts) + 1)]
         self.sizes = np.fromiter(map(len, pool), np.int64, len(pool))
@@ -144,7 +144,27 @@ class StreamingEncoder(PartEncoder):
     def word(self, text: bytes) -> Iterator[bytes]:
         if text in self.merges.tokens:  # a token that merges to itself
             return iter((text,))
-        return self._stream(text)
+        return self._within(text) if len(text) <= self.merges.lookahead else self._stream(text)
+
+    def _within(self, text: bytes) -> Iterator[bytes]:
+        """A word no longer than the lookahead: the transducer's states in a list, as nothing is final before the end."""
+        tokens, may, known = self.merges.tokens, self.merges.may_follow, self.merges._may
+        last: list[bytes | None] = [b""]
+        for i in range(1, len(text) + 1):
+            for j in range(i - 1, -1, -1):
+                token, before = text[j:i], last[j]
+                if token in tokens and before is not None:
+                    follows = not before or known.get((before, token))
+                    if follows or follows is None and may(before, token):
+                        last.append(token)
+                        break
+            else:
+                last.append(None)
+        chain, at = [], len(text)
+        while at and last[at]:
+            chain.append(last[at])
+            at -= len(last[at])
+        return reversed(chain)
 
     def _stream(self, text: bytes, step: int = 4096) -> Iterator[bytes]:
         machine = Transducer(self.merges)
@@ -225,7 +245,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         decimal = [str(i) for i in range(len(machine.sizes))]
         for batch in batches:
             texts, names = batch["text"].tolist(), batch["id"].astype("Int64")
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1 << 23):
                 ids, bounds = machine.encode(texts[a:b])
                 rows = [ids[bounds[k] : bounds[k + 1]] for k in range(b - a)]
                 yield pd.DataFrame({
