@@ -228,9 +228,9 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = b"".join(raw[a:b] for a, b in zip([0, *high.tolist()], [*low.tolist(), len(raw)], strict=True))
             removed.append(len(raw) - len(rest))
             spans.append(len(low))
-            kept.append(rest)
+            kept.append(rest.decode("utf-8", "ignore"))
             hashes.append(hashlib.sha256(rest).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(hashes, pa.string()), pa.array(kept, pa.binary())], ["key", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(hashes, pa.string()), pa.array(kept, pa.string())], ["key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def removed_ranges(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -249,35 +249,57 @@ def removed_ranges(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str
     return touched.select("key", "id", "text"), ranges
 
 
+def _verdicts(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """By ``key`` of the text: the document that keeps it (``first``); and what was cut out of that document's text."""
+    touched, ranges = removed_ranges(docs, scratch, id_col, text_col)
+    lists = ranges.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("x")).select("key", F.col("x.low").alias("lows"), F.col("x.high").alias("highs"))
+    cut = touched.join(lists, "key").select("key", "text", "lows", "highs").mapInArrow(_cut_out, "key long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    firsts = _identified(docs, id_col, text_col).groupBy("key").agg(F.min("id").alias("first"))
+    return firsts, scratch.write(cut, "cut")
+
+
+def _copy() -> F.Column:
+    """A later document with a text that an earlier one has: all of it goes."""
+    return (F.col("id") > F.col("first")) & (F.col("n_bytes") >= DEPTH)
+
+
+def _own() -> F.Column:
+    return (F.col("id") == F.col("first")) & F.col("n_removed").isNotNull()
+
+
 def suffix_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, key, kept`` (``kept``: the remaining
-    bytes where some but not all went, else null).
+    """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
     A byte goes if a 50-byte string covers it that also starts in a document with a smaller id. Null text counts as
     empty, null ids are later than all others and not smaller than each other, rows of one id never act on each other;
     an empty table gives an empty result.
     """
-    touched, ranges = removed_ranges(docs, scratch, id_col, text_col)
-    lists = ranges.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("x")).select("key", F.col("x.low").alias("lows"), F.col("x.high").alias("highs"))
-    cut = touched.join(lists, "key").select("key", "text", "lows", "highs").mapInArrow(_cut_out, "key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    cut = scratch.write(cut, "cut")
+    firsts, cut = _verdicts(docs, scratch, id_col, text_col)
     rows = _identified(docs, id_col, text_col).select("id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    firsts = rows.groupBy("key").agg(F.min("id").alias("first"))
-    met = rows.join(firsts, "key").join(cut, "key", "left")
-    copy = (F.col("id") > F.col("first")) & (F.col("n_bytes") >= DEPTH)
-    own = (F.col("id") == F.col("first")) & F.col("n_removed").isNotNull()
-    pick = lambda all_gone, some, none: F.when(copy, all_gone).when(own, some).otherwise(none)
+    met = rows.join(firsts, "key").join(cut.drop("kept"), "key", "left")
+    pick = lambda all_gone, some, none: F.when(_copy(), all_gone).when(_own(), some).otherwise(none)
     return met.select(
         F.when(F.col("id") < LAST, F.col("id")).alias("doc_id"),
         "n_bytes",
         pick(F.col("n_bytes"), F.col("n_removed"), F.lit(0)).cast("long").alias("n_removed"),
         pick(F.lit(1), F.col("n_spans"), F.lit(0)).cast("long").alias("n_spans"),
         pick(F.lit(hashlib.sha256(b"").hexdigest()), F.col("kept_sha256"), F.col("whole")).alias("kept_sha256"),
-        "key",
-        F.when(~copy & own, F.col("kept")).alias("kept"),
     )
 
 
+def without_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeated bytes cut out of the text; characters that a cut leaves incomplete go too.
+
+    Rules as in :func:`suffix_dedup`; every row and every other column stays.
+    """
+    firsts, cut = _verdicts(docs, scratch, id_col, text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("key"), F.octet_length(text).alias("n_bytes"))
+    met = rows.join(firsts, "key").join(cut.select("key", "n_removed", "kept"), "key", "left")
+    left = F.when(_copy(), F.lit("")).when(_own(), F.col("kept")).otherwise(F.col("row")[text_col])
+    return met.select(*[left.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 @query()
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op2")).drop("key", "kept")
+    return suffix_dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
