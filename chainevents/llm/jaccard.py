@@ -4,13 +4,15 @@
 their sizes. Sizes fall into bands; a band of smaller partners fixes p > d parts of the hash range. Each part of a set
 is a parity sketch: shingles are XOR-ed in, so a shingle in both sets cancels out of the difference, and Hamming
 distance never exceeds the symmetric difference. By the pigeonhole principle at least p - d parts of two similar texts
-hold no difference, so their sketches are equal. A text gives the d + 1 parts that hold most shingles: of any p - d
-equal parts, the best in that order is among them on both sides. Where empty parts would be among them, the text also
-gives its d + 1 smallest shingles, which two such texts must share one of.
+hold no difference, so their sketches are equal. A text gives the d + 1 parts that hold most shingles outside a list of
+common ones: of any p - d equal parts, the best in that order is among them on both sides. Where empty parts would be
+among them, the text also gives its d + 1 smallest shingles, which two such texts must share one of. The list only
+orders parts, so that passages many texts hold seldom make a signature; it has at most ``COMMON`` shingles.
 
 **No pairs within a group.** Texts with the same set are one node. Texts that share a signature are verified against
 the smallest node that has it; what that leaves in different components is then verified pair by pair. Links within a
 component change nothing, so components are exact although a group of near copies costs about one pair per text.
+Pairs are made only where sizes and the Hamming distance of whole parity sketches allow the similarity.
 Signatures that several texts of one batch share are sent on by one of them.
 """
 
@@ -31,6 +33,8 @@ from chainevents.llm.tokens import slices
 _U = np.uint64
 #: 64-bit words of the whole set's parity sketch, and parts beyond the needed ones.
 SKETCH, SPARE = 8, 1.2
+#: Common shingles that are told apart, and texts of a batch that must hold one.
+COMMON, OFTEN = 65_536, 4
 
 
 class Bands:
@@ -54,7 +58,23 @@ class Bands:
         return [(np.flatnonzero(own > 0), band, own), (np.flatnonzero(larger & (across > 0)), below, across)]
 
 
-def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
+    """The shingles that most texts hold, counted over all batches where several different texts hold them; sorted."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = list(dict.fromkeys(batch.column("text").to_pylist()))
+            for a, b in slices(texts):
+                found, times = np.unique(np.concatenate([*shingle_sets(texts[a:b], n), np.empty(0, _U)]), return_counts=True)
+                often = times >= OFTEN
+                yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often])], ["shingle", "times"])
+
+    counted = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(rows, "shingle long, times long")
+    most = counted.groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(COMMON)
+    return np.sort(most.toPandas()["shingle"].to_numpy(np.int64).view(_U))
+
+
+def signatures(sets: list[np.ndarray], bands: Bands, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Set number and signature, for all sets; a set's signatures are distinct."""
     sizes = np.array([len(s) for s in sets], np.int64)
     owners, keys = [], []
@@ -69,9 +89,13 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
         parity = np.bitwise_xor.reduceat(_U(1) << (codes & _U(63)), begins)
         code = np.bitwise_xor.reduceat(codes, begins)
         count, of = np.diff(np.append(begins, len(hashes))), owner[begins]
+        rare = count
+        if len(common):
+            at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+            rare = np.add.reduceat((common[at] != hashes).astype(np.int64), begins)
         where = mixed((band[of].astype(_U) << _U(40)) + part[begins])
         key = mixed(code ^ mixed(parity ^ where))
-        order = np.lexsort((key, -count, of))
+        order = np.lexsort((key, -count, -rare, of))
         of, key = of[order], key[order]
         place = np.arange(len(of)) - np.searchsorted(of, of)
         wanted = differences[of] + 1
@@ -98,7 +122,7 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(ends, pa.array(values, pa.int64()))
 
 
-def signed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def signed(docs: DataFrame, n: int, percent: int, common: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """``id, key`` (of the text), ``n, node, sigs, centers``: where texts of a batch share a signature, ``centers`` has
     the smallest of their nodes, else 0. Of equal sets in a batch only one gives signatures."""
 
@@ -112,7 +136,7 @@ def signed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
                 _, first = np.unique(nodes, return_index=True)
                 lone = np.zeros(len(sets), bool)
                 lone[first] = True
-                owner, sig = signatures([s if k else s[:0] for s, k in zip(sets, lone, strict=True)], Bands(percent, int(sizes.max())))
+                owner, sig = signatures([s if k else s[:0] for s, k in zip(sets, lone, strict=True)], Bands(percent, int(sizes.max())), common)
                 by = np.lexsort((nodes[owner], sig))
                 owner, sig = owner[by], sig[by]
                 begins = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) != 0) if len(sig) else np.empty(0, np.int64)
@@ -154,12 +178,11 @@ def _sets(docs: DataFrame, keys: DataFrame, n: int, text_col: str) -> DataFrame:
     return found.mapInArrow(rows, "node long, n long, sketch array<long>, hashes array<long>").dropDuplicates(["node"])
 
 
-def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs ``u, v``, those whose sizes and parity sketches allow the similarity."""
-    a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "uv")
-    both = pairs.join(a, "u").join(b, "v")
+def _near(percent: int) -> F.Column:
+    """Whether the sizes and parity sketches of u and v allow the similarity."""
     distance = F.aggregate(F.zip_with("sketch_u", "sketch_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.where(distance * (100 + percent) <= (F.col("n_u") + F.col("n_v")) * (100 - percent)).select("u", "v")
+    small, large = F.least("n_u", "n_v"), F.greatest("n_u", "n_v")
+    return (small * 100 >= large * percent) & (distance * (100 + percent) <= (F.col("n_u") + F.col("n_v")) * (100 - percent))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,7 +200,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, n: int = 5, percent: i
     the smallest doc_id that links reach (null ids count only if there is no other). Repeated rows and equal texts are
     one component; an empty table gives an empty result.
     """
-    rows = scratch.write(signed(docs, n, percent, id_col, text_col), "signed")
+    rows = scratch.write(signed(docs, n, percent, common_shingles(docs, n, text_col), id_col, text_col), "signed")
     given = rows.select("node", F.explode(F.arrays_zip("sigs", "centers")).alias("x")).select("node", F.col("x.sigs").alias("sig"), F.col("x.centers").alias("center"))
     group = Window.partitionBy("sig")
     wide = given.where("center = 0 or center = node").select("sig", "node", (F.col("center") != 0).alias("known"))
@@ -189,16 +212,18 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, n: int = 5, percent: i
     sets = scratch.write(_sets(docs, keys, n, text_col), "sets")
 
     stars = scratch.write(shared.where("node <> center").select(F.col("node").alias("u"), F.col("center").alias("v")).distinct(), "stars")
-    links = scratch.write(_verified(_near(stars, sets, percent), sets, percent), "links")
+    outlines = sets.select("node", "n", "sketch")
+    outline = {x: outlines.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "uv"}
+    likely = stars.join(outline["u"], "u").join(outline["v"], "v").where(_near(percent)).select("u", "v")
+    links = scratch.write(_verified(likely, sets, percent), "links")
     roots = scratch.write(components(links, scratch, "first"), "roots")
 
     placed = shared.select("sig", "node").distinct().join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
     mixed_sigs = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
-    apart = scratch.write(placed.join(mixed_sigs, "sig", "left_semi"), "apart")
-    left, right = (apart.select("sig", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
-    pairs = left.join(right, "sig").where("root_u < root_v").select("u", "v").distinct()
-    tried = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    pairs = scratch.write(_near(pairs.join(tried, ["u", "v"], "left_anti"), sets, percent), "pairs")
+    apart = scratch.write(placed.join(mixed_sigs, "sig", "left_semi").join(outlines, "node"), "apart")
+    left, right = (apart.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "sketch")]) for x in "uv")
+    pairs = left.join(right, (left["sig"] == right["sig"]) & (F.col("root_u") < F.col("root_v")) & _near(percent))
+    pairs = scratch.write(pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct(), "pairs")
     more = scratch.write(_verified(pairs, sets, percent), "more")
     at = roots.select(F.col("node").alias("u"), F.col("root").alias("root_u"))
     joined = more.join(at, "u", "left").join(at.select(F.col("u").alias("v"), F.col("root_u").alias("root_v")), "v", "left")
@@ -215,8 +240,8 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, n: int = 5, percent: i
 def near_dedup(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component those with its smallest doc_id; all columns as they were."""
     report = scratch.write(jaccard_components(docs, scratch, n, percent, id_col, text_col), "report")
-    gone = report.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    gone = report.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
 
 
 @query()
