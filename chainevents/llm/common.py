@@ -46,14 +46,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut the lineage, so a lost executor costs no earlier stage."""
+    """Tables written to the shared folder: they cut the lineage, so a lost executor costs no earlier stage.
+
+    As nothing reads a write's own shuffles once it is done, Spark removes their files at its end.
+    """
+
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
-        frame.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(self.CLEAN)
+        self.spark.conf.set(self.CLEAN, "true")
+        try:
+            frame.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEAN, before)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, name: str) -> None:

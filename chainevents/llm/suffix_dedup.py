@@ -2,8 +2,8 @@
 
 Suffixes must meet where they share 50 bytes. So every window of 50 bytes is dealt by its anchor, the 16-byte string in
 it whose hash is smallest: equal windows have equal anchors, and neighbouring windows mostly share theirs, so they
-travel as one string. Only anchors that several different texts have are followed up. A string that a smaller document
-of the same batch has as well is removed at once; the others meet in the task of their anchor, where the suffixes of
+travel as one string. Only anchors that several different texts have are followed up. A task takes documents in the order
+of their ids, and a string that one of them had before is removed at once; the others meet in the task of their anchor, where the suffixes of
 all different strings are sorted (suffixes.py) and each class of equal windows learns its smallest document. Windows of
 anchors in more than ``OFTEN`` texts are dealt by their own hash instead, equal ones merged beforehand, so no group
 grows with the corpus. Of equal whole texts only the smallest document takes part; the others lose all their bytes.
@@ -27,6 +27,8 @@ from chainevents.llm.tokens import slices
 _U = np.uint64
 #: Bytes of an anchor, most windows in one string, and texts from which an anchor is frequent.
 ANCHOR, LONGEST, OFTEN = 16, 64, 2000
+#: Strings that a task remembers at once; when more, it starts anew, and what it then finds again is only sent again.
+SEEN = 300_000
 #: Stands for a null id: later than all others.
 LAST = (1 << 63) - 1
 _CHARS, _GROUP = 1 << 21, 1 << 21
@@ -102,7 +104,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings to be met elsewhere (``bytes`` set), and ranges that a smaller document of the batch has already."""
+    """Strings to be met elsewhere (``bytes`` set), and ranges that a smaller document of the task has already."""
+    seen: dict[bytes, int] = {}
     for batch in batches:
         texts, ids, keys = (batch.column(c).to_pylist() for c in ("text", "id", "key"))
         lists = batch.column("anchors"), batch.column("times")
@@ -120,13 +123,14 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = begin[which] + place * step[which]
             high = np.minimum(low + step[which], end[which])
             text, anchor, alone = text[which], anchor[which], step[which] == 1
-            seen: dict[bytes, int] = {}
-            strings = found.strings(low, high)
-            first = np.fromiter((seen.setdefault(s, t) for s, t in zip(strings, text.tolist(), strict=True)), np.int64, len(strings))
             doc_ids = np.array([ids[k] for k in order], np.int64)
+            strings = found.strings(low, high)
+            if len(seen) > SEEN:
+                seen.clear()
+            first = np.fromiter((seen.setdefault(s, i) for s, i in zip(strings, doc_ids[text].tolist(), strict=True)), np.int64, len(strings))
             doc_keys = np.array([keys[k] for k in order], np.int64)
             at = low - found.starts[text]
-            gone = doc_ids[text] > doc_ids[first]
+            gone = doc_ids[text] > first
             owner, lo, hi = _ranges(text[gone], at[gone], at[gone] + (high - low)[gone] + DEPTH - 1)
             yield _found(doc_keys[owner], lo, hi)
             sent = np.flatnonzero(~gone)
@@ -242,8 +246,8 @@ def removed_ranges(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str
     lists = often.where("a < b").groupBy("key").agg(F.collect_list(F.struct("anchor", "times")).alias("x"))
     lists = lists.select("key", F.col("x.anchor").alias("anchors"), F.col("x.times").alias("times"))
     lists = scratch.write(lists.join(rows.groupBy("key").agg(F.min("id").alias("id")), "key"), "anchors")
-    touched = scratch.write(rows.join(lists, ["key", "id"]).dropDuplicates(["key"]), "touched")
-    strings = scratch.write(touched.mapInArrow(_strings, "key long, low long, high long, deal long, id long, bytes binary"), "strings")
+    touched = scratch.write(rows.join(lists, ["key", "id"]), "touched")
+    strings = scratch.write(touched.sortWithinPartitions("id").mapInArrow(_strings, "key long, low long, high long, deal long, id long, bytes binary"), "strings")
     dealt = strings.where("bytes is not null").repartition("deal").sortWithinPartitions("deal")
     ranges = strings.where("bytes is null").select("key", "low", "high").union(dealt.mapInArrow(_meet, "key long, low long, high long"))
     return touched.select("key", "id", "text"), ranges
@@ -253,7 +257,7 @@ def _verdicts(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) ->
     """By ``key`` of the text: the document that keeps it (``first``); and what was cut out of that document's text."""
     touched, ranges = removed_ranges(docs, scratch, id_col, text_col)
     lists = ranges.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("x")).select("key", F.col("x.low").alias("lows"), F.col("x.high").alias("highs"))
-    cut = touched.join(lists, "key").select("key", "text", "lows", "highs").mapInArrow(_cut_out, "key long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    cut = touched.join(lists, "key").dropDuplicates(["key"]).select("key", "text", "lows", "highs").mapInArrow(_cut_out, "key long, n_removed long, n_spans long, kept_sha256 string, kept string")
     firsts = _identified(docs, id_col, text_col).groupBy("key").agg(F.min("id").alias("first"))
     return firsts, scratch.write(cut, "cut")
 
