@@ -125,7 +125,7 @@ def exact_top_k(vectors: DataFrame, is_query, scratch: Scratch, k: int = 20, id_
     hits = scratch.write(_met(dealt.where("shard = 0"), start, 1, blocks, k), "first")
     if shards > 1:
         known = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), F.col("least").cast("double").alias("known"))
-        better = queries.join(known, "id", "left").fillna(float("-inf"), ["known"])
+        better = scratch.write(queries.join(known, "id", "left").fillna(float("-inf"), ["known"]), "queries")
         hits = hits.union(_met(dealt.where("shard > 0").withColumn("shard", F.col("shard") - 1), better, shards - 1, blocks, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
