@@ -30,7 +30,7 @@ def prefixed_hex(raw: Column | str) -> Column:
 def is_hex_bytes(text: Column | str) -> Column:
     """True for an even number of hex digits, with or without ``0x``."""
     text = _col(text)
-    return (F.length(text) % 2 == 0) & text.rlike("^(0x)?[0-9a-fA-F]*$")
+    return (F.length(text) % 2 == 0) & text.rlike(r"\A(0x)?[0-9a-fA-F]*\z")
 
 
 def bytes_or_null(text: Column | str) -> Column:
@@ -50,7 +50,7 @@ def topics_array(text: Column | str) -> Column:
     Text in the stored form is split directly; anything else goes through the JSON parser.
     """
     text = _col(text)
-    plain = text.rlike('^\\["[0-9a-zA-Z]*"(,"[0-9a-zA-Z]*"){0,15}\\]$')
+    plain = text.rlike(r'\A\["[0-9a-zA-Z]*"(,"[0-9a-zA-Z]*"){0,15}\]\z')
     return F.when(plain, F.split(F.substring(text, F.lit(3), F.length(text) - 4), '","')).otherwise(_parsed_topics(text))
 
 

@@ -94,27 +94,21 @@ def first_gap(gaps: DataFrame, keys: list[str]) -> DataFrame:
 def range_covered(requests: DataFrame, covered: DataFrame) -> DataFrame:
     """Requests (contract, from_block, to_block) that ONE recorded range contains.
 
-    Recorded ranges are cut by bucket, and of those that start at one block only
-    the longest is kept, so a request is compared with the few ranges around its
-    first block and not with all of its contract's history.
+    Of the recorded ranges that start no later than a request, the one that reaches furthest decides; this holds for
+    open-ended ranges and reversed requests as well. Starts and requests of a contract are put in order together, the
+    furthest reach so far runs along, and what earlier stretches of blocks reached is carried in, so that a contract
+    with a long history is worked on in parts.
     """
-    pieces = (
-        exploded(covered)
-        .withColumn("start", F.greatest("from_block", F.col("bucket") * BUCKET))
-        .groupBy("contract", "bucket", "start")
-        .agg(F.max("to_block").alias("reach"))
-    )
-    # A reversed request (from > to) may be answered by a range around either end.
-    low = F.least("from_block", "to_block")
-    probes = requests.withColumn("bucket", F.explode(F.sequence(bucket_of(low), bucket_of("from_block"))))
-    holds = (
-        (F.col("q.contract") == F.col("c.contract"))
-        & (F.col("q.bucket") == F.col("c.bucket"))
-        & (F.col("c.start") <= F.col("q.from_block"))
-        & (F.col("c.reach") >= F.col("q.to_block"))
-    )
-    hit = probes.alias("q").join(pieces.alias("c"), holds, "left_semi").drop("bucket")
-    return hit.dropDuplicates(["request_id"])
+    starts = covered.select("contract", F.col("from_block").alias("at"), F.lit(0).alias("kind"), F.col("to_block").alias("reach"), F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), F.lit(None).cast("bigint").alias("until"))
+    probes = requests.select("contract", F.col("from_block").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("reach"), "request_id", F.col("to_block").alias("until"))
+    points = starts.unionByName(probes).withColumn("stretch", bucket_of("at"))
+    furthest = points.groupBy("contract", "stretch").agg(F.max("reach").alias("reached"))
+    earlier = Window.partitionBy("contract").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = furthest.select("contract", "stretch", F.max("reached").over(earlier).alias("carried"))
+    so_far = Window.partitionBy("contract", "stretch").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = points.withColumn("here", F.max("reach").over(so_far)).where("kind = 1").join(carried, ["contract", "stretch"])
+    held = running.where(F.greatest("here", "carried") >= F.col("until"))
+    return held.select("request_id", "contract", F.col("at").alias("from_block"), F.col("until").alias("to_block")).dropDuplicates(["request_id"])
 
 
 def append_coverage(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from chainevents.functions.expressions import bytes_or_null, decoded_json, is_hex_bytes, topics_array
 
-_HASH = "^(0x)?[0-9a-fA-F]{64}$"
-_ADDRESS = "^(0x)?[0-9a-fA-F]{40}$"
+# A dollar sign would let a final line break pass.
+_HASH = r"\A(0x)?[0-9a-fA-F]{64}\z"
+_ADDRESS = r"\A(0x)?[0-9a-fA-F]{40}\z"
 # One to four well-formed topics as they are stored: nothing to parse.
-_TOPICS = '^\\["(0x)?[0-9a-fA-F]{64}"(,"(0x)?[0-9a-fA-F]{64}"){0,3}\\]$'
+_TOPICS = r'\A\["(0x)?[0-9a-fA-F]{64}"(,"(0x)?[0-9a-fA-F]{64}"){0,3}\]\z'
 _LOSSY_DATA = "raw_data hex decode failed"
 _LOSSY_JSON = "decoded JSON parse failed"
 API_FIELDS = [

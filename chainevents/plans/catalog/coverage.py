@@ -89,11 +89,18 @@ def range_covered(s: Sample) -> DataFrame:
     return coverage.range_covered(asked.select("request_id", "contract", "from_block", "to_block"), s.covered)
 
 
-@query(duck("SELECT DISTINCT contract, from_block, to_block, source FROM covered", "covered_own", "covered"))
+@query(
+    duck(
+        "SELECT contract, from_block, to_block, source, CASE WHEN from_block % 200 = 0 THEN '2020-01-01' ELSE '2021-01-01' END AS recorded_on "
+        "FROM (SELECT DISTINCT contract, from_block, to_block, source FROM covered)",
+        "covered_own", "covered",
+    )
+)
 def coverage_append(s: Sample) -> DataFrame:
-    stamped = s.covered.withColumn("recorded_at", F.lit("2020-01-01").cast("timestamp"))
+    stamped = s.covered.where("from_block % 200 = 0").withColumn("recorded_at", F.lit("2020-01-01").cast("timestamp"))
     rerun = s.covered.withColumn("recorded_at", F.lit("2021-01-01").cast("timestamp"))
-    return coverage.append_coverage(stamped, rerun).where("recorded_at < '2020-06-01'").drop("recorded_at")
+    appended = coverage.append_coverage(stamped, rerun)
+    return appended.withColumn("recorded_on", F.date_format("recorded_at", "yyyy-MM-dd")).drop("recorded_at")
 
 
 @query(_sql(_FAILURE_SQL, " SELECT * FROM tainted"))
@@ -106,8 +113,8 @@ def first_failure(s: Sample) -> DataFrame:
     return outcomes.first_failure(_failures(s), _scopes(s), s.present)
 
 
-_OUTCOME_SQL = """, few AS (SELECT * FROM pairs WHERE scope_id % 3 = 0), in_range AS (SELECT block_number, count(*) AS n FROM few GROUP BY 1),
-    hit AS (SELECT block_number, count(*) AS n FROM hits WHERE scope_id % 3 = 0 GROUP BY 1)
+_OUTCOME_SQL = """, in_range AS (SELECT block_number, count(*) AS n FROM pairs GROUP BY 1),
+    hit AS (SELECT block_number, count(*) AS n FROM hits GROUP BY 1)
     SELECT h.block_number, CASE WHEN r.n IS NULL THEN 'OutsideRange' WHEN t.n IS NULL THEN 'NoBloomMatch' WHEN h.block_number % 397 = 0 THEN 'VerifyFailed'
       WHEN h.block_number % 389 = 0 THEN 'DecodeFailed' ELSE 'Evaluated' END AS outcome
     FROM headers h LEFT JOIN in_range r ON r.block_number = h.block_number LEFT JOIN hit t ON t.block_number = h.block_number"""
@@ -115,7 +122,7 @@ _OUTCOME_SQL = """, few AS (SELECT * FROM pairs WHERE scope_id % 3 = 0), in_rang
 
 @query(scope_queries._bits(scope_queries._HITS_SQL + _OUTCOME_SQL, "headers", "scopes"))
 def block_outcome(s: Sample) -> DataFrame:
-    pairs = scope_queries.bloom_pairs(s).where("scope_id % 3 = 0")
+    pairs = scope_queries.bloom_pairs(s)
     counted = pairs.groupBy("block_number").agg(F.count(F.lit(1)).alias("in_range"))
     hits = bloom_prefilter(pairs, scope_queries._bloom_targets(s)).groupBy("block_number").agg(F.count(F.lit(1)).alias("hits"))
     joined = s.headers.join(counted, "block_number", "left").join(hits, "block_number", "left")

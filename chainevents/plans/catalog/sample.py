@@ -39,6 +39,10 @@ class Dialect:
     def word(self, x: str) -> str:
         return f"lpad({self.hex(x)}, 64, '0')"
 
+    def line(self, x: str) -> str:
+        """With a line break at its end."""
+        return f"{x} || chr(10)"
+
     def address(self, key: str) -> str:
         return f"'0x' || substr({self.sha(f'{quote("c")} || CAST({key} AS STRING)')}, 1, 40)"
 
@@ -83,9 +87,9 @@ def _damaged(d: Dialect) -> dict[str, str]:
     zeros = "0" * 64
     five = "[" + ",".join([f'"0x{zeros}"'] * 5) + "]"
     change = {
-        "contract": {1: "'bad'"},
-        "tx_hash": {2: "'0x12'"},
-        "block_hash": {11: "'zz' || substr(block_hash, 3)"},
+        "contract": {1: "'bad'", 20: d.line("contract")},
+        "tx_hash": {2: "'0x12'", 21: d.line("tx_hash")},
+        "block_hash": {11: "'zz' || substr(block_hash, 3)", 22: d.line("block_hash")},
         "log_index": {12: "CAST(-1 AS BIGINT)"},
         "raw_topics": {
             3: "'not json'",
@@ -96,7 +100,7 @@ def _damaged(d: Dialect) -> dict[str, str]:
             16: "'[]'",
             18: quote(f'["0x{zeros}",null]'),
         },
-        "raw_data": {6: "'abc'", 7: "'zz'", 10: "'f'", 17: "'0x12ab'"},
+        "raw_data": {6: "'abc'", 7: "'zz'", 10: "'f'", 17: "'0x12ab'", 19: d.line("'ab1'")},
         "decoded": {8: "'{bad'", 9: "'null'", 10: "''", 13: """'{"_decode_error":"short","_raw_data":"00"}'"""},
     }
     out = {}
@@ -144,9 +148,9 @@ def _requests(d: Dialect) -> dict[str, str]:
         "contract": f"CASE WHEN c_custkey % 9 = 4 THEN NULL ELSE {d.address('c_custkey % 120')} END",
         "event_name": "CASE WHEN c_custkey % 5 = 2 THEN 'AF' END",
         "topic0": f"CASE WHEN c_custkey % 5 = 3 THEN '0x' || {d.sha(quote('NO'))} END",
-        "from_block": f"CASE WHEN c_custkey % 7 = 3 THEN NULL WHEN c_custkey % 3 = 1 THEN (c_custkey % 120) * 100 + 20 ELSE {start} END",
+        "from_block": f"CASE WHEN c_custkey % 29 = 11 THEN {_FAR} WHEN c_custkey % 7 = 3 THEN NULL WHEN c_custkey % 3 = 1 THEN (c_custkey % 120) * 100 + 20 ELSE {start} END",
         "to_block": (
-            "CASE WHEN c_custkey % 11 = 5 THEN NULL WHEN c_custkey % 3 = 1 THEN (c_custkey % 120) * 100 + 90 "
+            f"CASE WHEN c_custkey % 58 = 11 THEN {_FAR + 50} WHEN c_custkey % 58 = 40 THEN CAST(0 AS BIGINT) WHEN c_custkey % 11 = 5 THEN NULL WHEN c_custkey % 3 = 1 THEN (c_custkey % 120) * 100 + 90 "
             f"WHEN c_custkey % 23 = 8 THEN {start} - 40 ELSE {start} + (c_custkey % 13) * 50 END"
         ),
         "page_limit": "CAST(CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 100 WHEN 2 THEN 10000 ELSE 5 END AS BIGINT)",
@@ -168,9 +172,6 @@ def select(columns: dict[str, str]) -> list[str]:
     return [f"{expression} AS {name}" for name, expression in columns.items()]
 
 
-_SPREAD = ("lineitem", "orders")
-
-
 class Sample:
     """The views as DataFrames of one data directory."""
 
@@ -179,10 +180,7 @@ class Sample:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        """A given table; one stored as fewer files than there are cores is spread over them first."""
-        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if name in _SPREAD and len(rows.inputFiles()) < cores else rows
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
         source, columns = _BASE[name]
@@ -222,8 +220,12 @@ class Sample:
         return self.view("covered_own").unionByName(wide)
 
 
+# The end of an open-ended range, and a block that no table reaches.
+_OPEN, _FAR = (1 << 63) - 1, 1 << 62
+
+
 def _wide(d: Dialect) -> dict[str, str]:
-    return {"contract": d.address("s_suppkey"), "from_block": "CAST(0 AS BIGINT)", "to_block": "CAST(20000 AS BIGINT)", "source": "'era1'"}
+    return {"contract": d.address("s_suppkey"), "from_block": "CAST(0 AS BIGINT)", "to_block": f"CASE WHEN s_suppkey % 6 = 0 THEN {_OPEN} ELSE CAST(20000 AS BIGINT) END", "source": "'era1'"}
 
 
 def _cte(name: str) -> str:

@@ -83,30 +83,31 @@ def checksum_audit(s: Sample) -> DataFrame:
     return checksums.audit_checksums(files, checksums.parse_checksum_lines(lines), lines)
 
 
-_FILES_SQL = "SELECT DISTINCT o_orderkey // 70 AS file_id FROM orders WHERE (o_orderkey // 70) % 7 <> 3"
+_FILES_SQL = "SELECT DISTINCT o_orderkey // 70 AS file_id FROM orders"
 
 
 def _files(s: Sample) -> DataFrame:
-    ids = s.table("orders").selectExpr("o_orderkey div 70 AS file_id").distinct().where("file_id % 7 <> 3")
+    ids = s.table("orders").selectExpr("o_orderkey div 70 AS file_id").distinct()
     return ids.selectExpr("'f' || file_id AS path", "file_id * 70 AS from_block", "file_id * 70 + 69 AS to_block")
 
 
-def _few_scopes(s: Sample) -> DataFrame:
-    return s.view("scopes").where("scope_id % 3 = 0")
+def _spaced_scopes(s: Sample) -> DataFrame:
+    """All scopes, far enough apart that some files lie between them."""
+    return s.view("scopes").selectExpr("scope_id", "address", "scope_id * 300 AS from_block", "scope_id * 300 + 59 AS to_block")
 
 
 _KEPT_SQL = f"""files AS ({_FILES_SQL}), kept AS (SELECT 'f' || file_id AS path, CAST(file_id * 70 AS BIGINT) AS from_block, CAST(file_id * 70 + 69 AS BIGINT) AS to_block
-    FROM files WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey % 3 = 0 AND file_id * 70 + 69 >= s_suppkey * 100 AND file_id * 70 <= s_suppkey * 100 + 199))"""
+    FROM files WHERE EXISTS (SELECT 1 FROM supplier WHERE file_id * 70 + 69 >= s_suppkey * 300 AND file_id * 70 <= s_suppkey * 300 + 59))"""
 
 
 @query(f"WITH {_KEPT_SQL} SELECT * FROM kept")
 def file_prune(s: Sample) -> DataFrame:
-    return archive.prune_files(_files(s), _few_scopes(s))
+    return archive.prune_files(_files(s), _spaced_scopes(s))
 
 
 @query(f"WITH {_KEPT_SQL} SELECT CAST(coalesce(sum(to_block - from_block + 1), 0) AS BIGINT) AS total_blocks FROM kept")
 def planned_blocks(s: Sample) -> DataFrame:
-    return archive.planned_blocks(archive.prune_files(_files(s), _few_scopes(s)))
+    return archive.planned_blocks(archive.prune_files(_files(s), _spaced_scopes(s)))
 
 
 # --- scope tables ------------------------------------------------------------------------

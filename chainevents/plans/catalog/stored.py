@@ -14,6 +14,8 @@ from chainevents.sources import store
 _KEYS = "block_number, tx_index, log_index"
 _ROW = "contract, event_name, topic0, block_number, block_hash, tx_hash, tx_index, log_index, raw_topics, raw_data, decoded, source, timestamp"
 _OLD = "timestamp < 946684800"
+#: Arguments of the checked requests: the cap that reports Capped, and the page of a request without a limit.
+CAP, PAGE = 10_000, 100
 
 
 # --- sinks -----------------------------------------------------------------------
@@ -137,24 +139,40 @@ def event_page(s: Sample) -> DataFrame:
     )
 )
 def event_page_deep(s: Sample) -> DataFrame:
-    return Q.deep_page(s.stored, 3000, 20000).select("block_number", "log_index", "tx_index", "contract")
+    return Q.page(s.stored, 3000, 20000).select("block_number", "log_index", "tx_index", "contract")
 
 
-@query(
-    duck(
-        "SELECT block_number, log_index, tx_index, (SELECT count(*) > 10050 FROM stored WHERE event_name = 'AF') AS capped FROM "
-        "(SELECT * FROM stored WHERE event_name = 'AF' ORDER BY block_number, log_index, tx_index LIMIT 10000 OFFSET 50)",
+def _capped_sql(where: str, limit: str) -> str:
+    return duck(
+        f"SELECT block_number, log_index, tx_index, (SELECT count(*) > 10050 FROM stored WHERE {where}) AND {limit!r} <> '' AS capped FROM "
+        f"(SELECT * FROM stored WHERE {where} ORDER BY block_number, log_index, tx_index {limit} OFFSET 50)",
         "logs", "stored",
     )
-)
-def capped_query(s: Sample) -> DataFrame:
-    rows, over = Q.capped(Q.filter_events(s.stored, Q.EventQuery(event_name="AF")), Q.HARD_CAP, 50)
+
+
+def _capped(s: Sample, wanted: Q.EventQuery, cap: int | None) -> DataFrame:
+    rows, over = Q.capped(Q.filter_events(s.stored, wanted), cap or 0, 50, cap)
     return rows.select("block_number", "log_index", "tx_index", F.lit(over).alias("capped"))
 
 
+@query(_capped_sql("event_name = 'AF'", "LIMIT 10000"))
+def capped_query(s: Sample) -> DataFrame:
+    return _capped(s, Q.EventQuery(event_name="AF"), CAP)
+
+
+@query(_capped_sql("true", "LIMIT 10000"))
+def capped_query_over(s: Sample) -> DataFrame:
+    return _capped(s, Q.EventQuery(), CAP)
+
+
+@query(_capped_sql("true", ""))
+def uncapped_query(s: Sample) -> DataFrame:
+    return _capped(s, Q.EventQuery(), None)
+
+
 # --- requests ----------------------------------------------------------------------
 
-_ADDRESSES = "CASE c_custkey % 4 WHEN 0 THEN {none} WHEN 1 THEN {two} ELSE {one} END"
+_ADDRESSES = "CASE c_custkey % 5 WHEN 0 THEN {none} WHEN 1 THEN {two} WHEN 2 THEN {lower} WHEN 3 THEN {both} ELSE {one} END"
 _FIRST = "CASE c_custkey % 6 WHEN 4 THEN {two} WHEN 5 THEN {one} ELSE {none} END"
 _LATER = "CASE WHEN c_custkey % 10 = 3 THEN {one} ELSE {none} END"
 
@@ -164,23 +182,29 @@ def _filters(spark: bool) -> str:
     array = (lambda *xs: f"array({', '.join(xs)})") if spark else (lambda *xs: f"[{', '.join(xs)}]")
     none = "cast(array() as array<string>)" if spark else "CAST([] AS VARCHAR[])"
     topics = lambda t: t.format(none=none, one=array("'t1'"), two=array("'t1'", "'t2'"))
-    addresses = _ADDRESSES.format(none=none, one=array(d.address("c_custkey")), two=array(d.address("c_custkey"), "'0xother'"))
+    own = f"'0xAb' || substr({d.address('c_custkey % 150')}, 5)"
+    addresses = _ADDRESSES.format(none=none, one=array(own), two=array(own, "'0xother'"), lower=array(f"lower({own})"), both=array(own, f"lower({own})"))
     return f"c_custkey AS request_id, {addresses} AS addresses, {array(topics(_FIRST), topics(_LATER))} AS topics, c_custkey AS from_block, c_custkey + 100 AS to_block"
 
 
+def _mixed_case(spark: bool) -> str:
+    """Contracts whose addresses have capital digits; not every asked one is among them."""
+    return f"SELECT '0xAb' || substr({(SPARK if spark else DUCK).address('s_suppkey')}, 5) AS address FROM {'{supplier}' if spark else 'supplier'}"
+
+
 @query(
-    f"""WITH f AS (SELECT {_filters(False)} FROM customer),
-    p AS (SELECT *, CASE WHEN len(addresses) > 1 THEN 'multiple address filters are not supported'
+    f"""WITH f AS (SELECT {_filters(False)} FROM customer), known AS ({_mixed_case(False)}),
+    p AS (SELECT *, CASE WHEN len(list_distinct(list_transform(addresses, lambda a: lower(a)))) > 1 THEN 'multiple address filters are not supported'
       WHEN len(topics[1]) > 1 THEN 'topic0 OR filters are not supported'
       WHEN len(topics[2]) > 0 THEN 'topic filters beyond topic0 are not supported' END AS why FROM f),
     q AS (SELECT *, CASE WHEN len(addresses) = 0 THEN 'MissingAddress' WHEN why IS NOT NULL THEN 'Unsupported' ELSE 'Query' END AS plan FROM p)
-    SELECT request_id, plan, CASE WHEN plan = 'Unsupported' THEN why END AS reason, CASE WHEN plan = 'Query' THEN addresses[1] END AS contract,
+    SELECT request_id, plan, CASE WHEN plan = 'Unsupported' THEN why END AS reason, CASE WHEN plan = 'Query' THEN coalesce((SELECT min(address) FROM known WHERE lower(address) = lower(addresses[1])), addresses[1]) END AS contract,
       CAST(NULL AS VARCHAR) AS event_name, CASE WHEN plan = 'Query' THEN topics[1][1] END AS topic0, from_block, to_block,
       CAST(CASE WHEN plan = 'Query' THEN 10000 END AS BIGINT) AS page_limit, CAST(CASE WHEN plan = 'Query' THEN 0 END AS BIGINT) AS page_offset FROM q"""
 )
 def filter_requests(s: Sample) -> DataFrame:
-    customer = s.table("customer")
-    return Q.filter_requests(s.spark.sql(f"SELECT {_filters(True)} FROM {{customer}}", customer=customer))
+    asked = s.spark.sql(f"SELECT {_filters(True)} FROM {{customer}}", customer=s.table("customer"))
+    return Q.filter_requests(asked, s.spark.sql(_mixed_case(True), supplier=s.table("supplier")), CAP)
 
 
 _RAW_LIMIT = "CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN c_custkey * 50 ELSE 0 END"
@@ -192,9 +216,8 @@ _RAW_OFFSET = "CASE WHEN c_custkey % 2 = 0 THEN c_custkey END"
     f"CAST(coalesce({_RAW_OFFSET}, 0) AS BIGINT) AS page_offset FROM customer"
 )
 def page_requests(s: Sample) -> DataFrame:
-    return Q.page_requests(
-        s.table("customer").selectExpr("c_custkey AS request_id", f"{_RAW_LIMIT} AS page_limit", f"{_RAW_OFFSET} AS page_offset")
-    )
+    asked = s.table("customer").selectExpr("c_custkey AS request_id", f"{_RAW_LIMIT} AS page_limit", f"{_RAW_OFFSET} AS page_offset")
+    return Q.page_requests(asked, PAGE, CAP)
 
 
 @query(
@@ -217,7 +240,7 @@ def page_requests(s: Sample) -> DataFrame:
     ).replace(") , matched", "), matched")
 )
 def query_outcome(s: Sample) -> DataFrame:
-    return Q.query_outcome(s.view("requests"), s.stored, s.contracts, s.covered, s.present)
+    return Q.query_outcome(s.view("requests"), s.stored, s.contracts, s.covered, s.present, CAP)
 
 
 # --- projections and quality ---------------------------------------------------------
@@ -258,14 +281,13 @@ def row_quality(s: Sample) -> DataFrame:
         CASE WHEN broken IS NOT NULL THEN 'invalid' WHEN bad_data IS NOT NULL THEN 'lossy' ELSE 'valid' END AS quality,
         coalesce(broken, bad_data) AS quality_reason,
         CASE WHEN bad_data IS NULL THEN lower(regexp_replace(raw_data, '^0x', '')) ELSE '' END AS data,
-        CASE WHEN broken IS NULL OR broken LIKE 'log shape%' OR broken LIKE 'negative%' OR broken LIKE 'contract%' OR broken LIKE '%_hash%'
-          THEN (CASE WHEN raw_topics = '[]' THEN 0 ELSE length(raw_topics) - length(replace(raw_topics, ',', '')) + 1 END) END AS n_topics FROM graded
-        WHERE coalesce(broken, '') NOT LIKE 'topic value%'"""
+        CASE WHEN regexp_full_match(raw_topics, '\[("[^"]*"(,"[^"]*")*)?\]')
+          THEN (CASE WHEN raw_topics = '[]' THEN 0 ELSE length(raw_topics) - length(replace(raw_topics, ',', '')) + 1 END) END AS n_topics FROM graded"""
     )
 )
 def log_shape(s: Sample) -> DataFrame:
     shaped = projection.log_shape(s.view("damaged"))
-    return shaped.where("NOT quality_reason <=> 'topic value parse failed'").select(
+    return shaped.select(
         "block_number", "tx_index", "log_index", "contract", "quality", "quality_reason",
         X.hex_text("data").alias("data"), F.size("topics").cast("bigint").alias("n_topics"),
     )

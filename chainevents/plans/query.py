@@ -1,4 +1,7 @@
-"""Event queries: filter, order, pages, the hard cap, and explicit outcomes."""
+"""Event queries: filter, order, pages, a cap where one is asked for, and explicit outcomes.
+
+No function cuts a result by itself. ``cap`` is an argument of those that can report *Capped*; left out, there is none.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +14,8 @@ from chainevents.operators.coverage import range_covered
 from chainevents.operators.ranges import bucket_of, clipped, exploded
 from chainevents.schemas import BUCKET
 
-HARD_CAP = 10_000
-DEFAULT_PAGE = 100
 ORDER = ["block_number", "log_index", "tx_index"]
 _LARGEST = (1 << 63) - 1
-# Up to here a page is a bounded top-k; a deeper page is located by counts first.
-_TOP_K = 100_000
 
 
 @dataclass(frozen=True)
@@ -55,60 +54,40 @@ def event_query(events: DataFrame, query: EventQuery) -> DataFrame:
 
 
 def page(rows: DataFrame, limit: int, offset: int) -> DataFrame:
-    """Rows ``offset .. offset + limit`` of the result order."""
-    if offset == 0 and limit == 0:
-        return rows.orderBy(*ORDER)
-    if 0 < limit and offset + limit <= _TOP_K:
-        return rows.orderBy(*ORDER).offset(offset).limit(limit)
-    return deep_page(rows, limit, offset)
-
-
-def deep_page(rows: DataFrame, limit: int, offset: int) -> DataFrame:
-    """A page far into a large result, without sorting or moving the rows before it.
+    """Rows ``offset .. offset + limit`` of the result order; a limit of 0 means all that follow.
 
-    Counts per unit (a block, or a stretch of log positions of a very large one),
-    summed per bucket and then per unit inside the buckets the page touches, tell
-    where each unit starts; only rows of units that the page cuts through are
-    numbered. The one window without a partition runs over one row per bucket.
+    Counts per bucket of blocks tell in which buckets the page lies; only those are sorted and numbered, each by
+    itself, so rows before and behind the page are counted but never moved. The one window without a partition runs
+    over one row per bucket.
     """
-    unit = ["block_number", "chunk"]
-    chunked = rows.withColumn("chunk", bucket_of("log_index"))
-    per_unit = chunked.groupBy(*unit).agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", bucket_of("block_number"))
-    per_bucket = per_unit.groupBy("bucket").agg(F.sum("n").alias("bucket_n"))
+    if offset == 0 and limit == 0:
+        return rows.orderBy(*ORDER)
+    per_bucket = rows.groupBy(bucket_of("block_number").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bucket_start = per_bucket.select("bucket", F.coalesce(F.sum("bucket_n").over(earlier), F.lit(0)).alias("bucket_start"), "bucket_n")
+    starts = per_bucket.select("bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"), "n")
     last = F.lit(offset + limit if limit else _LARGEST)
-    touched = bucket_start.where((F.col("bucket_start") < last) & (F.col("bucket_start") + F.col("bucket_n") > offset))
-    before = Window.partitionBy("bucket").orderBy(*unit).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("bucket_start") + F.coalesce(F.sum("n").over(before), F.lit(0))
-    spans = per_unit.join(touched, "bucket").withColumn("start", start).withColumn("stop", start + F.col("n"))
-    spans = spans.where((F.col("start") < last) & (F.col("stop") > offset))
-    whole = (F.col("start") >= offset) & (F.col("stop") <= last)
-    placed = chunked.join(spans.select(*unit, "start", whole.alias("whole")), unit)
-    inside = Window.partitionBy(*unit).orderBy("log_index", "tx_index")
-    cut = (
-        placed.where(~F.col("whole"))
-        .withColumn("place", F.col("start") + F.row_number().over(inside) - 1)
-        .where((F.col("place") >= offset) & (F.col("place") < last))
-        .drop("place")
-    )
-    kept = placed.where("whole").unionByName(cut)
+    touched = starts.where((F.col("start") < last) & (F.col("start") + F.col("n") > offset)).drop("n")
+    inside = Window.partitionBy("bucket").orderBy(*ORDER)
+    numbered = rows.withColumn("bucket", bucket_of("block_number")).join(touched, "bucket")
+    place = F.col("start") + F.row_number().over(inside) - 1
+    kept = numbered.withColumn("place", place).where((F.col("place") >= offset) & (F.col("place") < last))
     return kept.select(*rows.columns).orderBy(*ORDER)
 
 
-def capped(rows: DataFrame, limit: int, offset: int, cap: int = HARD_CAP) -> tuple[DataFrame, bool]:
-    """A page and whether the hard cap was exceeded.
+def capped(rows: DataFrame, limit: int, offset: int, cap: int | None = None) -> tuple[DataFrame, bool]:
+    """A page and whether it ended at the cap with rows left over.
 
-    Only a limit of exactly the cap can overflow, and it is measured after the
-    offset; one row more than the cap is enough to know.
+    Only a limit of exactly ``cap`` can overflow, measured after the offset; counting stops one row above the cap.
     """
-    if limit != cap:
+    if cap is None or limit != cap:
         return page(rows, limit, offset), False
-    over = page(rows, cap + 1, offset).agg(F.count(F.lit(1)).alias("n")).first()["n"] > cap
+    over = rows.select(F.lit(1)).limit(offset + cap + 1).count() > offset + cap
     return page(rows, cap, offset), over
 
 
-def query_events(events: DataFrame, contracts: DataFrame, covered: DataFrame, query: EventQuery) -> tuple[str, DataFrame]:
+def query_events(
+    events: DataFrame, contracts: DataFrame, covered: DataFrame, query: EventQuery, cap: int | None = None
+) -> tuple[str, DataFrame]:
     """Outcome and rows of one request; the small guards run before the events are touched."""
     none = events.limit(0)
     if query.contract is not None:
@@ -122,7 +101,7 @@ def query_events(events: DataFrame, contracts: DataFrame, covered: DataFrame, qu
             )
             if holding.limit(1).isEmpty():
                 return "MissingCoverage", none
-    rows, over = capped(filter_events(events, query), query.limit, query.offset)
+    rows, over = capped(filter_events(events, query), query.limit, query.offset, cap)
     if over:
         return "Capped", rows
     return ("Empty", rows) if rows.isEmpty() else ("Results", rows)
@@ -131,13 +110,15 @@ def query_events(events: DataFrame, contracts: DataFrame, covered: DataFrame, qu
 # --- request tables --------------------------------------------------------------
 
 
-def filter_requests(requests: DataFrame) -> DataFrame:
+def filter_requests(requests: DataFrame, contracts: DataFrame, cap: int | None = None) -> DataFrame:
     """Clean up log filters (addresses, topics): add ``plan`` and ``reason`` and the usable fields.
 
-    A usable filter has exactly one address, at most one first topic and nothing
-    in later positions; its limit is the hard cap.
+    A usable filter has exactly one address, at most one first topic and nothing in later positions; its limit is
+    ``cap``, or 0 (no limit). Addresses are the same whatever the case of their digits; the usable one is written as
+    ``contracts`` has it, or as given where that table does not know it.
     """
-    addresses = F.coalesce(F.size(F.array_distinct("addresses")), F.lit(0))
+    given = F.array_distinct(F.transform("addresses", F.lower))
+    addresses = F.coalesce(F.size(given), F.lit(0))
     first = F.array_distinct(F.coalesce(F.get("topics", F.lit(0)), F.expr("array() :: array<string>")))
     later = F.exists(F.slice(F.coalesce("topics", F.expr("array() :: array<array<string>>")), 2, 1 << 30), lambda t: F.size(t) > 0)
     reason = (
@@ -147,25 +128,31 @@ def filter_requests(requests: DataFrame) -> DataFrame:
     )
     plan = F.when(addresses == 0, "MissingAddress").when(reason.isNotNull(), "Unsupported").otherwise("Query")
     usable = lambda c: F.when(plan == "Query", c)
-    return requests.select(
+    known = contracts.groupBy(F.lower("address").alias("_lower")).agg(F.min("address").alias("_known"))
+    placed = requests.withColumn("_lower", usable(F.get(given, F.lit(0)))).join(known, "_lower", "left")
+    return placed.select(
         "request_id",
         plan.alias("plan"),
         F.when(plan == "Unsupported", reason).alias("reason"),
-        usable(F.get("addresses", F.lit(0))).alias("contract"),
+        usable(F.coalesce("_known", F.get("addresses", F.lit(0)))).alias("contract"),
         F.lit(None).cast("string").alias("event_name"),
         usable(F.get(first, F.lit(0))).alias("topic0"),
         "from_block",
         "to_block",
-        usable(F.lit(HARD_CAP).cast("bigint")).alias("page_limit"),
+        usable(F.lit(cap or 0).cast("bigint")).alias("page_limit"),
         usable(F.lit(0).cast("bigint")).alias("page_offset"),
     )
 
 
-def page_requests(requests: DataFrame) -> DataFrame:
-    """Fill in and clamp the page of every request; the contract text is left as given."""
+def page_requests(requests: DataFrame, default_limit: int = 0, cap: int | None = None) -> DataFrame:
+    """Fill in the page of every request; the contract text is left as given.
+
+    A request without a limit gets ``default_limit`` (0: all rows). With a ``cap``, larger limits come down to it.
+    """
+    limit = F.coalesce("page_limit", F.lit(default_limit))
     return requests.withColumns(
         {
-            "page_limit": F.least(F.coalesce("page_limit", F.lit(DEFAULT_PAGE)), F.lit(HARD_CAP)).cast("bigint"),
+            "page_limit": (limit if cap is None else F.least(limit, F.lit(cap))).cast("bigint"),
             "page_offset": F.coalesce("page_offset", F.lit(0)).cast("bigint"),
         }
     )
@@ -217,7 +204,12 @@ def count_matches(requests: DataFrame, events: DataFrame, span: DataFrame | None
 
 
 def query_outcome(
-    requests: DataFrame, events: DataFrame, contracts: DataFrame, covered: DataFrame, span: DataFrame | None = None
+    requests: DataFrame,
+    events: DataFrame,
+    contracts: DataFrame,
+    covered: DataFrame,
+    span: DataFrame | None = None,
+    cap: int | None = None,
 ) -> DataFrame:
     """(request_id, outcome, rows_returned) for a whole table of requests in one job.
 
@@ -241,7 +233,7 @@ def query_outcome(
     returned = F.when(F.col("page_limit") == 0, after).otherwise(F.least(after, "page_limit"))
     outcome: Column = (
         F.when(F.col("refused").isNotNull(), F.col("refused"))
-        .when((F.col("page_limit") == HARD_CAP) & (after > HARD_CAP), "Capped")
+        .when((F.col("page_limit") == cap) & (after > cap) if cap is not None else F.lit(False), "Capped")
         .when(returned == 0, "Empty")
         .otherwise("Results")
     )
