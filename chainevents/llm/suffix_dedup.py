@@ -179,8 +179,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal, doc, low = (rows.column(c).to_numpy() for c in ("deal", "id", "low"))
         key = rows.column("key").to_numpy()
         texts = rows.column("bytes").to_pylist()
-        first: dict[tuple[int, bytes], int] = {}
-        same = np.fromiter((first.setdefault(x, k) for k, x in enumerate(zip(deal.tolist(), texts, strict=True))), np.int64, len(texts))
+        first: dict[bytes, int] = {}  # equal strings have equal anchors, and so one deal
+        same = np.fromiter((first.setdefault(x, k) for k, x in enumerate(texts)), np.int64, len(texts))
         least = np.full(len(texts), LAST)
         np.minimum.at(least, same, doc)
         different = np.unique(same)
@@ -247,9 +247,12 @@ def removed_ranges(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str
     lists = lists.select("key", F.col("x.anchor").alias("anchors"), F.col("x.times").alias("times"))
     lists = scratch.write(lists.join(rows.groupBy("key").agg(F.min("id").alias("id")), "key"), "anchors")
     touched = scratch.write(rows.join(lists, ["key", "id"]), "touched")
+    scratch.drop("anchors")
     strings = scratch.write(touched.sortWithinPartitions("id").mapInArrow(_strings, "key long, low long, high long, deal long, id long, bytes binary"), "strings")
     dealt = strings.where("bytes is not null").repartition("deal").sortWithinPartitions("deal")
     ranges = strings.where("bytes is null").select("key", "low", "high").union(dealt.mapInArrow(_meet, "key long, low long, high long"))
+    ranges = scratch.write(ranges, "ranges")
+    scratch.drop("strings")
     return touched.select("key", "id", "text"), ranges
 
 
