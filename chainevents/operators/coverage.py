@@ -111,8 +111,8 @@ def range_covered(requests: DataFrame, covered: DataFrame) -> DataFrame:
     return held.select("request_id", "contract", F.col("at").alias("from_block"), F.col("until").alias("to_block")).dropDuplicates(["request_id"])
 
 
-def append_coverage(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Recorded ranges after insert-or-ignore of new ones; the earliest record of a range stays."""
-    sourced = incoming.withColumn("source", F.lit("era1")).select(*existing.columns)
-    both = existing.unionByName(sourced)
-    return both.groupBy(*_COVERED_KEY).agg(F.min("recorded_at").alias("recorded_at"))
+def new_coverage(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Incoming ranges that insert-or-ignore would add: one record of each, and none that is recorded already."""
+    sourced = incoming.withColumn("source", F.lit("era1"))
+    added = sourced.groupBy(*_COVERED_KEY).agg(F.min("recorded_at").alias("recorded_at"))
+    return added.join(existing.select(*_COVERED_KEY), _COVERED_KEY, "left_anti")

@@ -80,8 +80,3 @@ def stored_rows(decoded: DataFrame, source: str = "era1", extra: list[str] | Non
         F.col("timestamp").cast("bigint").alias("timestamp"),
         *(extra or []),
     )
-
-
-def failed_blocks(events: DataFrame) -> DataFrame:
-    """Blocks with at least one event that fell back to raw data."""
-    return events.where(has_decode_error("decoded")).select("block_number").distinct()

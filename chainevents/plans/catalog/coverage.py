@@ -97,9 +97,9 @@ def range_covered(s: Sample) -> DataFrame:
     )
 )
 def coverage_append(s: Sample) -> DataFrame:
-    stamped = s.covered.where("from_block % 200 = 0").withColumn("recorded_at", F.lit("2020-01-01").cast("timestamp"))
+    earlier = s.covered.where("from_block % 200 = 0").distinct().withColumn("recorded_at", F.lit("2020-01-01").cast("timestamp"))
     rerun = s.covered.withColumn("recorded_at", F.lit("2021-01-01").cast("timestamp"))
-    appended = coverage.append_coverage(stamped, rerun)
+    appended = earlier.unionByName(coverage.new_coverage(earlier, rerun))
     return appended.withColumn("recorded_on", F.date_format("recorded_at", "yyyy-MM-dd")).drop("recorded_at")
 
 

@@ -7,6 +7,7 @@ file is decoded twice.
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -25,15 +26,18 @@ from chainevents.sources.store import Store
 
 Audit = str | Callable[[DataFrame], DataFrame]
 _KEYS = ["scope_id"]
-_ADDRESS = "^0x[0-9a-fA-F]{40}$"
+_ADDRESS = r"\A0x[0-9a-fA-F]{40}\z"
+_log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
 class SyncResult:
-    """``report`` has one row per scope; ``total_events`` counts rows handed to the store."""
+    """``report`` has one row per scope; ``total_events`` counts the rows that the store took; ``faults`` are the texts
+    of failed writes."""
 
     total_events: int
     report: DataFrame
+    faults: tuple[str, ...] = ()
 
     @property
     def is_complete(self) -> bool:
@@ -51,6 +55,14 @@ class _Run:
         table.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(table.schema).parquet(path)
 
+    def drop_all_but(self, name: str) -> None:
+        """Remove the run's tables once only ``name`` is still read."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        hadoop = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        for status in hadoop.listStatus(folder):
+            if status.getPath().getName() != name:
+                hadoop.delete(status.getPath(), True)
+
 
 def checked_scopes(requested: DataFrame) -> DataFrame:
     """Valid scopes with checksummed addresses; any unusable row is an error for the whole run."""
@@ -159,24 +171,6 @@ def _prepared(scopes, store, overrides, snapshot, run) -> tuple[DataFrame, DataF
     return known, prepared
 
 
-def sync_blocks(
-    blocks: DataFrame,
-    scopes: DataFrame,
-    store: Store,
-    overrides: DataFrame | None = None,
-    snapshot: DataFrame | None = None,
-    audit: Audit = "receipt_root",
-    folder: str | None = None,
-) -> SyncResult:
-    """The same run over any table of decoded blocks."""
-    spark = blocks.sparkSession
-    run = _Run(spark, folder or shared_folder(spark))
-    overrides = spark.createDataFrame([], "path string, content string") if overrides is None else overrides
-    snapshot = spark.createDataFrame([], "address string, abi_json string") if snapshot is None else snapshot
-    known, prepared = _prepared(scopes, store, overrides, snapshot, run)
-    return run_blocks(run, blocks, known, prepared.where("error IS NULL"), prepared.where("error IS NOT NULL"), store, audit)
-
-
 def run_blocks(
     run: _Run, decoded: DataFrame, known: DataFrame, ready: DataFrame, failed: DataFrame, store: Store, audit: Audit
 ) -> SyncResult:
@@ -191,11 +185,13 @@ def run_blocks(
     checks = run.keep("audit", audited(candidates.drop("bloom"), audit))
     events = run.keep("events", _events(candidates, checks, known))
     total, low, high = events.agg(F.count(F.lit(1)), F.min("block_number"), F.max("block_number")).first()
-    store_failed = False
+    store_failed, faults = False, []
     if total:
         try:
             store.append_events(events, low, high)
-        except Exception:  # any failed write withholds coverage; a rerun recovers
+        except Exception as fault:  # any failed write withholds coverage; a rerun recovers
+            _log.exception("events were not stored")
+            faults.append(f"events were not stored: {fault}")
             store_failed = True
 
     verify = checks.where("NOT root_ok").select("block_number", F.lit("VerifyFailure").alias("reason"))
@@ -211,13 +207,16 @@ def run_blocks(
     recorded = present.join(decided.where("records").select("scope_id", "contract"), "scope_id")
     try:
         store.append_coverage(recorded.select("contract", "from_block", "to_block"))
-    except Exception:  # events are in place; without their coverage the ranges stay unanswered
+    except Exception as fault:  # events are in place; without their coverage the ranges stay unanswered
+        _log.exception("coverage was not recorded")
+        faults.append(f"coverage was not recorded: {fault}")
         had_ranges = F.lit(True)
         failed_write = outcomes.coverage_decision(ranges, firsts, gaps, run_reason, had_ranges)
         touched = present.select("scope_id").distinct()
         decided = failed_write.join(touched, "scope_id", "left_semi").unionByName(decided.join(touched, "scope_id", "left_anti"))
     report = run.keep("report", outcomes.sync_report(decided, failed.select("scope_id", "name", "address")))
-    return SyncResult(total, report)
+    run.drop_all_but("report")
+    return SyncResult(0 if store_failed else total, report, tuple(faults))
 
 
 def _events(candidates: DataFrame, checks: DataFrame, known: DataFrame) -> DataFrame:

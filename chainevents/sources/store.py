@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chainevents.operators.coverage import new_coverage
 from chainevents.operators.ranges import bucket_of
 from chainevents.schemas import BUCKET, CONTRACTS, COVERED_RANGES, EVENT_COLUMNS, EVENT_KEY, EVENTS
 
@@ -59,13 +60,24 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _hadoop(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
+
     def _read(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop = jvm_path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        if not hadoop.exists(jvm_path):
+        hadoop, path = self._hadoop(name)
+        if not hadoop.exists(path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
+    def _versions(self) -> list[int]:
+        """Written versions of the contracts table, oldest first; one without its success marker does not count."""
+        hadoop, path = self._hadoop("contracts")
+        if not hadoop.exists(path):
+            return []
+        names = [s.getPath().getName() for s in hadoop.listStatus(path) if s.isDirectory()]
+        numbers = sorted(int(n.removeprefix("v")) for n in names if n.removeprefix("v").isdigit())
+        return [v for v in numbers if hadoop.exists(self._hadoop(f"contracts/v{v}/_SUCCESS")[1])]
 
     @property
     def events(self) -> DataFrame:
@@ -74,7 +86,9 @@ class Store:
 
     @property
     def contracts(self) -> DataFrame:
-        return self._read("contracts", CONTRACTS)
+        """The newest complete version."""
+        versions = self._versions()
+        return self._read(f"contracts/v{versions[-1]}" if versions else "contracts/none", CONTRACTS)
 
     @property
     def covered_ranges(self) -> DataFrame:
@@ -97,13 +111,16 @@ class Store:
 
     def append_coverage(self, incoming: DataFrame) -> None:
         """Record ranges (contract, from_block, to_block) that are not recorded yet."""
-        key = ["contract", "from_block", "to_block", "source"]
-        sourced = incoming.select("contract", "from_block", "to_block", F.lit("era1").alias("source")).distinct()
-        added = sourced.join(self.covered_ranges.select(*key), key, "left_anti")
-        added.withColumn("recorded_at", F.current_timestamp()).write.mode("append").parquet(f"{self.root}/covered_ranges")
+        stamped = incoming.withColumn("recorded_at", F.current_timestamp())
+        new_coverage(self.covered_ranges, stamped).write.mode("append").parquet(f"{self.root}/covered_ranges")
 
     def upsert_contracts(self, incoming: DataFrame) -> None:
-        """Replace the contracts table by its upserted form, through a written copy."""
-        staged = f"{self.root}/contracts_next"
-        upsert_contracts(self.contracts, incoming).write.mode("overwrite").parquet(staged)
-        self.spark.read.schema(CONTRACTS).parquet(staged).write.mode("overwrite").parquet(f"{self.root}/contracts")
+        """Write the upserted contracts as a new version; readers change to it when it is complete.
+
+        The version before stays for readers that have begun; older ones are removed.
+        """
+        versions = self._versions()
+        upsert_contracts(self.contracts, incoming).write.mode("overwrite").parquet(f"{self.root}/contracts/v{max(versions, default=0) + 1}")
+        for old in versions[:-1]:
+            hadoop, path = self._hadoop(f"contracts/v{old}")
+            hadoop.delete(path, True)

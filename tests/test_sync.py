@@ -2,6 +2,8 @@
 
 import json
 
+from pathlib import Path
+
 import pytest
 from archives import OTHER, OTHER_TEXT, TOKEN, TOKEN_TEXT, TRANSFER_ABI, archive, block, transfer, word, write
 from pyspark.sql import functions as F
@@ -201,7 +203,24 @@ def test_failed_writes(world, part, reason):
     assert world.report[1].reason == reason and world.covered() == []
     # A scope without any present range has no coverage to write.
     assert world.report[2].reason == ("StoreFailure" if part == "events" else "NoSourceData")
-    assert result.total_events == 1
+    # Events that were not stored do not count.
+    assert result.total_events == (0 if part == "events" else 1)
+    assert len(result.faults) == 1 and "disk full" in result.faults[0]
+    # Of the run's written tables only the report, which the result reads, stays.
+    left = [p.name for run in Path(world.folder).rglob("sync-*") for p in run.iterdir()]
+    assert left == ["report"]
+
+
+def test_contracts_versions(world):
+    rows = lambda name: world.spark.createDataFrame([("0xa", name, "[]")], "address string, name string, abi_json string")
+    for name in ("one", "two", "three"):
+        world.store.upsert_contracts(rows(name))
+        assert [r.name for r in world.store.contracts.collect()] == [name]
+    # A version that was begun and never completed is not read.
+    Path(f"{world.folder}/store/contracts/v4").mkdir()
+    assert [r.name for r in world.store.contracts.collect()] == ["three"]
+    world.store.upsert_contracts(rows("four"))
+    assert [r.name for r in world.store.contracts.collect()] == ["four"]
 
 
 def test_audit_choices(world):
