@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,6 +173,69 @@ def uncapped_query(s: Sample) -> DataFrame:
     return _capped(s, Q.EventQuery(), None)
 
 
+# --- the stored layout: partitions by block bucket, sorted by contract and topic -------
+
+_kept: dict[tuple[str, str], store.Store] = {}
+
+
+def stored_layout(s: Sample) -> store.Store:
+    """The stored events written as the sync run writes them; once per application and data directory."""
+    key = (s.spark.sparkContext.applicationId, s.sf_dir)
+    if key not in _kept:
+        folder = s.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+        written = store.Store(s.spark, f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}")
+        low, high = s.present.agg(F.min("block_number"), F.max("block_number")).first()
+        written.append_events(s.logs, low or 0, high or 0)
+        _kept[key] = written
+    return _kept[key]
+
+
+@query(
+    duck(
+        f"SELECT {_ROW} FROM stored WHERE contract = {quote(_ONE)} AND event_name = 'AF' AND block_number BETWEEN 1000 AND 12000",
+        "logs", "stored",
+    )
+)
+def stored_event_query(s: Sample) -> DataFrame:
+    return Q.event_query(stored_layout(s).events, _RANGE)
+
+
+@query(
+    duck(
+        f"SELECT {_ROW} FROM stored WHERE event_name = 'NO' ORDER BY block_number, log_index, tx_index LIMIT 100 OFFSET 250",
+        "logs", "stored",
+    )
+)
+def stored_event_page(s: Sample) -> DataFrame:
+    return Q.event_query(stored_layout(s).events, _TOPIC)
+
+
+@query(
+    duck(
+        "SELECT CAST(count(*) AS BIGINT) AS event_count, (SELECT CAST(count(*) AS BIGINT) FROM registered) AS contract_count FROM stored",
+        "logs", "stored", "contracts", "registered",
+    )
+)
+def stored_totals(s: Sample) -> DataFrame:
+    return status.totals(stored_layout(s).events, s.contracts)
+
+
+@query(
+    duck(
+        f"SELECT CAST(count(*) AS BIGINT) AS first_run, CAST(count(*) AS BIGINT) AS second_run FROM (SELECT DISTINCT {_KEYS} FROM logs)",
+        "logs",
+    )
+)
+def stored_rerun(s: Sample) -> DataFrame:
+    """Rows of the stored table before and after the same events are handed over again."""
+    written = stored_layout(s)
+    first = written.events.agg(F.count(F.lit(1)).alias("first_run"))
+    before = first.first().first_run
+    low, high = s.present.agg(F.min("block_number"), F.max("block_number")).first()
+    written.append_events(s.logs, low or 0, high or 0)
+    return written.events.agg(F.lit(before).cast("bigint").alias("first_run"), F.count(F.lit(1)).alias("second_run"))
+
+
 # --- requests ----------------------------------------------------------------------
 
 _ADDRESSES = "CASE c_custkey % 5 WHEN 0 THEN {none} WHEN 1 THEN {two} WHEN 2 THEN {lower} WHEN 3 THEN {both} ELSE {one} END"
@@ -240,7 +306,7 @@ def page_requests(s: Sample) -> DataFrame:
     ).replace(") , matched", "), matched")
 )
 def query_outcome(s: Sample) -> DataFrame:
-    return Q.query_outcome(s.view("requests"), s.stored, s.contracts, s.covered, s.present, CAP)
+    return Q.query_outcome(s.view("requests"), s.stored, s.contracts, s.covered, CAP)
 
 
 # --- projections and quality ---------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainevents.operators.coverage import range_covered
-from chainevents.operators.ranges import bucket_of, clipped, exploded
+from chainevents.operators.ranges import bucket_of
 from chainevents.schemas import BUCKET
 
 ORDER = ["block_number", "log_index", "tx_index"]
@@ -158,49 +158,49 @@ def page_requests(requests: DataFrame, default_limit: int = 0, cap: int | None =
     )
 
 
-def count_matches(requests: DataFrame, events: DataFrame, span: DataFrame | None = None) -> DataFrame:
+def count_matches(requests: DataFrame, events: DataFrame) -> DataFrame:
     """(request_id, matches): how many events each request selects.
 
-    Events are first counted per block and per bucket. A request adds up whole
-    buckets and looks at single blocks only in the two buckets at its ends, so a
-    wide request on a busy contract never meets its events one by one.
+    Counts per kind of event (contract, name, topic) and block are running sums: what a bucket's blocks hold up to each
+    block, and what earlier buckets hold. A request takes, of each kind it may select, the sum at its last block less
+    the sum before its first one. Kinds and requests are put in order by block together and the last known sum is
+    carried on, so no request is met with single events or cut into buckets.
     """
-    kinds = ["event_name", "topic0"]
-    count = F.count(F.lit(1)).alias("n")
-    by_block = events.groupBy("contract", *kinds, "block_number").agg(count).withColumn("bucket", bucket_of("block_number"))
+    kinds = ["contract", "event_name", "topic0"]
+    by_block = events.groupBy(*kinds, F.col("block_number").alias("at")).agg(F.count(F.lit(1)).alias("n"))
     wanted = requests.select(
-        "request_id", "contract", "event_name", "topic0",
-        F.coalesce("from_block", F.lit(0)).alias("from_block"),
-        F.coalesce("to_block", F.lit(_LARGEST)).alias("to_block"),
-    )
-    pieces = exploded(clipped(wanted, events if span is None else span), "lo", "hi")
-    whole = (F.col("bucket") * BUCKET >= F.col("lo")) & (F.col("bucket") * BUCKET + (BUCKET - 1) <= F.col("hi"))
-    pieces = pieces.withColumn("whole", whole).withColumn("any_contract", F.col("contract").isNull())
-
-    def matched(part: DataFrame, counts: DataFrame, on_contract: bool, ends: bool) -> DataFrame:
-        same = F.col("q.bucket") == F.col("e.bucket")
-        if on_contract:
-            same = same & (F.col("q.contract") == F.col("e.contract"))
-        for c in kinds:
-            same = same & (F.col(f"q.{c}").isNull() | (F.col(f"q.{c}") == F.col(f"e.{c}")))
-        if ends:
-            same = same & F.col("e.block_number").between(F.col("q.lo"), F.col("q.hi"))
-        return part.alias("q").join(counts.alias("e"), same).select("q.request_id", "e.n")
-
-    def summed(*by: str) -> DataFrame:
-        return by_block.groupBy(*by).agg(F.sum("n").alias("n"))
-
-    named, unnamed = pieces.where(~F.col("any_contract")), pieces.where("any_contract")
-    parts = [
-        matched(named.where("whole"), summed("contract", *kinds, "bucket"), True, False),
-        matched(named.where(~F.col("whole")), by_block, True, True),
-        matched(unnamed.where("whole"), summed(*kinds, "bucket"), False, False),
-        matched(unnamed.where(~F.col("whole")), summed(*kinds, "bucket", "block_number"), False, True),
-    ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionAll(part)
-    return union.groupBy("request_id").agg(F.sum("n").cast("bigint").alias("matches"))
+        "request_id", *[F.col(k).alias(f"_{k}") for k in kinds],
+        F.coalesce("from_block", F.lit(0)).alias("low"), F.coalesce("to_block", F.lit(_LARGEST)).alias("high"),
+    ).where(F.col("low") <= F.col("high"))
+    # A request that names a contract selects among that contract's kinds; one that names none has its own sum.
+    held = by_block.select(*kinds).distinct()
+    match = lambda k: F.col(f"_{k}").isNull() | (F.col(f"_{k}") == F.col(k))
+    named = wanted.where("_contract IS NOT NULL").join(held, (F.col("_contract") == F.col("contract")) & match("event_name") & match("topic0"))
+    exact = lambda k: F.concat(F.lit("="), F.col(k))
+    named = named.select("request_id", *[exact(k).alias(k) for k in kinds], "low", "high")
+    unnamed = wanted.where("_contract IS NULL").select("request_id", *[F.coalesce(exact(f"_{k}"), F.lit("*")).alias(k) for k in kinds], "low", "high")
+    ends = named.unionByName(unnamed)
+    of_all = by_block.groupBy("event_name", "topic0", "at").agg(F.sum("n").alias("n"))
+    shapes = [F.struct(*[(exact(k) if k in given else F.lit("*")).alias(k) for k in kinds]) for given in ((), ("event_name",), ("topic0",), ("event_name", "topic0"))]
+    every = of_all.select(F.explode(F.array(*shapes)).alias("kind"), "at", "n").groupBy("kind", "at").agg(F.sum("n").alias("n")).select("kind.*", "at", "n")
+    own = by_block.select(*[exact(k).alias(k) for k in kinds], "at", "n")
+    ends = ends.select(
+        "request_id", *kinds,
+        F.inline(F.array(
+            F.struct((F.col("low") - 1).alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("high").alias("at"), F.lit(1).alias("sign"))
+        )),
+    )
+    none = F.lit(None)
+    id_type = requests.schema["request_id"].dataType
+    sums = own.unionByName(every).select(*kinds, "at", "n", none.cast(id_type).alias("request_id"), none.cast("int").alias("sign"))
+    points = sums.unionByName(ends.withColumn("n", F.lit(0).cast("bigint"))).withColumn("bucket", bucket_of("at"))
+    totals = points.groupBy(*kinds, "bucket").agg(F.sum("n").alias("total"))
+    earlier = Window.partitionBy(*kinds).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*kinds, "bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("carried"))
+    so_far = Window.partitionBy(*kinds, "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = points.withColumn("here", F.sum("n").over(so_far)).where(F.col("sign").isNotNull()).join(carried, [*kinds, "bucket"])
+    signed = F.sum((F.col("here") + F.col("carried")) * F.col("sign"))
+    return asked.groupBy("request_id").agg(signed.cast("bigint").alias("matches"))
 
 
 def query_outcome(
@@ -208,13 +208,9 @@ def query_outcome(
     events: DataFrame,
     contracts: DataFrame,
     covered: DataFrame,
-    span: DataFrame | None = None,
     cap: int | None = None,
 ) -> DataFrame:
-    """(request_id, outcome, rows_returned) for a whole table of requests in one job.
-
-    ``span`` may give the block numbers that bound open-ended requests more cheaply than ``events``.
-    """
+    """(request_id, outcome, rows_returned) for a whole table of requests in one job."""
     known = contracts.select(F.col("address").alias("contract"), F.lit(True).alias("indexed"))
     guarded = F.col("contract").isNotNull() & F.col("from_block").isNotNull() & F.col("to_block").isNotNull()
     holding = range_covered(requests.where(guarded).select("request_id", "contract", "from_block", "to_block"), covered)
@@ -228,7 +224,7 @@ def query_outcome(
             ),
         )
     )
-    counts = count_matches(checked.where(F.col("refused").isNull()), events, span)
+    counts = count_matches(checked.where(F.col("refused").isNull()), events)
     after = F.greatest(F.coalesce("matches", F.lit(0)) - F.col("page_offset"), F.lit(0))
     returned = F.when(F.col("page_limit") == 0, after).otherwise(F.least(after, "page_limit"))
     outcome: Column = (
