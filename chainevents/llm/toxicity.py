@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainevents.llm.common import Scratch, narrow, packed, query, table
+from chainevents.llm.common import Scratch, narrow, query, table
 from chainevents.llm.linear import applied, logistic, sigmoid
 from chainevents.llm.tokens import slices
 
@@ -164,13 +164,16 @@ def without_toxic(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col:
     """The rows of ``docs`` that are not toxic, with all their columns."""
     scored = _scorer(*fit(narrow(docs, id_col, text_col), labels, scratch))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        every = texts.tolist()
-        return pd.Series(np.concatenate([*[scored(every[a:b])[:, 1] for a, b in slices(every)], np.empty(0)]))
-
-    rows = packed(docs, id_col, text_col)
-    return rows.where(score("text") < THRESHOLD).select("row.*")
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            size = max(1, batch.num_rows * (1 << 22) // max(1, texts.nbytes))
+            for k in range(0, batch.num_rows, size):
+                part = batch.slice(k, size)
+                score = scored(["" if t is None else t for t in texts.slice(k, size).to_pylist()])[:, 1]
+                yield part.filter(pa.array(score < THRESHOLD))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 @query()
