@@ -25,9 +25,20 @@ _FAILURE_SQL = """, failures AS (SELECT block_number, CASE WHEN block_number % 3
       WHERE block_number % 397 = 0 OR block_number % 389 = 0),
     tainted AS (SELECT f.block_number, f.reason, s.scope_id, s.from_block, s.to_block FROM failures f JOIN scopes s ON f.block_number BETWEEN s.from_block AND s.to_block),
     firsts AS (SELECT scope_id, min(block_number) AS failed_block, arg_min(reason, block_number) AS reason FROM tainted GROUP BY scope_id)"""
-_DECISION_SQL = """, decided AS (SELECT s.scope_id, s.address AS contract, CASE WHEN f.reason IS NOT NULL THEN f.reason WHEN g.gap_from IS NOT NULL THEN 'NoSourceData' END AS reason,
-      CASE WHEN f.reason IS NULL THEN g.gap_from END AS gap_from, CASE WHEN f.reason IS NULL THEN g.gap_to END AS gap_to, f.reason IS NULL AS records
-    FROM scopes s LEFT JOIN firsts f ON f.scope_id = s.scope_id LEFT JOIN first_gaps g ON g.scope_id = s.scope_id)"""
+# Blocks whose read or store failed, and scopes whose coverage could not be written, where a run has such.
+_SOURCE, _STORE, _WRITE = "block_number % 997 = 5", "block_number % 991 = 6", "scope_id % 5 = 0"
+
+
+def _decision_sql(source: str = "false", store: str = "false", write: str = "false") -> str:
+    return f""", run AS (SELECT CASE WHEN bool_or({source}) THEN 'SourceFailure' WHEN bool_or({store}) THEN 'StoreFailure' END AS why FROM present),
+    reasoned AS (SELECT s.scope_id, s.address, coalesce(f.reason, run.why) AS withheld, s.{write} AS unwritten, g.gap_from, g.gap_to FROM (SELECT *, false AS false FROM scopes) s
+      CROSS JOIN run LEFT JOIN firsts f ON f.scope_id = s.scope_id LEFT JOIN first_gaps g ON g.scope_id = s.scope_id),
+    decided AS (SELECT scope_id, address AS contract, CASE WHEN withheld IS NOT NULL THEN withheld WHEN unwritten THEN 'CoverageWriteFailed' WHEN gap_from IS NOT NULL THEN 'NoSourceData' END AS reason,
+      CASE WHEN withheld IS NULL AND NOT unwritten THEN gap_from END AS gap_from, CASE WHEN withheld IS NULL AND NOT unwritten THEN gap_to END AS gap_to,
+      withheld IS NULL AND NOT unwritten AS records FROM reasoned)"""
+
+
+_DECISION_SQL = _decision_sql()
 
 
 def _sql(*parts: str) -> str:
@@ -132,11 +143,27 @@ def block_outcome(s: Sample) -> DataFrame:
     return joined.select("block_number", outcome.alias("outcome"))
 
 
-def _decided(s: Sample) -> DataFrame:
+def _decided(s: Sample, source: str = "false", store: str = "false", write: str = "false") -> DataFrame:
     gaps = coverage.first_gap(coverage.missing_ranges(_scopes(s), _present(s), _KEYS), _KEYS)
-    flags = s.present.select((F.col("block_number") < 0).alias("source_failed"), F.lit(False).alias("store_failed"))
+    flags = s.present.select(F.expr(source).alias("source_failed"), F.expr(store).alias("store_failed"))
     run_reason = outcomes.run_failure(flags).scalar()
-    return outcomes.coverage_decision(_scopes(s), outcomes.first_failure(_failures(s), _scopes(s), s.present), gaps, run_reason, F.lit(False))
+    return outcomes.coverage_decision(_scopes(s), outcomes.first_failure(_failures(s), _scopes(s), s.present), gaps, run_reason, F.expr(write))
+
+
+@query(_sql(_PRESENT_SQL, _FAILURE_SQL, _decision_sql(_SOURCE, _STORE), " SELECT * FROM decided"))
+def coverage_decision_source_failed(s: Sample) -> DataFrame:
+    """A run whose source and store both failed: the source outranks."""
+    return _decided(s, _SOURCE, _STORE)
+
+
+@query(_sql(_PRESENT_SQL, _FAILURE_SQL, _decision_sql(store=_STORE, write=_WRITE), " SELECT * FROM decided"))
+def coverage_decision_store_failed(s: Sample) -> DataFrame:
+    return _decided(s, store=_STORE, write=_WRITE)
+
+
+@query(_sql(_PRESENT_SQL, _FAILURE_SQL, _decision_sql(write=_WRITE), " SELECT * FROM decided"))
+def coverage_decision_write_failed(s: Sample) -> DataFrame:
+    return _decided(s, write=_WRITE)
 
 
 @query(_sql(_PRESENT_SQL, _FAILURE_SQL, _DECISION_SQL, " SELECT * FROM decided"))

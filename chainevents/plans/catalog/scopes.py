@@ -177,11 +177,24 @@ def abi_events(s: Sample) -> DataFrame:
     return events.select("address", F.col("position").cast("bigint").alias("position"), "event_name", joined("type").alias("types"), joined("name").alias("names"))
 
 
-@query(_abi(f" SELECT address, event_name, event_name || '(' || {_JOINED} || ')' AS signature, '0x' || sha256(event_name || '(' || {_JOINED} || ')') AS digest FROM events_of"))
+_TUPLE = (
+    '[{"type":"event","name":"T","inputs":[{"name":"p","type":"tuple[]","indexed":false,"components":[{"name":"a","type":"address"},'
+    '{"name":"q","type":"tuple[2]","components":[{"name":"x","type":"uint256"},{"name":"y","type":"bytes"}]}]},{"name":"b","type":"bool","indexed":true}]}]'
+)
+
+
+@query(
+    _abi(
+        f""" SELECT address, event_name, event_name || '(' || {_JOINED} || ')' AS signature, CAST(66 AS INTEGER) AS topic_length FROM events_of
+        UNION ALL SELECT address, 'T', 'T((address,(uint256,bytes)[2])[],bool)', 66 FROM contracts"""
+    )
+)
 def event_signature(s: Sample) -> DataFrame:
-    events = registry.abi_events(s.view("contracts").select("address", "abi_json"))
-    signature = registry.flat_signature("event_name", "inputs")
-    return events.select("address", "event_name", signature.alias("signature"), F.concat(F.lit("0x"), F.sha2(signature, 256)).alias("digest"))
+    """Signatures as the registry computes them, with nested tuples."""
+    contracts = s.view("contracts").select("address", "abi_json")
+    events = registry.abi_events(contracts.unionByName(contracts.withColumn("abi_json", F.lit(_TUPLE))))
+    described = registry.with_signatures(events)
+    return described.select("address", "event_name", "signature", F.length("topic0").alias("topic_length"))
 
 
 @query(
