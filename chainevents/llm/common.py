@@ -13,15 +13,24 @@ from chainevents.session import ship_package
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
+#: Most bytes that Spark hands to a Python worker at once; rows of whole texts are large.
+BATCH_BYTES = 8 << 20
+
 _own_folder: list[str] = []
 
 
+def prepare(spark: SparkSession) -> None:
+    """The package for the Python workers, and batches of a bounded size."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def query(sql: str | None = None):
     """Register a function (spark, sf_dir) under its own name, with the DuckDB text that gives the same rows."""
 
     def register(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return function(spark, sf_dir)
 
         run.__name__, run.__doc__ = function.__name__, function.__doc__

@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainevents.llm import exact_dedup, jaccard, packing, suffix_dedup, toxicity
-from chainevents.llm.common import Scratch, table
+from chainevents.llm.common import Scratch, prepare, table
 from chainevents.llm.queries import QUERIES
-from chainevents.session import ship_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"), Scratch(spark, "toxicity"))
 
 
@@ -26,18 +25,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return jaccard.near_dedup(docs, Scratch(spark, "near"), n=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     cut = suffix_dedup.without_repeats(docs, Scratch(spark, "repeats"))
     return cut.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))) if "n_chars" in cut.columns else cut
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return packing.packed_documents(docs, Scratch(spark, "packing"))
 
 
