@@ -24,7 +24,7 @@ from chainevents.llm.common import Scratch, narrow, query, table
 from chainevents.llm.linear import applied, logistic, sigmoid
 from chainevents.llm.tokens import slices
 
-ROWS, TERMS, FOLDS, LEAST = 20_000, 160, 5, 5
+ROWS, TERMS, FOLDS, LEAST = 20_000, 160, 5, 3
 THRESHOLD = 0.5
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¿¡«»„“”‘’–—…"
 
