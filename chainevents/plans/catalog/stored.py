@@ -330,7 +330,7 @@ def _graded(body: str) -> str:
 
 @query(
     _graded(
-        """ SELECT block_number, tx_index, log_index, contract,
+        r""" SELECT block_number, tx_index, log_index, contract,
         CASE WHEN broken IS NOT NULL THEN 'invalid' WHEN bad_data IS NOT NULL OR bad_json IS NOT NULL THEN 'lossy' ELSE 'valid' END AS quality,
         coalesce(broken, CASE WHEN bad_data IS NOT NULL AND bad_json IS NOT NULL THEN bad_data || '; ' || bad_json ELSE coalesce(bad_data, bad_json) END)
           AS quality_reason FROM graded"""
@@ -343,7 +343,7 @@ def row_quality(s: Sample) -> DataFrame:
 
 @query(
     _graded(
-        """ SELECT block_number, tx_index, log_index, contract,
+        r""" SELECT block_number, tx_index, log_index, contract,
         CASE WHEN broken IS NOT NULL THEN 'invalid' WHEN bad_data IS NOT NULL THEN 'lossy' ELSE 'valid' END AS quality,
         coalesce(broken, bad_data) AS quality_reason,
         CASE WHEN bad_data IS NULL THEN lower(regexp_replace(raw_data, '^0x', '')) ELSE '' END AS data,
