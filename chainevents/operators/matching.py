@@ -73,7 +73,9 @@ def bloom_candidates(blocks: DataFrame, targets: DataFrame, span: DataFrame) ->
     The targets carry their scope's range; they are the small side, so the wide
     block rows are filtered where they are read.
     """
-    cut = exploded(clipped(targets, span), "lo", "hi")
+    # Scopes that look for the same event in the same blocks are one target.
+    probed = [c for c in targets.columns if c.startswith("digit")]
+    cut = exploded(clipped(targets.select("from_block", "to_block", *probed).distinct(), span), "lo", "hi")
     inside = F.col("b.block_number").between(F.col("t.from_block"), F.col("t.to_block"))
     probe = (F.col("b.bucket") == F.col("t.bucket")) & inside & bloom_hit(F.col("b.bloom"))
     numbered = blocks.withColumn("bucket", bucket_of("block_number"))

@@ -20,7 +20,7 @@ from chainevents.functions.expressions import hex_text
 from chainevents.operators import blocks as block_ops
 from chainevents.operators import coverage, decode, matching, outcomes
 from chainevents.session import shared_folder
-from chainevents.sources import archive, registry
+from chainevents.sources import checksums, registry
 from chainevents.sources.scopes import validate_scopes
 from chainevents.sources.store import Store
 
@@ -157,8 +157,7 @@ def sync(
     known, prepared = _prepared(scopes, store, overrides, snapshot, run)
     ready, failed = prepared.where("error IS NULL"), prepared.where("error IS NOT NULL")
 
-    manifest = run.keep("manifest", archive.scan_directory(spark, directory, network))
-    files = run.keep("files", archive.prune_files(manifest, ready))
+    files = run.keep("files", checksums.checked_manifest(spark, directory, ready, network))
     return run_blocks(run, read_selected(files), known, ready, failed, store, audit)
 
 

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainevents.operators.ranges import numbered
-from chainevents.sources.archive import open_file
+from chainevents.sources.archive import open_file, prune_files, scan_directory
 
 _HASHING_BUFFER = 64 << 10
+#: The file that lists the checksums of an archive directory.
+LIST_NAME = "checksums.txt"
 
 
 def read_checksum_list(spark: SparkSession, path: str) -> DataFrame:
@@ -80,3 +82,20 @@ def audit_checksums(files: DataFrame, checksums: DataFrame, lists: DataFrame) ->
         status.alias("checksum_status"),
         F.when(status == "mismatched", expected).alias("expected_sha256"),
     )
+
+
+def checked_manifest(spark: SparkSession, directory: str, ranges: DataFrame | None = None, network: str | None = None) -> DataFrame:
+    """The manifest of an archive directory with ``sha256``, ``checksum_status`` and ``expected_sha256``.
+
+    Files outside ``ranges`` are left out by their block index first, and files are read and hashed only where the
+    directory has a checksum list; without one every status is ``unavailable`` and the hash is empty.
+    """
+    manifest = scan_directory(spark, directory, network)
+    files = manifest if ranges is None else prune_files(manifest, ranges)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{directory}/{LIST_NAME}")
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        unknown = {"sha256": F.lit(""), "checksum_status": F.lit("unavailable"), "expected_sha256": F.lit(None).cast("string")}
+        return files.withColumns(unknown)
+    lists = read_checksum_list(spark, f"{directory}/{LIST_NAME}")
+    hashed = hash_files(files).withColumn("list_id", F.lit(""))
+    return audit_checksums(hashed, parse_checksum_lines(lists), lists).drop("list_id")
