@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
+def tidy(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that, when done, gives freed memory back to the system: Python workers live on."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 class Scratch:
     """Tables written to the shared folder: they cut the lineage, so a lost executor costs no earlier stage.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chainevents.llm.common import Scratch, narrow, query, table
+from chainevents.llm.common import Scratch, narrow, query, table, tidy
 from chainevents.llm.components import components
 from chainevents.llm.shingles import mixed, shingle_sets
 from chainevents.llm.tokens import slices
@@ -69,7 +69,7 @@ def common_shingles(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
                 often = times >= OFTEN
                 yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often])], ["shingle", "times"])
 
-    counted = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(rows, "shingle long, times long")
+    counted = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(tidy(rows), "shingle long, times long")
     most = counted.groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(COMMON)
     return np.sort(most.toPandas()["shingle"].to_numpy(np.int64).view(_U))
 
@@ -150,7 +150,7 @@ def signed(docs: DataFrame, n: int, percent: int, common: np.ndarray, id_col: st
                 )
 
     texts = narrow(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
-    return texts.mapInArrow(rows, "id long, key long, n long, node long, sigs array<long>, centers array<long>")
+    return texts.mapInArrow(tidy(rows), "id long, key long, n long, node long, sigs array<long>, centers array<long>")
 
 
 def _sets(docs: DataFrame, keys: DataFrame, n: int, text_col: str) -> DataFrame:
@@ -175,7 +175,7 @@ def _sets(docs: DataFrame, keys: DataFrame, n: int, text_col: str) -> DataFrame:
 
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     found = texts.join(keys, "key", "left_semi").select("text")
-    return found.mapInArrow(rows, "node long, n long, sketch array<long>, hashes array<long>").dropDuplicates(["node"])
+    return found.mapInArrow(tidy(rows), "node long, n long, sketch array<long>, hashes array<long>").dropDuplicates(["node"])
 
 
 def _near(percent: int) -> F.Column:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainevents.llm.common import Scratch, narrow, query, table
+from chainevents.llm.common import Scratch, narrow, query, table, tidy
 from chainevents.llm.tokens import encoder, slices
 
 #: Share of the capacity from which a bin counts as nearly full; underfull bins a partition hands on; partitions that feed one of the next round.
@@ -88,11 +88,11 @@ def cut(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.
     return item, start, np.where(place == 0, head[item], capacity)
 
 
-def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", remembered: int = 250_000) -> DataFrame:
     """Pieces of at most ``capacity`` ids of each document, its end id included."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary, spaces_kept=True).encode
+        encode = encoder(vocabulary, spaces_kept=True, limit=remembered).encode
         for batch in batches:
             texts, names = batch["text"].tolist(), batch["id"]
             for a, b in slices(texts):
@@ -108,7 +108,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: st
                 place = np.arange(len(item)) - np.searchsorted(item, item)
                 yield pd.DataFrame({"doc_id": names.iloc[a:b].to_numpy()[item], "piece": place.astype(np.int32), "start": start, "length": length, "ids_crc32": crc})
 
-    return narrow(docs, id_col, text_col).mapInPandas(pieces, _PIECES)
+    return narrow(docs, id_col, text_col).mapInPandas(tidy(pieces), _PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
@@ -123,7 +123,7 @@ def pack(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
         for rows in _whole(batches):
             yield _pack(rows.assign(bin=np.arange(len(rows)), at=0, filled=rows["length"]), capacity, _numbers(0), False)
 
-    done, rows, level = None, scratch.write(pieces.mapInPandas(local, schema), "level-0"), 0
+    done, rows, level = None, scratch.write(pieces.mapInPandas(tidy(local), schema), "level-0"), 0
     parts = max(1, pieces.rdd.getNumPartitions())
     while parts > 1:
         parts, level = -(-parts // FAN_IN), level + 1
@@ -134,19 +134,20 @@ def pack(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
 
         closed = rows.where("not open")
         done = closed if done is None else done.unionByName(closed)
-        rows = scratch.write(rows.where("open").repartition(parts, "bin").mapInPandas(merge, schema), f"level-{level}")
+        rows = scratch.write(rows.where("open").repartition(parts, "bin").mapInPandas(tidy(merge), schema), f"level-{level}")
     rows = rows if done is None else done.unionByName(rows)
     return rows.select(*[F.col(x) for x in pieces.columns], F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
 
 
-def packed_documents(docs: DataFrame, scratch: Scratch, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed_documents(docs: DataFrame, scratch: Scratch, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", remembered: int = 250_000) -> DataFrame:
     """Documents as token ids in as few sequences of at most ``capacity`` ids as best fit finds, one row per piece.
 
     Null text counts as empty and makes a piece of the end id alone; null ids and repeated rows are packed like others.
+    ``remembered`` is the number of text parts whose ids a worker keeps: memory against time.
     """
     import public_tokenizers
 
-    return pack(tokenized_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity, id_col, text_col), capacity, scratch)
+    return pack(tokenized_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity, id_col, text_col, remembered), capacity, scratch)
 
 
 @query()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chainevents.llm.common import Scratch, query, table
+from chainevents.llm.common import Scratch, query, table, tidy
 from chainevents.llm.shingles import mixed
 from chainevents.llm.suffixes import DEPTH, suffix_array
 from chainevents.llm.tokens import slices
@@ -241,16 +241,16 @@ def removed_ranges(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str
     """Documents that share a string with another text (``key, id, text``), and ``key, low, high`` of what goes from them."""
     rows = _identified(docs, id_col, text_col)
     group = Window.partitionBy("anchor")
-    anchors = rows.select("key", "text").mapInArrow(_anchors, "anchor long, key long")
+    anchors = rows.select("key", "text").mapInArrow(tidy(_anchors), "anchor long, key long")
     often = anchors.select("anchor", "key", F.count(F.lit(1)).over(group).alias("times"), F.min("key").over(group).alias("a"), F.max("key").over(group).alias("b"))
     lists = often.where("a < b").groupBy("key").agg(F.collect_list(F.struct("anchor", "times")).alias("x"))
     lists = lists.select("key", F.col("x.anchor").alias("anchors"), F.col("x.times").alias("times"))
     lists = scratch.write(lists.join(rows.groupBy("key").agg(F.min("id").alias("id")), "key"), "anchors")
     touched = scratch.write(rows.join(lists, ["key", "id"]), "touched")
     scratch.drop("anchors")
-    strings = scratch.write(touched.sortWithinPartitions("id").mapInArrow(_strings, "key long, low long, high long, deal long, id long, bytes binary"), "strings")
+    strings = scratch.write(touched.sortWithinPartitions("id").mapInArrow(tidy(_strings), "key long, low long, high long, deal long, id long, bytes binary"), "strings")
     dealt = strings.where("bytes is not null").repartition("deal").sortWithinPartitions("deal")
-    ranges = strings.where("bytes is null").select("key", "low", "high").union(dealt.mapInArrow(_meet, "key long, low long, high long"))
+    ranges = strings.where("bytes is null").select("key", "low", "high").union(dealt.mapInArrow(tidy(_meet), "key long, low long, high long"))
     ranges = scratch.write(ranges, "ranges")
     scratch.drop("strings")
     return touched.select("key", "id", "text"), ranges
@@ -260,7 +260,7 @@ def _verdicts(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) ->
     """By ``key`` of the text: the document that keeps it (``first``); and what was cut out of that document's text."""
     touched, ranges = removed_ranges(docs, scratch, id_col, text_col)
     lists = ranges.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("x")).select("key", F.col("x.low").alias("lows"), F.col("x.high").alias("highs"))
-    cut = touched.join(lists, "key").dropDuplicates(["key"]).select("key", "text", "lows", "highs").mapInArrow(_cut_out, "key long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    cut = touched.join(lists, "key").dropDuplicates(["key"]).select("key", "text", "lows", "highs").mapInArrow(tidy(_cut_out), "key long, n_removed long, n_spans long, kept_sha256 string, kept string")
     firsts = _identified(docs, id_col, text_col).groupBy("key").agg(F.min("id").alias("first"))
     return firsts, scratch.write(cut, "cut")
 

@@ -128,10 +128,11 @@ class PartEncoder:
 _encoders: dict[str, PartEncoder] = {}
 
 
-def encoder(path: str, spaces_kept: bool) -> PartEncoder:
-    """One for each worker process and vocabulary."""
+def encoder(path: str, spaces_kept: bool, limit: int = 250_000) -> PartEncoder:
+    """One for each worker process and vocabulary; ``limit`` bounds the parts it keeps from now on."""
     if path not in _encoders:
         _encoders[path] = PartEncoder(path, spaces_kept)
+    _encoders[path].limit = limit
     return _encoders[path]
 
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainevents.llm.common import Scratch, narrow, query, table
+from chainevents.llm.common import Scratch, narrow, query, table, tidy
 from chainevents.llm.linear import applied, logistic, sigmoid
 from chainevents.llm.tokens import slices
 
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[dict[str,
                 own = [[names[t] for t in ts] for ts in np.split(term, np.searchsorted(text, np.arange(1, b - a)))]
                 yield pd.DataFrame({"y": batch["y"].iloc[a:b].to_numpy(), "terms": own})
 
-    sample = scratch.write(labelled_sample(docs, labels, "toxic", ROWS).mapInPandas(listed, "y int, terms array<string>"), "toxicity-sample")
+    sample = scratch.write(labelled_sample(docs, labels, "toxic", ROWS).mapInPandas(tidy(listed), "y int, terms array<string>"), "toxicity-sample")
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -156,7 +156,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str =
                 p = scored(every[a:b])
                 yield pd.DataFrame({"doc_id": batch["id"].iloc[a:b].astype("Int64").to_numpy(object), "p_severe": p[:, 0], "score": p[:, 1]})
 
-    found = texts.mapInPandas(rows, "doc_id long, p_severe double, score double")
+    found = texts.mapInPandas(tidy(rows), "doc_id long, p_severe double, score double")
     return found.withColumn("toxic", F.col("score") >= THRESHOLD).withColumn("predicted", F.col("toxic").cast("int"))
 
 
@@ -173,7 +173,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col:
                 score = scored(["" if t is None else t for t in texts.slice(k, size).to_pylist()])[:, 1]
                 yield part.filter(pa.array(score < THRESHOLD))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidy(clean), docs.schema)
 
 
 @query()

@@ -37,7 +37,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return packing.packed_documents(docs, Scratch(spark, "packing"))
+    return packing.packed_documents(docs, Scratch(spark, "packing"), remembered=60_000)
 
 
 STAGES = [
