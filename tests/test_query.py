@@ -41,7 +41,7 @@ def tables(spark):
 
 def test_cap_only_at_the_hard_limit(tables):
     events, contracts, covered = tables
-    ask = lambda **k: Q.query_events(events, contracts, covered, Q.EventQuery(**k))
+    ask = lambda cap=10_000, **k: Q.query_events(events, contracts, covered, Q.EventQuery(**k), cap)
     outcome, rows = ask(limit=10_000)
     assert outcome == "Capped" and rows.count() == 10_000
     assert ask(limit=10_000, offset=1)[0] == "Results"
@@ -49,11 +49,26 @@ def test_cap_only_at_the_hard_limit(tables):
     outcome, rows = ask(limit=0)
     assert outcome == "Results" and rows.count() == 10_001
     assert ask(limit=100, offset=20_000)[0] == "Empty"
+    # Without a cap nothing is cut and nothing is reported as cut.
+    outcome, rows = ask(cap=None, limit=10_000)
+    assert outcome == "Results" and rows.count() == 10_000
+
+
+def test_stored_layout_is_pruned(spark, folder):
+    from chainevents.sources.store import Store
+
+    store = Store(spark, folder)
+    store.append_events(events_of(spark, *[event(b * 9000, 0) for b in range(8)]), 0, 63_000)
+    wanted = Q.EventQuery(contract=TOKEN, topic0="0xt", from_block=9000, to_block=20_000)
+    plan = Q.filter_events(store.events, wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(block_bucket" in plan
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "EqualTo(contract,0x" in pushed and "IsNotNull(topic0)" in pushed, pushed
 
 
 def test_guards(tables):
     events, contracts, covered = tables
-    ask = lambda **k: Q.query_events(events, contracts, covered, Q.EventQuery(**k))[0]
+    ask = lambda cap=10_000, **k: Q.query_events(events, contracts, covered, Q.EventQuery(**k), cap)[0]
     assert ask(contract=TOKEN.lower()) == "NotIndexed"
     assert ask(contract=TOKEN, from_block=50, to_block=60) == "Results"
     # Two adjacent ranges do not add up, and the guard needs both bounds.
@@ -66,9 +81,8 @@ def test_guards(tables):
 def test_deep_page_equals_slice(spark, limit, offset):
     rows = [event(b * 3000, log) for b in range(6) for log in range(b % 3 + 1)]
     want = sorted((r[3], r[7]) for r in rows)[offset : offset + limit if limit else None]
-    for page in (Q.deep_page, Q.page):
-        got = [(r.block_number, r.log_index) for r in page(events_of(spark, *rows), limit, offset).collect()]
-        assert got == want
+    got = [(r.block_number, r.log_index) for r in Q.page(events_of(spark, *rows), limit, offset).collect()]
+    assert got == want
 
 
 def test_strict_and_flagged_reading(spark):
