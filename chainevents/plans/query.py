@@ -172,18 +172,17 @@ def count_matches(requests: DataFrame, events: DataFrame) -> DataFrame:
         "request_id", *[F.col(k).alias(f"_{k}") for k in kinds],
         F.coalesce("from_block", F.lit(0)).alias("low"), F.coalesce("to_block", F.lit(_LARGEST)).alias("high"),
     ).where(F.col("low") <= F.col("high"))
-    # A request that names a contract selects among that contract's kinds; one that names none has its own sum.
-    held = by_block.select(*kinds).distinct()
-    match = lambda k: F.col(f"_{k}").isNull() | (F.col(f"_{k}") == F.col(k))
-    named = wanted.where("_contract IS NOT NULL").join(held, (F.col("_contract") == F.col("contract")) & match("event_name") & match("topic0"))
     exact = lambda k: F.concat(F.lit("="), F.col(k))
-    named = named.select("request_id", *[exact(k).alias(k) for k in kinds], "low", "high")
+    shapes = [tuple(kinds), (), ("event_name",), ("topic0",), ("event_name", "topic0")]
+    shaped = [F.struct(*[(exact(k) if k in given else F.lit("*")).alias(k) for k in kinds]) for given in shapes]
+    counts = by_block.select(F.explode(F.array(*shaped)).alias("kind"), "at", "n").groupBy("kind", "at").agg(F.sum("n").alias("n")).select("kind.*", "at", "n")
+    # A request that names a contract selects among that contract's kinds; one that names none has its own sum.
+    held = counts.where("contract <> '*'").select(*kinds).distinct()
+    match = lambda k: F.col(f"_{k}").isNull() | (exact(f"_{k}") == F.col(k))
+    named = wanted.where("_contract IS NOT NULL").withColumn("contract", exact("_contract")).join(held, "contract")
+    named = named.where(match("event_name") & match("topic0")).select("request_id", *kinds, "low", "high")
     unnamed = wanted.where("_contract IS NULL").select("request_id", *[F.coalesce(exact(f"_{k}"), F.lit("*")).alias(k) for k in kinds], "low", "high")
     ends = named.unionByName(unnamed)
-    of_all = by_block.groupBy("event_name", "topic0", "at").agg(F.sum("n").alias("n"))
-    shapes = [F.struct(*[(exact(k) if k in given else F.lit("*")).alias(k) for k in kinds]) for given in ((), ("event_name",), ("topic0",), ("event_name", "topic0"))]
-    every = of_all.select(F.explode(F.array(*shapes)).alias("kind"), "at", "n").groupBy("kind", "at").agg(F.sum("n").alias("n")).select("kind.*", "at", "n")
-    own = by_block.select(*[exact(k).alias(k) for k in kinds], "at", "n")
     ends = ends.select(
         "request_id", *kinds,
         F.inline(F.array(
@@ -192,7 +191,7 @@ def count_matches(requests: DataFrame, events: DataFrame) -> DataFrame:
     )
     none = F.lit(None)
     id_type = requests.schema["request_id"].dataType
-    sums = own.unionByName(every).select(*kinds, "at", "n", none.cast(id_type).alias("request_id"), none.cast("int").alias("sign"))
+    sums = counts.select(*kinds, "at", "n", none.cast(id_type).alias("request_id"), none.cast("int").alias("sign"))
     points = sums.unionByName(ends.withColumn("n", F.lit(0).cast("bigint"))).withColumn("bucket", bucket_of("at"))
     totals = points.groupBy(*kinds, "bucket").agg(F.sum("n").alias("total"))
     earlier = Window.partitionBy(*kinds).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
