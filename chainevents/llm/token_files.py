@@ -29,14 +29,15 @@ _SLOTS = 18
 _FILE = "shard int, block int, n_ids long, doc_ids binary, starts binary, places binary, base long, rules binary, lengths binary, sequence binary"
 
 
-def _frequent(key: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _frequent(sequence: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the most frequent pairs, which pair each is, and the pairs; counted by hash slot first, then exactly."""
-    slot = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)
-    slot = slot.astype(np.int64)
+    left, right = sequence[:-1], sequence[1:]
+    slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _SLOTS)
     counts = np.bincount(slot[may], minlength=1 << _SLOTS)
     least = max(LEAST, int(np.partition(counts, -PAIRS)[-PAIRS]))
     at = np.flatnonzero((counts >= least)[slot] & may)
-    pairs, which, times = np.unique(key[at], return_inverse=True, return_counts=True)
+    key = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
+    pairs, which, times = np.unique(key, return_inverse=True, return_counts=True)
     chosen = np.lexsort((pairs, -times))[:PAIRS]
     chosen = chosen[times[chosen] >= LEAST]
     rank = np.full(len(pairs), -1)
@@ -50,12 +51,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
     their expansion lengths. ``ends`` are the places just behind each document."""
     last = np.zeros(len(ids), bool)
     last[ends - 1] = True
-    sequence, rules, lengths = ids.astype(np.uint64), [np.empty((0, 2), np.uint32)], [np.ones(base, np.int64)]
+    sequence, rules, lengths = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)], [np.ones(base, np.int64)]
     made = base
     for _ in range(ROUNDS):
         if len(sequence) < 2:
             break
-        at, rank, pairs = _frequent((sequence[:-1] << np.uint64(32)) | sequence[1:], ~last[:-1])
+        at, rank, pairs = _frequent(sequence, ~last[:-1])
         if not len(pairs):
             break
         # of occurrences that overlap, every second one of a run is replaced
@@ -63,7 +64,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         run = np.repeat(begins, np.diff(np.append(begins, len(at))))
         taken = (np.arange(len(at)) - run) % 2 == 0
         at, rank = at[taken], rank[taken]
-        sequence[at] = made + rank.astype(np.uint64)
+        sequence[at] = made + rank
         last[at] = last[at + 1]
         stays = np.ones(len(sequence), bool)
         stays[at + 1] = False

@@ -66,30 +66,41 @@ class PartEncoder:
         """Of different parts; those worth it are kept for later batches."""
         if len(self.known) > self.limit:
             self.older, self.known = self.known, {}
-        known, older, marks = self.known, self.older, self.marks
+        known, older = self.known, self.older
         found = list(map(known.get, parts))
-        missing = [k for k, x in enumerate(found) if x is None]
-        heads: dict[str, bytes | None] = {}
-        again = []
-        for k in missing:
+        missing = []
+        for k in [k for k, x in enumerate(found) if x is None]:
             part = parts[k]
-            ids = older.get(part)
-            if ids is None:
-                tail = part[-1] if part and part[-1] in marks and part[-2:-1].isalpha() else ""
-                head = part[:-1] if tail else part
-                heads[head] = known.get(head)
-                again.append((k, head, tail))
+            found[k] = older.get(part)
+            if found[k] is None:
+                missing.append(k)
             else:
-                found[k] = known[part] = ids
-        new = [h for h, x in heads.items() if x is None]
-        heads.update(zip(new, self._words(new), strict=True))
-        for k, head, tail in again:
-            ids = found[k] = heads[head] + marks[tail] if tail else heads[head]
-            if len(head) < self.longest:
-                known[parts[k]] = ids
-                known[head] = heads[head]
+                known[part] = found[k]
+        new = [parts[k] for k in missing]
+        for k, part, ids in zip(missing, new, self._words(new), strict=True):
+            found[k] = ids
+            if len(part) <= self.longest:
+                known[part] = ids
         return found
 
+    def _pool(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different parts one behind the other, with starts and sizes. A mark after a letter is a word of its own."""
+        marked = pc.match_substring_regex(parts, r"\pL[.,]$")
+        heads = pc.if_else(marked, pc.utf8_slice_codeunits(parts, 0, -1), parts).dictionary_encode()
+        pieces = self._ids(heads.dictionary.to_pylist())
+        at, extra = heads.indices.to_numpy(), marked.to_numpy(zero_copy_only=False).astype(np.int32)
+        lengths = np.fromiter(map(len, pieces), np.int32, len(pieces)) >> 2
+        own, begin = lengths[at], (np.cumsum(lengths) - lengths)[at]
+        sizes = own + extra
+        starts = np.cumsum(sizes) - sizes
+        pool = np.zeros(int(sizes.sum()), "<u4")
+        inside = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+        pool[np.repeat(starts, own) + inside] = np.frombuffer(b"".join(pieces), "<u4")[np.repeat(begin, own) + inside]
+        dot = pc.ends_with(parts, ".").to_numpy(zero_copy_only=False)
+        last = np.flatnonzero(extra)
+        pool[starts[last] + own[last]] = np.where(dot[last], *(np.frombuffer(self.marks[m], "<u4")[0] for m in ".,"))
+        return pool, starts.astype(np.int32), sizes.astype(np.int32)
+
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         whole: dict[int, bytes] = {}
         plain = list(texts)
@@ -104,17 +115,14 @@ class PartEncoder:
         split = pc.split_pattern(column, " ")
         bounds = split.offsets.to_numpy()
         coded = split.values.dictionary_encode()
-        at = coded.indices.to_numpy().astype(np.int32)
-        different = coded.dictionary.to_pylist()
+        at, different = coded.indices.to_numpy().astype(np.int32), coded.dictionary
         if self.spaces_kept:  # a text's first part has no space before it
-            firsts = bounds[:-1]
-            first_parts = list({different[k] for k in at[firsts]})
-            place = {p: len(different) + k for k, p in enumerate(first_parts)}
-            at[firsts] = [place[different[k]] for k in at[firsts]]
-            different = [" " + p for p in different] + first_parts
-        pieces = self._ids(different)
-        sizes = np.fromiter((len(p) // 4 for p in pieces), np.int32, len(pieces))
-        pool, starts = np.frombuffer(b"".join(pieces), "<u4"), (np.cumsum(sizes) - sizes).astype(np.int32)
+            firsts = at[bounds[:-1]]
+            used, place = np.unique(firsts, return_inverse=True)
+            at[bounds[:-1]] = len(different) + place
+            none, space = pa.scalar("", different.type), pa.scalar(" ", different.type)
+            different = pa.concat_arrays([pc.binary_join_element_wise(none, different, space), different.take(pa.array(used))])
+        pool, starts, sizes = self._pool(different)
         each = sizes[at]
         ends = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
         ids = pool[np.repeat((starts[at] - ends[:-1]).astype(np.int32), each) + np.arange(ends[-1], dtype=np.int32)]
