@@ -82,7 +82,7 @@ class Scratch:
 
     def write(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
-        before = self.spark.conf.get(self.CLEAN)
+        before = self.spark.conf.get(self.CLEAN, "false")
         self.spark.conf.set(self.CLEAN, "true")
         try:
             frame.write.option("compression", "zstd").parquet(path)
