@@ -2,8 +2,9 @@
 
 A page is cut into flat blocks at block-level tags. A block knows its words, its link density (share of words inside
 links), both for the blocks before and after it, whether it is a heading, and what encloses it: an article or main
-element, or one that by its tag, role, class or id is page furniture. A small decision tree, grown from the labelled
-blocks below, decides which blocks are main text.
+element, or one that by its tag, role, class or id is page furniture. What stands around an article or main element is
+layout, so furniture counts inside it only; an article within an article (a comment, say) belongs to the outer one. A
+small decision tree, grown from the labelled blocks below, decides which blocks are main text.
 """
 
 from __future__ import annotations
@@ -28,15 +29,18 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _CLOSED_BY_BLOCK = {"p"} | _HEADINGS | _INLINE
-_HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|sidebar\w*|side-?bar|menu\w*|nav\w*|navbar|breadcrumb\w*|header|masthead|footer|cookie\w*|consent|notice\w*|alert"
-    r"|popup|modal|overlay|newsletter|subscribe|signup|login|share\w*|social|related|recommend\w*|comment\w*|disqus|reply|replies|respond|widget|toolbar|pager|pagination|legal|copyright|tags?)(?:$|[\s_-])",
-    re.I,
+#: What a class or id says of furniture, alone or joined to others; longer names (has-sidebar, no-header) tell of the layout.
+_HINT = (
+    r"(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|sidebar\w*|side-?bar|menu\w*|nav\w*|navbar|breadcrumb\w*|header|masthead|footer|cookie\w*|consent|notice\w*|alert"
+    r"|popup|modal|overlay|newsletter|subscribe|signup|login|share\w*|social|related|recommend\w*|comment\w*|disqus|reply|replies|respond|widget|toolbar|pager|pagination|legal|copyright|tags?)"
 )
+_HINTS = re.compile(rf"(?:(?:site|page|main|global|primary|secondary)[_-])?{_HINT}(?:[_-]{_HINT})*", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"}
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTES = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTES = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
+#: What may stand in a head; anything else ends it, whether </head> is there or not.
+_IN_HEAD = {"head", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template"}
 
 COLUMNS = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "in_main", "in_furniture")
 
@@ -102,7 +106,7 @@ def _is_furniture(tag: str, attributes: str) -> bool:
         return False
     for name, *values in _ATTRIBUTES.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name in ("class", "id") and _HINTS.search(value) or name == "role" and value.lower() in _ROLES:
+        if name in ("class", "id") and any(_HINTS.fullmatch(x) for x in value.split()) or name == "role" and value.lower() in _ROLES:
             return True
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -117,10 +121,19 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, main, furniture, skipped
     links = 0
 
+    def opens() -> int:
+        """Where in the stack the outermost article or else the innermost main element stands."""
+        tags = [s[0] for s in stack if s[1]]
+        if not tags:
+            return 0
+        wanted = "article" if "article" in tags else "main"
+        places = [k for k, s in enumerate(stack) if s[0] == wanted]
+        return places[0] if wanted == "article" else places[-1]
+
     def close_block() -> None:
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            main, furniture = any(s[1] for s in stack), any(s[2] for s in stack)
+            main, furniture = any(s[1] for s in stack), any(s[2] for s in stack[opens() :])
             words = text.count(" ") + 1
             inside = len(html.unescape("".join(linked)).split())
             out.append((text, words, min(words, inside), any(s[0] in _HEADINGS for s in stack), main, furniture))
@@ -131,6 +144,8 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     while at < len(page):
         found = _MARKUP.search(page, at)
         text = page[at : found.start() if found else len(page)]
+        if stack and stack[-1][0] == "head" and text.strip():
+            stack.pop()
         if text and not any(s[3] for s in stack):
             pieces.append(text)
             if links:
@@ -151,6 +166,8 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
                     if last == tag:
                         break
             continue
+        if stack and stack[-1][0] == "head" and tag not in _IN_HEAD:
+            stack.pop()
         if tag in _VOID or found[3].endswith("/") and tag in _SKIPPED:
             continue
         if tag not in _INLINE:

@@ -437,6 +437,28 @@ def test_html_extraction(spark):
     assert html_text.extract(frame.where("1 = 0")).collect() == []
 
 
+LONG = "These are the words of a long article that nobody may lose. " * 5
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div style="overflow: hidden"><p>%s</div>', '<div title="the hidden valley"><p>%s</div>', '<div data-hidden="false"><p>%s</div>',
+        '<div class="page has-sidebar"><p>%s</div>', '<div class="page no-sidebar"><article><p>%s</article></div>', "<form><main><p>%s</main></form>",
+        "<html><head><title>T</title><meta charset=utf-8><body><p>%s", "<head><title>T</title><link rel=x><p>%s", "<head><style>p{}</style>%s",
+    ],
+)
+def test_layout_and_open_head_lose_no_article(page):
+    assert html_text.main_text(page % LONG, html_text.trained_tree()) == LONG.strip()
+
+
+@pytest.mark.parametrize(
+    "page", ["<div hidden><p>%s</div>", "<div class='x sidebar'><p>%s</div>", "<div id=site-footer><p>%s</div>", "<article><div class=comments><article>%s</article></div></article>", "<head><title>%s</title><template>%s</template>"]
+)
+def test_furniture_still_goes(page):
+    assert html_text.main_text(page.replace("%s", LONG), html_text.trained_tree()) == ""
+
+
 def test_tree_fits_its_table():
     known = np.array(html_text.LABELLED, float)
     assert (html_text.trained_tree().predict(known[:, :-1]) == known[:, -1]).all()
