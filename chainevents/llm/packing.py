@@ -1,9 +1,12 @@
-"""Best-fit packing in rounds: each partition packs what it holds, nearly full bins are done, and the underfull ones
-go up a tree of ever fewer partitions as items of the next best-fit round.
+"""Best-fit packing in rounds: pieces are dealt evenly, so that each partition holds long and short ones in the mix of the
+whole table and packs them, and the bins that may still merge go on as items of the next best-fit round.
 
 A bin is known by a number and its pieces are rows ``bin, at`` (place in the bin), so merging two bins moves one of
-them behind the other. A partition hands on at most ``CARRIED`` underfull bins, the emptiest; the others are done as
-they are. So the root of the tree reads a bounded number of bins.
+them behind the other. No bin is closed that could make the result shorter. Two bins over half full never fit together,
+so each merge saves one bin of at most half, and n of those can save n bins at most, with n fuller partners; where a
+fuller partner serves, an emptier one does too. So the 2n emptiest bins of all partitions are all that a round needs.
+Best fit leaves at most one bin of at most half per task, so a round reads at most two bins for each task of the one
+before; it gets as many tasks as their rows need.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 from chainevents.llm.common import Scratch, narrow, query, table, tidy
 from chainevents.llm.tokens import encoder, slices
 
-#: Share of the capacity from which a bin counts as nearly full; underfull bins a partition hands on; partitions that feed one of the next round.
-FULL, CARRIED, FAN_IN = 0.99, 4096, 8
+#: Rows that make one task of a merge round (more where a bin may have more).
+MERGED = 16_384
 #: Ends each document.
 END = 0
 
@@ -53,18 +56,13 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, starts
 
 
-def _pack(rows: pd.DataFrame, capacity: int, number: int, last: bool) -> pd.DataFrame:
+def _pack(rows: pd.DataFrame, capacity: int, number: int) -> pd.DataFrame:
     """One best-fit round over the bins in ``rows``; ``number`` is the first free bin number of this task."""
     names, first, item = np.unique(rows["bin"].to_numpy(), return_index=True, return_inverse=True)
     sizes = rows["filled"].to_numpy()[first]
     into, shift = best_fit(sizes, capacity)
     filled = np.bincount(into, sizes, int(into.max()) + 1 if len(into) else 0).astype(np.int64)
-    open_ = np.zeros(len(filled), bool) if last else filled < FULL * capacity
-    if open_.sum() > CARRIED:
-        emptiest = np.argsort(np.where(open_, filled, capacity + 1), kind="stable")[:CARRIED]
-        open_ = np.zeros(len(filled), bool)
-        open_[emptiest] = True
-    return rows.assign(bin=number + into[item], at=rows["at"].to_numpy() + shift[item], filled=filled[into[item]], open=open_[into[item]])
+    return rows.assign(bin=number + into[item], at=rows["at"].to_numpy() + shift[item], filled=filled[into[item]])
 
 
 def _whole(batches: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:
@@ -111,31 +109,45 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: st
     return narrow(docs, id_col, text_col).mapInPandas(tidy(pieces), _PIECES)
 
 
+def _mergeable(rows: DataFrame, capacity: int) -> F.Column | None:
+    """Which rows are of the bins that another round needs; None if all bins are over half full."""
+    bins = rows.where("at = 0").select("filled", "bin")
+    half = bins.where(F.col("filled") * 2 <= capacity).count()
+    if not half:
+        return None
+    last = bins.orderBy("filled", "bin").limit(2 * half).agg(F.max(F.struct("filled", "bin")).alias("last")).first()["last"]
+    return (F.col("filled") < last.filled) | (F.col("filled") == last.filled) & (F.col("bin") <= last.bin)
+
+
 def pack(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
     """``pieces`` (with a ``length`` of 1 to ``capacity``) with ``sequence_id`` and ``offset`` added.
 
     Other columns are carried along. Equal rows are separate items; an empty table gives an empty result.
     """
     columns = [f"`{x.name}` {x.dataType.simpleString()}" for x in pieces.schema]
-    schema = ", ".join([*columns, "bin long", "at long", "filled long", "open boolean"])
+    schema = ", ".join([*columns, "bin long", "at long", "filled long"])
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _whole(batches):
-            yield _pack(rows.assign(bin=np.arange(len(rows)), at=0, filled=rows["length"]), capacity, _numbers(0), False)
+            yield _pack(rows.assign(bin=np.arange(len(rows)), at=0, filled=rows["length"]), capacity, _numbers(0))
 
-    done, rows, level = None, scratch.write(pieces.mapInPandas(tidy(local), schema), "level-0"), 0
-    parts = max(1, pieces.rdd.getNumPartitions())
-    while parts > 1:
-        parts, level = -(-parts // FAN_IN), level + 1
+    parts, level, done = max(1, pieces.rdd.getNumPartitions()), 0, []
+    dealt = pieces.repartition(parts) if parts > 1 else pieces
+    rows = scratch.write(dealt.mapInPandas(tidy(local), schema), "level-0")
+    while parts > 1 and (needed := _mergeable(rows, capacity)) is not None:
+        level += 1
 
-        def merge(batches: Iterator[pd.DataFrame], level: int = level, last: bool = parts == 1) -> Iterator[pd.DataFrame]:
+        def merge(batches: Iterator[pd.DataFrame], level: int = level) -> Iterator[pd.DataFrame]:
             for rows in _whole(batches):
-                yield _pack(rows, capacity, _numbers(level), last)
-
-        closed = rows.where("not open")
-        done = closed if done is None else done.unionByName(closed)
-        rows = scratch.write(rows.where("open").repartition(parts, "bin").mapInPandas(tidy(merge), schema), f"level-{level}")
-    rows = rows if done is None else done.unionByName(rows)
+                yield _pack(rows, capacity, _numbers(level))
+
+        going = rows.where(needed)
+        parts = -(-going.count() // max(MERGED, 8 * capacity))
+        done.append(rows.where(~needed))
+        going = going.repartition(parts, "bin") if parts > 1 else going.repartition(1)
+        rows = scratch.write(going.mapInPandas(tidy(merge), schema), f"level-{level}")
+    for closed in done:
+        rows = rows.unionByName(closed)
     return rows.select(*[F.col(x) for x in pieces.columns], F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
 
 

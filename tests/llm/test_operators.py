@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from cases import CLASHES, awkward_rows, crc, documents, plain_components, plain_repeats, prose
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chainevents.llm import bpe, exact_dedup, html_text, jaccard, packing, quality, suffix_dedup, token_files, topk, toxicity
@@ -125,6 +126,27 @@ def test_packing_rounds_merge_bins(spark, scratch):
     assert len({r.sequence_id for r in got}) <= 1.03 * alone
 
 
+def test_packing_fills_bins_of_a_hot_partition(spark, scratch):
+    """One partition holds 10,000 long items, the others only short ones that fit beside them."""
+    long, short = (F.lit(a) + F.pmod(F.xxhash64("id"), F.lit(b)) for a, b in ((1100, 801), (50, 151)))
+    pieces = spark.range(0, 40_000, 1, 4).select(F.col("id").alias("item"), F.when(F.col("id") < 10_000, long).otherwise(short).alias("length"))
+    got = packing.pack(pieces, 2048, scratch).toPandas()
+    assert sorted(got["item"]) == list(range(40_000))
+    ends = got.groupby("sequence_id").agg({"length": "sum", "offset": "nunique", "item": "size"})
+    assert (ends["length"] <= 2048).all() and (ends["offset"] == ends["item"]).all()
+    alone = packing.best_fit(got["length"].to_numpy(), 2048)[0].max() + 1
+    assert len(ends) <= 1.005 * alone
+
+
+def test_merge_rounds_leave_no_two_bins_that_fit(spark, scratch, monkeypatch):
+    """Also where a round has several tasks."""
+    monkeypatch.setattr(packing, "MERGED", 20)
+    pieces = spark.range(0, 120, 1, 60).select(F.col("id").alias("item"), (F.lit(1) + F.pmod(F.xxhash64("id"), F.lit(3))).alias("length"))
+    got = packing.pack(pieces, 8, scratch).toPandas()
+    filled = sorted(got.groupby("sequence_id")["length"].sum())
+    assert filled[-1] <= 8 < filled[0] + filled[1] and got["item"].is_unique and len(got) == 120
+
+
 def test_best_fit_takes_the_tightest_bin():
     bins, starts = packing.best_fit(np.array([6, 5, 4, 5, 3]), 10)
     assert bins.tolist() == [0, 1, 0, 1, 2] and starts.tolist() == [0, 0, 6, 5, 0]
