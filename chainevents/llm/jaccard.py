@@ -9,9 +9,14 @@ common ones: of any p - d equal parts, the best in that order is among them on b
 among them, the text also gives its d + 1 smallest shingles, which two such texts must share one of. The list only
 orders parts, so that passages many texts hold seldom make a signature; it has at most ``COMMON`` shingles.
 
-**No pairs within a group.** Texts with the same set are one node. Texts that share a signature are verified against
-the smallest node that has it; what that leaves in different components is then verified pair by pair. Links within a
-component change nothing, so components are exact although a group of near copies costs about one pair per text.
+**Components.** Texts with the same set are one node. Texts that share a signature are verified against the smallest
+node that has it; what that leaves in different components is then verified pair by pair. Links within a component do
+not change it, so components are exact although a group of near copies costs about one pair per text.
+
+**Links.** A link joins two nodes of one component, so all links are found by comparing all nodes of each component. A
+large one is cut into blocks, each pair of blocks is a group of its own, and a group counts common shingles by a product
+of 0/1 matrices; only links or their numbers leave it. Components alone (``near_dedup``) leave this step out.
+
 Pairs are made only where sizes and the Hamming distance of whole parity sketches allow the similarity.
 Signatures that several texts of one batch share are sent on by one of them.
 """
@@ -35,6 +40,8 @@ _U = np.uint64
 SKETCH, SPARE = 8, 1.2
 #: Common shingles that are told apart, and texts of a batch that must hold one.
 COMMON, OFTEN = 65_536, 4
+#: Nodes and shingles of a component that make one block; shingles that are compared at once.
+BLOCK, BLOCK_SHINGLES, AT_ONCE = 1024, 2_000_000, 4096
 
 
 class Bands:
@@ -192,14 +199,63 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("both") * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent).select("u", "v")
 
 
-def jaccard_components(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id``.
+def _blocks(names: DataFrame, sets: DataFrame) -> DataFrame:
+    """The nodes of all components with their sets, each in every pair ``i, j`` of blocks that its ``block`` belongs to."""
+    sized = names.join(sets.select("node", "n"), "node")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    placed = sized.join(sized.groupBy("top").agg(parts.alias("parts")), "top").select("top", "node", "parts", F.pmod(F.xxhash64("node"), "parts").alias("block"))
+    paired = placed.join(sets.select("node", "n", "hashes"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return paired.select("top", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "hashes")
 
-    Two texts link when 100 * |intersection| >= percent * |union| of their distinct n-word shingles; fewer words count
-    as one shingle, texts without words (null, empty) link with nothing and are their own component. The component is
-    the smallest doc_id that links reach (null ids count only if there is no other). Repeated rows and equal texts are
-    one component; an empty table gives an empty result.
-    """
+
+def _compared(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of the first and of the second block, their numbers of common shingles, and which pairs reach the similarity."""
+    block, node, n = (group.column(x).to_numpy() for x in ("block", "node", "n"))
+    shingle = pa.concat_arrays(x.flatten() for x in group.column("hashes").chunks).to_numpy()
+    _, code, times = np.unique(shingle, return_inverse=True, return_counts=True)
+    shared = times[code] > 1
+    owner, code = np.repeat(np.arange(len(node)), n)[shared], (np.cumsum(times > 1) - 1)[code[shared]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    both = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, AT_ONCE):
+        a, b = np.searchsorted(code, [at, at + AT_ONCE])
+        held = np.zeros((len(node), min(AT_ONCE, int(code[-1]) + 1 - at)), np.float32)
+        held[owner[a:b], code[a:b] - at] = 1
+        both += (held[left] @ held[right].T).astype(np.int64)
+    reached = both * (100 + percent) >= (n[left][:, None] + n[right][None, :]) * percent
+    return node[left], node[right], both, reached & (node[left][:, None] != node[right][None, :])
+
+
+def _links(blocks: DataFrame, percent: int) -> DataFrame:
+    """``set_u, set_v, n_both`` of all links, each once."""
+
+    def rows(group: pa.Table) -> pa.Table:
+        first, second, both, reached = _compared(group, percent)
+        once = reached if group.column("i")[0] != group.column("j")[0] else reached & (first[:, None] < second[None, :])
+        x, y = np.nonzero(once)
+        u, v = first[x], second[y]
+        return pa.table({"set_u": np.minimum(u, v), "set_v": np.maximum(u, v), "n_both": both[x, y]})
+
+    return blocks.groupBy("top", "i", "j").applyInArrow(rows, "set_u long, set_v long, n_both long")
+
+
+def _link_counts(blocks: DataFrame, percent: int) -> DataFrame:
+    """``node, n_links`` of all nodes of components; pairs do not leave their group."""
+
+    def rows(group: pa.Table) -> pa.Table:
+        first, second, _, reached = _compared(group, percent)
+        if group.column("i")[0] == group.column("j")[0]:
+            return pa.table({"node": first, "n_links": reached.sum(axis=1, dtype=np.int64)})
+        return pa.table({"node": np.concatenate([first, second]), "n_links": np.concatenate([reached.sum(axis=1, dtype=np.int64), reached.sum(axis=0, dtype=np.int64)])})
+
+    counted = blocks.groupBy("top", "i", "j").applyInArrow(rows, "node long, n_links long")
+    return counted.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def _grouped(docs: DataFrame, scratch: Scratch, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``id, n, node`` and more of each row; ``node, top`` of the nodes that have a link; ``node, n, hashes``."""
     rows = scratch.write(signed(docs, n, percent, common_shingles(docs, n, text_col), id_col, text_col), "signed")
     given = rows.select("node", F.explode(F.arrays_zip("sigs", "centers")).alias("x")).select("node", F.col("x.sigs").alias("sig"), F.col("x.centers").alias("center"))
     group = Window.partitionBy("sig")
@@ -231,10 +287,39 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, n: int = 5, percent: i
     upper = components(between, scratch, "second").select(F.col("node").alias("root"), F.col("root").alias("top"))
     names = roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("top"))
     names = scratch.write(names.union(upper.join(roots.select("node"), F.col("root") == F.col("node"), "left_anti").select("root", "top")), "names")
+    return rows, names, sets
+
 
-    found = rows.select("id", "n", "node").join(names, "node", "left").select("id", "n", F.coalesce("top", "node").alias("top"))
+def _report(rows: DataFrame, names: DataFrame) -> DataFrame:
+    found = rows.select("id", "n", "node").join(names, "node", "left").select("id", "n", "node", F.coalesce("top", "node").alias("top"))
     smallest = found.where("top is not null").groupBy("top").agg(F.min("id").alias("least"))
-    return found.join(smallest, "top", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    return found.join(smallest, "top", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), F.col("node").alias("set_id"))
+
+
+def jaccard_components(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id``.
+
+    Two texts link when 100 * |intersection| >= percent * |union| of their distinct n-word shingles; fewer words count
+    as one shingle, texts without words (null, empty) link with nothing and are their own component. The component is
+    the smallest doc_id that links reach (null ids count only if there is no other). Repeated rows and equal texts are
+    one component; an empty table gives an empty result.
+    """
+    rows, names, _ = _grouped(docs, scratch, n, percent, id_col, text_col)
+    return _report(rows, names).drop("set_id")
+
+
+def jaccard_join(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The whole join: rows as of ``jaccard_components`` with ``set_id, n_links`` added, and the links ``set_u, set_v, n_both``.
+
+    ``set_id`` (null without words) is the same for texts with the same set, ``n_links`` the number of other sets that
+    reach the similarity; ``n_both`` is the size of the intersection. Links stand for all pairs of texts of their two
+    sets; texts of one set are not linked with each other one by one. ``set_u < set_v``, and each link comes once.
+    """
+    rows, names, sets = _grouped(docs, scratch, n, percent, id_col, text_col)
+    blocks = _blocks(names, sets)
+    counts = scratch.write(_link_counts(blocks, percent), "link-counts").withColumnRenamed("node", "set_id")
+    report = _report(rows, names).join(counts, "set_id", "left")
+    return report.select("doc_id", "n_shingles", "component_id", "set_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), _links(blocks, percent)
 
 
 def near_dedup(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,4 +331,4 @@ def near_dedup(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80,
 
 @query()
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), Scratch(spark, "op5"), n=4, percent=85)
+    return jaccard_join(table(spark, sf_dir, "documents"), Scratch(spark, "op5"), n=4, percent=85)[0]

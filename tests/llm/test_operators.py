@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from cases import CLASHES, awkward_rows, crc, documents, plain_components, plain_repeats, prose
+from cases import CLASHES, awkward_rows, crc, documents, plain_components, plain_repeats, prose, shingles_of
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -243,6 +243,30 @@ def test_jaccard_components_on_varied_copies(spark, scratch, seed):
     assert sorted(tuple(r) for r in got) == plain_components(rows, 2, 80)
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_jaccard_join_has_every_link(spark, scratch, monkeypatch, block):
+    """Different near copies of a few texts, also where a component has several blocks; equal texts are one set."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "AT_ONCE", 50)
+    chance, texts = random.Random(4), ["", None, "one"]
+    for k in range(4):
+        words = prose(700 + k, 60).split(" ")
+        for j in range(9):
+            texts.append(" ".join(f"new{j}" if chance.random() < 0.03 else w for w in words))
+    rows = list(enumerate(texts + texts[-5:]))
+    frame = documents(spark, [Row(doc_id=i, text=t, lang="", source="", n_chars=0) for i, t in rows])
+    report, links = jaccard.jaccard_join(frame.repartition(5), scratch, 2, 80)
+    got, found = report.collect(), links.collect()
+    sets = {i: frozenset(shingles_of(t, 2)) for i, t in rows}
+    both = {frozenset((a, b)): len(a & b) for a in sets.values() for b in sets.values() if a != b and 100 * len(a & b) >= 80 * len(a | b)}
+    named = {r.set_id: sets[r.doc_id] for r in got if r.set_id is not None}
+    assert len(set(named.values())) == len(named) == len({s for s in sets.values() if s})
+    assert len(found) == len(both) > len(named) and all(r.set_u < r.set_v for r in found)
+    assert {frozenset((named[r.set_u], named[r.set_v])): r.n_both for r in found} == both
+    assert all(r.n_links == sum(sets[r.doc_id] in pair for pair in both) for r in got)
+    assert sorted(tuple(r)[:3] for r in got) == plain_components(rows, 2, 80)
+
+
 def test_near_dedup_keeps_columns(clashing, scratch):
     got = jaccard.near_dedup(clashing, scratch)
     assert got.columns == clashing.columns
