@@ -1,6 +1,6 @@
 """All registered queries of this package."""
 
-from chainevents.llm import bpe, exact_dedup, html_text, jaccard, packing, quality, suffix_dedup, token_files, topk, toxicity  # noqa: F401
+from chainevents.llm import bpe, centroids, exact_dedup, html_text, jaccard, minhash, packing, quality, resampling, suffix_dedup, token_files, topk, toxicity  # noqa: F401
 from chainevents.llm.common import QUERIES
 
 __all__ = ["QUERIES"]
