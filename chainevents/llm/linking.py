@@ -9,21 +9,63 @@ Before that last step, nodes that can link to no other component any more are le
 component's candidates hold is in no intersection with another one, and a node with too few other shingles cannot
 reach the similarity. In a family of texts with edits of their own, that takes out the distant ones, whose pairs are
 the many that come close to the threshold without reaching it.
+
+Pairs are refused early by parity sketches of the sets: each shingle flips one bit, so bits that differ are never more
+than shingles that differ. A sketch has at least eight bits per shingle (up to ``WORDS`` words, beyond which it only
+refuses less), so few pairs below the threshold are left for the full sets to decide.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainevents.llm.common import Scratch
 from chainevents.llm.components import components
+from chainevents.llm.shingles import mixed
+
+_U = np.uint64
 
 #: Rounds of stars; their number only moves work, never a result.
 ROUNDS = 3
+#: Most 64-bit words of a parity sketch.
+WORDS = 1024
+
+SETS = "node long, n long, parity array<long>, half array<long>, hashes array<long>"
+
+
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values, pa.int64()))
+
+
+def set_rows(nodes: Sequence[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of ``SETS``; ``half`` is the sketch folded once, for partners with half as many words."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    hashes = np.concatenate([*sets, np.empty(0, _U)])
+    words = np.minimum(WORDS, 2 ** np.ceil(np.log2(np.maximum(2, sizes / 8))).astype(np.int64))
+    starts, codes, owner = np.cumsum(words) - words, mixed(hashes), np.repeat(np.arange(len(sets)), sizes)
+    sketches = []
+    for begin, width in ((starts, words), (starts // 2, words // 2)):
+        sketch = np.zeros(int(width.sum()), _U)
+        at = begin[owner] + ((codes >> _U(6)) & (width[owner] - 1).astype(_U)).astype(np.int64)
+        np.bitwise_xor.at(sketch, at, _U(1) << (codes & _U(63)))
+        sketches.append(lists(sketch.view(np.int64), width))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(nodes, pa.int64()), pa.array(sizes), *sketches, lists(hashes.view(np.int64), sizes)], ["node", "n", "parity", "half", "hashes"]
+    )
+
+
+def alike(percent: int) -> Column:
+    """Whether sizes and parity sketches of u and v allow the similarity."""
+    own = lambda x, y: F.when(F.size(f"parity_{x}") > F.size(f"parity_{y}"), F.col(f"half_{x}")).otherwise(F.col(f"parity_{x}"))
+    distance = F.aggregate(F.zip_with(own("u", "v"), own("v", "u"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    sizes = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
+    return sizes & (distance * (100 + percent) <= (F.col("n_u") + F.col("n_v")) * (100 - percent))
 
 
 def _sides(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,16 +113,17 @@ def _mixed(rooted: DataFrame) -> DataFrame:
     return rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
 
 
-def linked(given: DataFrame, outlines: DataFrame, sets: DataFrame, near: Callable[[], Column], percent: int, scratch: Scratch, once: Callable[[], Column] | None = None) -> DataFrame:
+def linked(given: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, outlines: DataFrame | None = None, near: Callable[[], Column] | None = None) -> DataFrame:
     """``node, root`` of all nodes that a link ties to another one; ``root`` is the smallest node of the component.
 
-    ``given`` has ``sig, node``, ``outlines`` one row per node with ``n`` and what ``near`` reads, ``sets`` one with
-    ``n, hashes``. ``near`` may refuse a pair only if it cannot link; ``once`` may refuse it at all keys but one of
-    those that it shares. Both see the columns of two outlines with the endings ``_u`` and ``_v``, ``once`` also ``sig_u``.
-    All three tables are read several times: give written ones.
+    ``given`` has ``sig, node``, ``sets`` the columns ``SETS``, one row per node of ``given``. ``outlines`` (``node`` and
+    more) and ``near`` may refuse pairs before the sketches do; ``near`` sees its columns with the endings ``_u`` and
+    ``_v``. All tables are read several times: give written ones.
     """
+    outline = sets.drop("hashes") if outlines is None else sets.drop("hashes").join(outlines, "node")
+    likely = (lambda: alike(percent)) if near is None else (lambda: near() & alike(percent))
     roots = None
-    left, right = _sides(outlines)
+    left, right = _sides(outline)
     for k in range(ROUNDS):
         order = random.Random(k).getrandbits(62)
         rooted = _rooted(given, roots)
@@ -90,17 +133,16 @@ def linked(given: DataFrame, outlines: DataFrame, sets: DataFrame, near: Callabl
         if roots is not None:
             at = roots.select(F.col("node").alias("node_v"), F.col("root").alias("root_v"))
             pairs = pairs.join(at, "node_v", "left").where(F.col("root_u") != F.coalesce("root_v", "node_v"))
-        likely = pairs.select("node_u", "node_v").join(left, "node_u").join(right, "node_v").where(near()).select("node_u", "node_v")
-        links = scratch.write(verified(likely, sets, percent), f"links-{k}")
+        met = pairs.select("node_u", "node_v").join(left, "node_u").join(right, "node_v").where(likely()).select("node_u", "node_v")
+        links = scratch.write(verified(met, sets, percent), f"links-{k}")
         roots = _united(roots, links, scratch, f"stars-{k}")
 
     rooted = scratch.write(_rooted(given, roots), "rooted")
     apart = scratch.write(rooted.join(_mixed(rooted), "sig", "left_semi"), "apart")
     able = scratch.write(_able(apart, sets, percent), "able")
     rest = apart.join(able, "node", "left_semi")
-    rest = scratch.write(rest.join(_mixed(rest), "sig", "left_semi").join(outlines, "node"), "rest")
+    rest = scratch.write(rest.join(_mixed(rest), "sig", "left_semi").join(outline, "node"), "rest")
     a, b = _sides(rest)
-    likely = near() if once is None else near() & once()
-    pairs = a.join(b, (F.col("sig_u") == F.col("sig_v")) & (F.col("root_u") < F.col("root_v")) & likely).select("node_u", "node_v").distinct()
+    pairs = a.join(b, (F.col("sig_u") == F.col("sig_v")) & (F.col("root_u") < F.col("root_v")) & likely()).select("node_u", "node_v").distinct()
     links = scratch.write(verified(scratch.write(pairs, "pairs"), sets, percent), "links-last")
     return _united(roots, links, scratch, "last")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainevents.llm.common import Scratch, narrow, packed, query, table, tidy
-from chainevents.llm.linking import linked
+from chainevents.llm.linking import SETS, linked, lists, set_rows
 from chainevents.llm.shingles import mixed, shingle_sets
 from chainevents.llm.tokens import slices
 
@@ -109,12 +109,9 @@ def _signed(texts: DataFrame, n: int) -> DataFrame:
                 held = np.zeros(len(sets), np.int64)
                 held[lone] = 1
                 least = minima([sets[k] for k in lone]) if len(lone) else np.empty((0, MINIMA), np.uint32)
-                lists = [
-                    pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(held * width)]).astype(np.int32), pa.array(values.ravel(), pa.int64()))
-                    for width, values in ((BANDS, band_keys(least)), (MINIMA * BITS // 64, packed_bits(least)))
-                ]
+                signs = [lists(values.ravel(), held * width) for width, values in ((BANDS, band_keys(least)), (MINIMA * BITS // 64, packed_bits(least)))]
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c)[a:b] for c in ("id", "key1", "key2")], pa.array(sizes), *[pa.array(h.view(np.int64)) for h in names], *lists],
+                    [*[batch.column(c)[a:b] for c in ("id", "key1", "key2")], pa.array(sizes), *[pa.array(h.view(np.int64)) for h in names], *signs],
                     ["id", "key1", "key2", "n", "name1", "name2", "bands", "bits"],
                 )
 
@@ -127,7 +124,7 @@ def _keyed(texts: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    """``node, n, hashes`` of the texts with these keys, each node once."""
+    """``SETS`` of the texts with these keys, each node once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,13 +132,10 @@ def _sets(texts: DataFrame, keys: DataFrame, n: int) -> DataFrame:
             _, first = np.unique(node, return_index=True)
             texts = batch.column("text").take(pa.array(first)).to_pylist()
             for a, b in slices(texts, AT_ONCE):
-                sets = shingle_sets(texts[a:b], n)
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                hashes = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(node[first[a:b]]), pa.array(np.diff(ends).astype(np.int64)), hashes], ["node", "n", "hashes"])
+                yield set_rows(node[first[a:b]], shingle_sets(texts[a:b], n))
 
     found = texts.join(keys, ["key1", "key2"]).select("node", "text")
-    return found.mapInArrow(tidy(rows), "node long, n long, hashes array<long>").dropDuplicates(["node"])
+    return found.mapInArrow(tidy(rows), SETS).dropDuplicates(["node"])
 
 
 def _components(docs: DataFrame, scratch: Scratch, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -157,17 +151,10 @@ def _components(docs: DataFrame, scratch: Scratch, n: int, percent: int, id_col:
     spread = nodes.select(F.explode("bands").alias("sig"), "node")
     shared = spread.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig")
     given = scratch.write(spread.join(shared, "sig", "left_semi"), "given")
-    members = scratch.write(nodes.join(given.select("node").distinct(), "node", "left_semi").select("node", "n", "bands", "bits", "key1", "key2"), "members")
+    members = scratch.write(nodes.join(given.select("node").distinct(), "node", "left_semi").select("node", "bits", "key1", "key2"), "members")
     sets = scratch.write(_sets(texts, members.select("key1", "key2", "node"), n), "sets")
-
-    def near() -> Column:
-        sizes = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
-        return sizes & (estimated(F.col("bits_u"), F.col("bits_v")) >= least_estimate(percent))
-
-    def once() -> Column:
-        return F.get(F.filter(F.zip_with("bands_u", "bands_v", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0)) == F.col("sig_u")
-
-    roots = linked(given, members.select("node", "n", "bands", "bits"), sets, near, percent, scratch, once)
+    near = lambda: estimated(F.col("bits_u"), F.col("bits_v")) >= least_estimate(percent)
+    roots = linked(given, sets, percent, scratch, members.select("node", "bits"), near)
     return placed.join(roots, "node", "left").select("id", "key1", "key2", "n", F.coalesce("root", "node").alias("top"))
 
 
