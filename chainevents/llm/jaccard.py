@@ -9,16 +9,14 @@ common ones: of any p - d equal parts, the best in that order is among them on b
 among them, the text also gives its d + 1 smallest shingles, which two such texts must share one of. The list only
 orders parts, so that passages many texts hold seldom make a signature; it has at most ``COMMON`` shingles.
 
-**Components.** Texts with the same set are one node. Texts that share a signature are verified against the smallest
-node that has it; what that leaves in different components is then verified pair by pair. Links within a component do
-not change it, so components are exact although a group of near copies costs about one pair per text.
+**Components.** Texts with the same set are one node, told apart by 128 bits. Texts that share a signature are candidates;
+``linking`` verifies them in rounds of stars and then pair by pair where two components still share a signature, refusing
+pairs by parity sketches of whole sets. Links within a component do not change it, so components are exact although a
+group of near copies costs about one pair per text.
 
 **Links.** A link joins two nodes of one component, so all links are found by comparing all nodes of each component. A
 large one is cut into blocks, each pair of blocks is a group of its own, and a group counts common shingles by a product
 of 0/1 matrices; only links or their numbers leave it. Components alone (``near_dedup``) leave this step out.
-
-Pairs are made only where sizes and the Hamming distance of whole parity sketches allow the similarity.
-Signatures that several texts of one batch share are sent on by one of them.
 """
 
 from __future__ import annotations
@@ -27,17 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainevents.llm.common import Scratch, narrow, query, table, tidy
-from chainevents.llm.components import components
+from chainevents.llm.linking import candidates, keyed, linked, lists, lone_sets, one_row_each, set_names
 from chainevents.llm.shingles import mixed, shingle_sets
 from chainevents.llm.tokens import slices
 
 _U = np.uint64
-#: 64-bit words of the whole set's parity sketch, and parts beyond the needed ones.
-SKETCH, SPARE = 8, 1.2
+#: Parts beyond the needed ones.
+SPARE = 1.2
 #: Common shingles that are told apart, and texts of a batch that must hold one.
 COMMON, OFTEN = 65_536, 4
 #: Nodes and shingles of a component that make one block; shingles that are compared at once.
@@ -118,20 +116,8 @@ def signatures(sets: list[np.ndarray], bands: Bands, common: np.ndarray) -> tupl
     return np.concatenate(owners), np.concatenate(keys).view(np.int64)
 
 
-def node_of(hashes: np.ndarray) -> int:
-    """A 64-bit name of a set: equal sets are one node."""
-    parity, total = np.bitwise_xor.reduce(mixed(hashes ^ _U(0xA5A5))), np.add.reduce(hashes, dtype=_U)
-    return int(mixed(np.array([parity]) + np.array([total]) * _U(len(hashes))).view(np.int64)[0])
-
-
-def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
-    return pa.ListArray.from_arrays(ends, pa.array(values, pa.int64()))
-
-
-def signed(docs: DataFrame, n: int, percent: int, common: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """``id, key`` (of the text), ``n, node, sigs, centers``: where texts of a batch share a signature, ``centers`` has
-    the smallest of their nodes, else 0. Of equal sets in a batch only one gives signatures."""
+def signed(texts: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
+    """``id, key1, key2`` of each row, size and two hashes of its set, and signatures; equal sets of a batch give them once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,64 +125,17 @@ def signed(docs: DataFrame, n: int, percent: int, common: np.ndarray, id_col: st
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], n)
                 sizes = np.array([len(s) for s in sets], np.int64)
-                nodes = np.array([node_of(s) if len(s) else 0 for s in sets], np.int64)
-                _, first = np.unique(nodes, return_index=True)
+                names = set_names(sets)
                 lone = np.zeros(len(sets), bool)
-                lone[first] = True
+                lone[lone_sets(names, sizes)] = True
                 owner, sig = signatures([s if k else s[:0] for s, k in zip(sets, lone, strict=True)], Bands(percent, int(sizes.max())), common)
-                by = np.lexsort((nodes[owner], sig))
-                owner, sig = owner[by], sig[by]
-                begins = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) != 0) if len(sig) else np.empty(0, np.int64)
-                times = np.diff(np.append(begins, len(sig)))
-                center = np.repeat(np.where(times > 1, nodes[owner[begins]], 0), times)
                 order = np.argsort(owner, kind="stable")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id")[a:b], batch.column("key")[a:b], pa.array(sizes), pa.array(nodes, mask=sizes == 0),
-                     _lists(owner, sig[order], b - a), _lists(owner, center[order], b - a)],
-                    ["id", "key", "n", "node", "sigs", "centers"],
-                )
-
-    texts = narrow(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
-    return texts.mapInArrow(tidy(rows), "id long, key long, n long, node long, sigs array<long>, centers array<long>")
-
-
-def _sets(docs: DataFrame, keys: DataFrame, n: int, text_col: str) -> DataFrame:
-    """``node, n, sketch, hashes`` of the texts with these keys."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
-                sets = [s for s in shingle_sets(texts[a:b], n) if len(s)]
-                sizes = np.array([len(s) for s in sets], np.int64)
-                owner = np.repeat(np.arange(len(sets)), sizes)
-                hashes = np.concatenate([*sets, np.empty(0, _U)])
-                codes = mixed(hashes)
-                word = owner * SKETCH + (codes >> _U(6)).astype(np.int64) % SKETCH
-                sketch = np.zeros(len(sets) * SKETCH, _U)
-                np.bitwise_xor.at(sketch, word, _U(1) << (codes & _U(63)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([node_of(s) for s in sets], pa.int64()), pa.array(sizes), _lists(np.repeat(np.arange(len(sets)), SKETCH), sketch.view(np.int64), len(sets)), _lists(owner, hashes.view(np.int64), len(sets))],
-                    ["node", "n", "sketch", "hashes"],
+                    [*[batch.column(c)[a:b] for c in ("id", "key1", "key2")], pa.array(sizes), *[pa.array(h.view(np.int64)) for h in names], lists(sig[order], np.bincount(owner, minlength=b - a))],
+                    ["id", "key1", "key2", "n", "name1", "name2", "sigs"],
                 )
 
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    found = texts.join(keys, "key", "left_semi").select("text")
-    return found.mapInArrow(tidy(rows), "node long, n long, sketch array<long>, hashes array<long>").dropDuplicates(["node"])
-
-
-def _near(percent: int) -> F.Column:
-    """Whether the sizes and parity sketches of u and v allow the similarity."""
-    distance = F.aggregate(F.zip_with("sketch_u", "sketch_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    small, large = F.least("n_u", "n_v"), F.greatest("n_u", "n_v")
-    return (small * 100 >= large * percent) & (distance * (100 + percent) <= (F.col("n_u") + F.col("n_v")) * (100 - percent))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs ``u, v``, those whose sets reach the similarity."""
-    a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("hashes").alias(f"set_{x}")) for x in "uv")
-    met = pairs.join(a, "u").join(b, "v").withColumn("both", F.size(F.array_intersect("set_u", "set_v")))
-    return met.where(F.col("both") * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent).select("u", "v")
+    return texts.mapInArrow(tidy(rows), "id long, key1 long, key2 long, n long, name1 long, name2 long, sigs array<long>")
 
 
 def _blocks(names: DataFrame, sets: DataFrame) -> DataFrame:
@@ -217,7 +156,7 @@ def _compared(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np
     owner, code = np.repeat(np.arange(len(node)), n)[shared], (np.cumsum(times > 1) - 1)[code[shared]]
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
-    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    left, right = (np.flatnonzero(block == group.column(x)[0].as_py()) for x in "ij")  # one of them may be empty
     both = np.zeros((len(left), len(right)), np.int64)
     for at in range(0, int(code[-1]) + 1 if len(code) else 0, AT_ONCE):
         a, b = np.searchsorted(code, [at, at + AT_ONCE])
@@ -255,43 +194,18 @@ def _link_counts(blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, scratch: Scratch, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``id, n, node`` and more of each row; ``node, top`` of the nodes that have a link; ``node, n, hashes``."""
-    rows = scratch.write(signed(docs, n, percent, common_shingles(docs, n, text_col), id_col, text_col), "signed")
-    given = rows.select("node", F.explode(F.arrays_zip("sigs", "centers")).alias("x")).select("node", F.col("x.sigs").alias("sig"), F.col("x.centers").alias("center"))
-    group = Window.partitionBy("sig")
-    wide = given.where("center = 0 or center = node").select("sig", "node", (F.col("center") != 0).alias("known"))
-    wide = wide.withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group)).where("known or low < high")
-    shared = scratch.write(wide.select("sig", "node", F.col("low").alias("center")).union(given.where("center not in (0, node)").select("sig", "node", "center")), "shared")
-
-    members = shared.select("node").union(shared.select("center")).distinct()
-    keys = rows.join(members, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key").distinct()
-    sets = scratch.write(_sets(docs, keys, n, text_col), "sets")
-
-    stars = scratch.write(shared.where("node <> center").select(F.col("node").alias("u"), F.col("center").alias("v")).distinct(), "stars")
-    outlines = sets.select("node", "n", "sketch")
-    outline = {x: outlines.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "uv"}
-    likely = stars.join(outline["u"], "u").join(outline["v"], "v").where(_near(percent)).select("u", "v")
-    links = scratch.write(_verified(likely, sets, percent), "links")
-    roots = scratch.write(components(links, scratch, "first"), "roots")
-
-    placed = shared.select("sig", "node").distinct().join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    mixed_sigs = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
-    apart = scratch.write(placed.join(mixed_sigs, "sig", "left_semi").join(outlines, "node"), "apart")
-    left, right = (apart.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "sketch")]) for x in "uv")
-    pairs = left.join(right, (left["sig"] == right["sig"]) & (F.col("root_u") < F.col("root_v")) & _near(percent))
-    pairs = scratch.write(pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct(), "pairs")
-    more = scratch.write(_verified(pairs, sets, percent), "more")
-    at = roots.select(F.col("node").alias("u"), F.col("root").alias("root_u"))
-    joined = more.join(at, "u", "left").join(at.select(F.col("u").alias("v"), F.col("root_u").alias("root_v")), "v", "left")
-    between = joined.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
-    upper = components(between, scratch, "second").select(F.col("node").alias("root"), F.col("root").alias("top"))
-    names = roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("top"))
-    names = scratch.write(names.union(upper.join(roots.select("node"), F.col("root") == F.col("node"), "left_anti").select("root", "top")), "names")
-    return rows, names, sets
+    """``id, key1, key2, n, node`` of each row; ``node, top`` of the nodes that have a link; ``node, n, hashes``."""
+    texts = keyed(narrow(docs, id_col, text_col))
+    rows, _, given, sets = candidates(signed(texts, n, percent, common_shingles(docs, n, text_col)), texts, n, "sigs", scratch)
+    return rows, linked(given, sets, percent, scratch).withColumnRenamed("root", "top"), sets.select("node", "n", "hashes")
+
+
+def _topped(rows: DataFrame, names: DataFrame) -> DataFrame:
+    return rows.join(names, "node", "left").withColumn("top", F.coalesce("top", "node"))
 
 
 def _report(rows: DataFrame, names: DataFrame) -> DataFrame:
-    found = rows.select("id", "n", "node").join(names, "node", "left").select("id", "n", "node", F.coalesce("top", "node").alias("top"))
+    found = _topped(rows, names)
     smallest = found.where("top is not null").groupBy("top").agg(F.min("id").alias("least"))
     return found.join(smallest, "top", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), F.col("node").alias("set_id"))
 
@@ -323,10 +237,13 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 8
 
 
 def near_dedup(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component those with its smallest doc_id; all columns as they were."""
-    report = scratch.write(jaccard_components(docs, scratch, n, percent, id_col, text_col), "report")
-    gone = report.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
+    """One row of ``docs`` per component, that with the smallest id (nulls last), with all its columns.
+
+    Rows are told apart by id and text, so rows that share an id are decided one by one; of rows that repeat both one
+    stays. All rows without words stay. An empty table gives an empty result.
+    """
+    rows, names, _ = _grouped(docs, scratch, n, percent, id_col, text_col)
+    return one_row_each(docs, scratch.write(_topped(rows, names).select("id", "key1", "key2", "top"), "found"), id_col, text_col)
 
 
 @query()

@@ -18,16 +18,17 @@ refuses less), so few pairs below the threshold are left for the full sets to de
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainevents.llm.common import Scratch
+from chainevents.llm.common import Scratch, packed, tidy
 from chainevents.llm.components import components
-from chainevents.llm.shingles import mixed
+from chainevents.llm.shingles import mixed, shingle_sets
+from chainevents.llm.tokens import slices
 
 _U = np.uint64
 
@@ -39,6 +40,32 @@ WORDS = 1024
 SETS = "node long, n long, parity array<long>, half array<long>, hashes array<long>"
 
 
+#: Characters of text whose shingles are hashed at once.
+AT_ONCE = 1 << 19
+
+
+def keyed(texts: DataFrame) -> DataFrame:
+    """128 bits that stand for a text."""
+    return texts.withColumn("key1", F.xxhash64("text")).withColumn("key2", F.xxhash64(F.lit(1), "text"))
+
+
+def set_names(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit hashes of each set, 0 of empty ones."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    names, full = np.zeros((2, len(sets)), _U), np.flatnonzero(sizes)
+    if len(full):
+        every, begins = np.concatenate(sets), (np.cumsum(sizes) - sizes)[full]
+        for k in range(2):
+            names[k, full] = mixed(np.add.reduceat(mixed(every ^ _U(0xA5A5A5A5 + k)), begins) + sizes[full].astype(_U))
+    return names
+
+
+def lone_sets(names: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the first of equal sets, in order; empty sets have none."""
+    _, first = np.unique(names, axis=1, return_index=True)
+    return np.sort(first[sizes[first] > 0])
+
+
 def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values, pa.int64()))
 
@@ -113,6 +140,53 @@ def _mixed(rooted: DataFrame) -> DataFrame:
     return rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
 
 
+def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``SETS`` of the texts with the keys of ``wanted``, each node once."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            _, first = np.unique(node, return_index=True)
+            texts = batch.column("text").take(pa.array(first)).to_pylist()
+            for a, b in slices(texts, AT_ONCE):
+                yield set_rows(node[first[a:b]], shingle_sets(texts[a:b], n))
+
+    found = texts.join(wanted, ["key1", "key2"]).select("node", "text")
+    return found.mapInArrow(tidy(rows), SETS).dropDuplicates(["node"])
+
+
+def candidates(signed: DataFrame, texts: DataFrame, n: int, keys: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows with the node of their set, all nodes, the keys that nodes share, and the sets of nodes that share one.
+
+    ``signed`` has ``id, key1, key2`` of each row, size ``n`` and ``name1, name2`` of its set, and an array of candidate
+    ``keys``, empty but for the first of equal sets in a batch; it may have more. A set's node is the smallest row that
+    has it, which is the first one of its batch.
+    """
+    rows = scratch.write(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    names = scratch.write(rows.where("n > 0").groupBy("name1", "name2").agg(F.min("row").alias("node")), "names")
+    placed = rows.select("id", "key1", "key2", "n", "name1", "name2").join(names, ["name1", "name2"], "left").select("id", "key1", "key2", "n", "node")
+    placed = scratch.write(placed, "placed")
+    nodes = rows.join(names.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    spread = nodes.select(F.explode(keys).alias("sig"), "node")
+    shared = spread.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig")
+    given = scratch.write(spread.join(shared, "sig", "left_semi"), "given")
+    wanted = nodes.join(given.select("node").distinct(), "node", "left_semi").select("node", "key1", "key2")
+    return placed, nodes, given, scratch.write(_sets(texts, wanted, n), "sets")
+
+
+def one_row_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of each ``top`` of ``found`` (``id, key1, key2, top``) one row, that with the smallest id (nulls last), and all rows without a top."""
+    named = found.where("top is not null")
+    least = named.groupBy("top").agg(F.min("id").alias("least"))
+    winners = named.join(least, "top").where(F.col("id").eqNullSafe(F.col("least"))).groupBy("top").agg(F.min(F.struct("id", "key1", "key2")).alias("x"))
+    winners = winners.select(*[F.col(f"x.{c}").alias(f"_{c}") for c in ("id", "key1", "key2")])
+    rows = keyed(packed(docs, id_col, text_col))
+    same = rows["id"].eqNullSafe(winners["_id"]) & (rows["key1"] == winners["_key1"]) & (rows["key2"] == winners["_key2"])
+    chosen = rows.join(winners, same, "left_semi").dropDuplicates(["id", "key1", "key2"])
+    wordless = found.where("top is null").select("key1", "key2").distinct()
+    return chosen.select("row.*").union(rows.join(wordless, ["key1", "key2"], "left_semi").select("row.*"))
+
+
 def linked(given: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, outlines: DataFrame | None = None, near: Callable[[], Column] | None = None) -> DataFrame:
     """``node, root`` of all nodes that a link ties to another one; ``root`` is the smallest node of the component.
 

@@ -1,15 +1,16 @@
 """Near-duplicate detection by b-bit MinHash.
 
-A text's set of word shingles has ``BANDS * ROWS`` minima, one under each of as many hash functions. Minima of a band
-are hashed together; sets that share a band are candidates. Of each minimum the lowest ``BITS`` bits (of a scrambled
-copy) are kept, packed into 64-bit words: two sets agree in a minimum with the probability of their similarity, and in
-its bits by chance in 2**-BITS of the other cases, so the share of agreeing fields, counted by bit operations and
-corrected for chance, estimates the similarity. Candidates whose estimate lies more than ``SIGMAS`` standard deviations
-below the threshold are refused; all others are confirmed on their full sets.
-
-Two sets at a similarity of 0.85 share a band with a probability of 1 - (1 - 0.85**8)**56, all but 2 in 10**8, and the
-estimate refuses such a pair in 1 of 10**9 cases; more similar ones are lost less often still, and a component only
-changes where no other link ties the two. Sets are told apart by 128 bits.
+A text's set of word shingles has ``MINIMA`` minima, one under each of as many hash functions. Minima of a band are
+hashed together; sets that share a band are candidates. Of each minimum the lowest ``BITS`` bits (of a scrambled copy)
+are kept, packed into 64-bit words: two sets agree in a minimum with the probability of their similarity, and in its
+bits by chance in 2**-BITS of the other cases, so the share of agreeing fields, counted by bit operations and corrected
+for chance, estimates the similarity. Candidates whose estimate lies more than ``SIGMAS`` standard deviations below the
+threshold are refused; of the others, links are confirmed on their full sets.
+
+Bands are as long as they can be while two sets right at the threshold miss all of them in at most ``MISSED`` of all
+cases (56 bands of 8 minima at 0.85, which 2 in 10**8 pairs miss), and the estimate refuses such a pair in 1 of 10**9.
+More similar pairs are lost less often still, and a lost pair only matters where no other link ties the two. Sets are
+told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -22,16 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainevents.llm.common import Scratch, narrow, packed, query, table, tidy
-from chainevents.llm.linking import SETS, linked, lists, set_rows
+from chainevents.llm.common import Scratch, narrow, query, table, tidy
+from chainevents.llm.linking import AT_ONCE, candidates, keyed, linked, lists, lone_sets, one_row_each, set_names
 from chainevents.llm.shingles import mixed, shingle_sets
 from chainevents.llm.tokens import slices
 
 _U = np.uint64
-BANDS, ROWS, BITS, SIGMAS = 56, 8, 2, 6
-MINIMA = BANDS * ROWS
-#: Characters of text whose shingles are hashed at once: they stay in a processor's cache.
-AT_ONCE = 1 << 19
+MINIMA, BITS, SIGMAS, MISSED = 448, 2, 6, 5e-8
 
 _HASHES = mixed(np.arange(1, 2 * MINIMA + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _TURN, _TIMES = (_HASHES[:MINIMA] >> _U(32)).astype(np.uint32), (_HASHES[MINIMA:] >> _U(32)).astype(np.uint32) | np.uint32(1)
@@ -49,12 +47,19 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return found.T
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """One 64-bit key per set and band."""
-    rows = least.reshape(len(least), BANDS, ROWS).astype(_U)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=_U), rows.shape[:2])
-    for r in range(ROWS):
-        key = mixed(key ^ (rows[:, :, r] + _U((r + 1) << 32)))
+def band_rows(percent: int) -> int:
+    """How many minima make a band."""
+    missed = lambda rows: (1 - (percent / 100) ** rows) ** (MINIMA // rows)
+    return max((rows for rows in range(1, 33) if missed(rows) <= MISSED), default=1)
+
+
+def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key per set and band of ``rows`` minima."""
+    bands = MINIMA // rows
+    grouped = least[:, : bands * rows].reshape(len(least), bands, rows).astype(_U)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=_U), grouped.shape[:2])
+    for r in range(rows):
+        key = mixed(key ^ (grouped[:, :, r] + _U((r + 1) << 32)))
     return key.view(np.int64)
 
 
@@ -88,8 +93,9 @@ def least_estimate(percent: int) -> float:
     return percent / 100 - SIGMAS * math.sqrt(agree * (1 - agree) / MINIMA) / (1 - chance)
 
 
-def _signed(texts: DataFrame, n: int) -> DataFrame:
+def _signed(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """``id, key1, key2`` of each row, size and two hashes of its set, band keys and bits; equal sets of a batch give them once."""
+    band = band_rows(percent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,19 +103,12 @@ def _signed(texts: DataFrame, n: int) -> DataFrame:
             for a, b in slices(texts, AT_ONCE):
                 sets = shingle_sets(texts[a:b], n)
                 sizes = np.array([len(s) for s in sets], np.int64)
-                begins = np.cumsum(sizes) - sizes
-                every = np.concatenate(sets)
-                names = np.zeros((2, len(sets)), _U)
-                full = np.flatnonzero(sizes)
-                if len(full):
-                    for k in range(2):
-                        names[k, full] = mixed(np.add.reduceat(mixed(every ^ _U(0xA5A5A5A5 + k)), begins[full]) + sizes[full].astype(_U))
-                _, first = np.unique(names, axis=1, return_index=True)
-                lone = np.sort(first[sizes[first] > 0])
+                names = set_names(sets)
+                lone = lone_sets(names, sizes)
                 held = np.zeros(len(sets), np.int64)
                 held[lone] = 1
                 least = minima([sets[k] for k in lone]) if len(lone) else np.empty((0, MINIMA), np.uint32)
-                signs = [lists(values.ravel(), held * width) for width, values in ((BANDS, band_keys(least)), (MINIMA * BITS // 64, packed_bits(least)))]
+                signs = [lists(values.ravel(), held * width) for width, values in ((MINIMA // band, band_keys(least, band)), (MINIMA * BITS // 64, packed_bits(least)))]
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c)[a:b] for c in ("id", "key1", "key2")], pa.array(sizes), *[pa.array(h.view(np.int64)) for h in names], *signs],
                     ["id", "key1", "key2", "n", "name1", "name2", "bands", "bits"],
@@ -118,43 +117,13 @@ def _signed(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(tidy(rows), "id long, key1 long, key2 long, n long, name1 long, name2 long, bands array<long>, bits array<long>")
 
 
-def _keyed(texts: DataFrame) -> DataFrame:
-    """128 bits that stand for a text."""
-    return texts.withColumn("key1", F.xxhash64("text")).withColumn("key2", F.xxhash64(F.lit(1), "text"))
-
-
-def _sets(texts: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    """``SETS`` of the texts with these keys, each node once."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = batch.column("node").to_numpy()
-            _, first = np.unique(node, return_index=True)
-            texts = batch.column("text").take(pa.array(first)).to_pylist()
-            for a, b in slices(texts, AT_ONCE):
-                yield set_rows(node[first[a:b]], shingle_sets(texts[a:b], n))
-
-    found = texts.join(keys, ["key1", "key2"]).select("node", "text")
-    return found.mapInArrow(tidy(rows), SETS).dropDuplicates(["node"])
-
-
 def _components(docs: DataFrame, scratch: Scratch, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """``id, key1, key2, n, top`` of each row: ``top`` names its component, null without words."""
-    texts = _keyed(narrow(docs, id_col, text_col))
-    rows = scratch.write(_signed(texts, n).withColumn("row", F.monotonically_increasing_id()), "signed")
-    # A set's node is the smallest row that has it; that row is the first of its batch, so it has band keys and bits.
-    names = scratch.write(rows.where("n > 0").groupBy("name1", "name2").agg(F.min("row").alias("node")), "names")
-    placed = rows.select("id", "key1", "key2", "n", "name1", "name2").join(names, ["name1", "name2"], "left").select("id", "key1", "key2", "n", "node")
-    placed = scratch.write(placed, "placed")
-    nodes = rows.join(names.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-
-    spread = nodes.select(F.explode("bands").alias("sig"), "node")
-    shared = spread.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig")
-    given = scratch.write(spread.join(shared, "sig", "left_semi"), "given")
-    members = scratch.write(nodes.join(given.select("node").distinct(), "node", "left_semi").select("node", "bits", "key1", "key2"), "members")
-    sets = scratch.write(_sets(texts, members.select("key1", "key2", "node"), n), "sets")
+    texts = keyed(narrow(docs, id_col, text_col))
+    placed, nodes, given, sets = candidates(_signed(texts, n, percent), texts, n, "bands", scratch)
     near = lambda: estimated(F.col("bits_u"), F.col("bits_v")) >= least_estimate(percent)
-    roots = linked(given, sets, percent, scratch, members.select("node", "bits"), near)
+    bits = scratch.write(nodes.join(sets.select("node"), "node", "left_semi").select("node", "bits"), "bits")
+    roots = linked(given, sets, percent, scratch, bits, near)
     return placed.join(roots, "node", "left").select("id", "key1", "key2", "n", F.coalesce("root", "node").alias("top"))
 
 
@@ -174,17 +143,9 @@ def minhash_components(docs: DataFrame, scratch: Scratch, n: int = 5, percent: i
 
 
 def minhash_dedup(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` per component, that with the smallest id (nulls last), with all its columns; all rows without words."""
+    """One row of ``docs`` per component, that with the smallest id (nulls last), with all its columns; all rows without words stay."""
     found = scratch.write(_components(docs, scratch, n, percent, id_col, text_col), "found")
-    named = found.where("top is not null")
-    least = named.groupBy("top").agg(F.min("id").alias("least"))
-    winners = named.join(least, "top").where(F.col("id").eqNullSafe(F.col("least"))).groupBy("top").agg(F.min(F.struct("id", "key1", "key2")).alias("x"))
-    winners = winners.select(F.col("x.id").alias("id"), F.col("x.key1").alias("key1"), F.col("x.key2").alias("key2")).distinct()
-    wordless = found.where("top is null").select("key1", "key2").distinct()
-    rows = _keyed(packed(docs, id_col, text_col))
-    same = rows["id"].eqNullSafe(winners["id"]) & (rows["key1"] == winners["key1"]) & (rows["key2"] == winners["key2"])
-    chosen = rows.join(winners, same, "left_semi").dropDuplicates(["id", "key1", "key2"])
-    return chosen.select("row.*").union(rows.join(wordless, ["key1", "key2"], "left_semi").select("row.*"))
+    return one_row_each(docs, found, id_col, text_col)
 
 
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"

@@ -271,10 +271,19 @@ def test_near_dedup_keeps_columns(clashing, scratch):
     got = jaccard.near_dedup(clashing, scratch)
     assert got.columns == clashing.columns
     texts = [(r.doc_id, r.text) for r in awkward_rows()]
-    keep = Counter(i for i, _, c in plain_components(texts, 5, 80) if i is None or i == c)
+    # One row of each component; rows without words are linked with nothing and all stay.
+    keep = Counter(i for i, n, _ in plain_components(texts, 5, 80) if not n) + Counter({c for _, n, c in plain_components(texts, 5, 80) if n})
     assert Counter(r.doc_id for r in got.collect()) == keep
 
 
+def test_near_dedup_decides_by_row(spark, scratch):
+    near = prose(1, 120).split(" ")
+    near[60] = "changed"
+    texts = [(1, prose(1, 120)), (2, " ".join(near)), (2, prose(9, 80)), (None, prose(1, 120)), (None, prose(30, 40)), (None, prose(30, 40))]
+    kept = jaccard.near_dedup(documents(spark, [Row(doc_id=i, text=t, lang="", source="", n_chars=0) for i, t in texts]), scratch).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([texts[0], texts[2], texts[4]])
+
+
 def test_components_of_a_chain(spark, scratch):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40) if k != 17] + [(60, 50), (50, 60), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components(edges, scratch, "c").collect()}

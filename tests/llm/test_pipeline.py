@@ -95,7 +95,7 @@ def test_empty_documents_pass_all_stages(spark):
 
 
 def test_registered_queries():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert "pipeline" in corpus_pipeline.REGISTERED
 
 
