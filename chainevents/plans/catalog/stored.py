@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -12,6 +11,7 @@ from chainevents.functions import expressions as X
 from chainevents.operators import projection, status
 from chainevents.plans import query as Q
 from chainevents.plans.catalog.sample import ARRIVAL, DUCK, SPARK, Sample, address, duck, query, quote
+from chainevents.session import shared_folder
 from chainevents.sources import store
 
 _KEYS = "block_number, tx_index, log_index"
@@ -182,8 +182,7 @@ def stored_layout(s: Sample) -> store.Store:
     """The stored events written as the sync run writes them; once per application and data directory."""
     key = (s.spark.sparkContext.applicationId, s.sf_dir)
     if key not in _kept:
-        folder = s.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-        written = store.Store(s.spark, f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}")
+        written = store.Store(s.spark, f"{shared_folder(s.spark)}/store-{uuid.uuid4().hex}")
         low, high = s.present.agg(F.min("block_number"), F.max("block_number")).first()
         written.append_events(s.logs, low or 0, high or 0)
         _kept[key] = written
@@ -309,6 +308,22 @@ def query_outcome(s: Sample) -> DataFrame:
     return Q.query_outcome(s.view("requests"), s.stored, s.contracts, s.covered, CAP)
 
 
+@query(
+    duck(
+        """, allowed AS (SELECT * FROM requests q WHERE NOT (q.contract IS NOT NULL AND NOT EXISTS (SELECT 1 FROM registered r WHERE r.address = q.contract))
+          AND NOT (q.contract IS NOT NULL AND q.from_block IS NOT NULL AND q.to_block IS NOT NULL AND NOT EXISTS (SELECT 1 FROM covered c
+            WHERE c.contract = q.contract AND c.from_block <= q.from_block AND c.to_block >= q.to_block))),
+        placed AS (SELECT q.request_id, q.page_limit, q.page_offset, e.*, row_number() OVER (PARTITION BY q.request_id ORDER BY e.block_number, e.log_index, e.tx_index) - 1 AS position
+          FROM allowed q JOIN stored e ON (q.contract IS NULL OR q.contract = e.contract) AND (q.event_name IS NULL OR q.event_name = e.event_name)
+          AND (q.topic0 IS NULL OR q.topic0 = e.topic0) AND e.block_number >= coalesce(q.from_block, 0) AND e.block_number <= coalesce(q.to_block, 9223372036854775807))
+        SELECT * EXCLUDE (page_limit, page_offset) FROM placed WHERE position >= page_offset AND (page_limit = 0 OR position < page_offset + page_limit)""",
+        "logs", "stored", "contracts", "registered", "covered_own", "covered", "requests",
+    ).replace(") , allowed", "), allowed")
+)
+def query_rows(s: Sample) -> DataFrame:
+    return Q.query_rows(s.view("requests"), s.stored, s.contracts, s.covered)
+
+
 # --- projections and quality ---------------------------------------------------------
 
 _QUALITY = r""", graded AS (SELECT *,

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from chainevents.operators.coverage import range_covered
 from chainevents.operators.ranges import bucket_of
+from chainevents.operators.ranks import DIMENSIONS, Ranks, bucket_counts, with_kinds
 from chainevents.schemas import BUCKET
+from chainevents.sources.work import Work
 
 ORDER = ["block_number", "log_index", "tx_index"]
 _LARGEST = (1 << 63) - 1
@@ -158,48 +160,56 @@ def page_requests(requests: DataFrame, default_limit: int = 0, cap: int | None =
     )
 
 
-def count_matches(requests: DataFrame, events: DataFrame) -> DataFrame:
-    """(request_id, matches): how many events each request selects.
+def _bounds(requests: DataFrame, events: DataFrame, counts: DataFrame | None) -> tuple[Ranks, DataFrame]:
+    """(request_id, kind, low_rank, high_rank): the ranks, in its kind, of the events that each request selects."""
+    work = Work(events.sparkSession, "requests")
+    counts = work.keep("counts", bucket_counts(events)) if counts is None else counts
+    low, high = F.coalesce("from_block", F.lit(0).cast("bigint")), F.coalesce("to_block", F.lit(_LARGEST))
+    usable = requests.select("request_id", *DIMENSIONS, (low - 1).alias("before"), high.alias("high")).where("before < high")
+    wanted = work.keep("wanted", with_kinds(usable))
+    ranks = Ranks(wanted, events, counts, work)
+    ends = wanted.select("request_id", "kind", F.inline(F.array(*[F.struct(F.col(c).alias("at"), F.lit(c).alias("end")) for c in ("before", "high")])))
+    known = ranks.rank(ends.select("kind", "at").distinct()).join(ends, ["kind", "at"])
+    rank = lambda end: F.max(F.when(F.col("end") == end, F.col("rank")))
+    return ranks, work.keep("bounds", known.groupBy("request_id", "kind").agg(rank("before").alias("low_rank"), rank("high").alias("high_rank")))
 
-    Counts per kind of event (contract, name, topic) and block are running sums: what a bucket's blocks hold up to each
-    block, and what earlier buckets hold. A request takes, of each kind it may select, the sum at its last block less
-    the sum before its first one. Kinds and requests are put in order by block together and the last known sum is
-    carried on, so no request is met with single events or cut into buckets.
+
+def count_matches(requests: DataFrame, events: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(request_id, matches): how many events each request selects; a reversed range selects none.
+
+    The difference of two ranks. ``counts`` are the events' ``bucket_counts`` where they are kept.
+    """
+    return _bounds(requests, events, counts)[1].select("request_id", (F.col("high_rank") - F.col("low_rank")).alias("matches"))
+
+
+def _checked(requests: DataFrame, contracts: DataFrame, covered: DataFrame) -> DataFrame:
+    """Requests with ``refused``: why one is not looked at, or NULL."""
+    known = contracts.select(F.col("address").alias("contract"), F.lit(True).alias("indexed"))
+    guarded = F.col("contract").isNotNull() & F.col("from_block").isNotNull() & F.col("to_block").isNotNull()
+    holding = range_covered(requests.where(guarded).select("request_id", "contract", "from_block", "to_block"), covered)
+    why = F.when(F.col("contract").isNotNull() & F.col("indexed").isNull(), "NotIndexed").when(guarded & F.col("covered").isNull(), "MissingCoverage")
+    return (
+        requests.join(known, "contract", "left")
+        .join(holding.select("request_id", F.lit(True).alias("covered")), "request_id", "left")
+        .withColumn("refused", why)
+    )
+
+
+def query_rows(requests: DataFrame, events: DataFrame, contracts: DataFrame, covered: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(request_id, position, event columns): the rows of a whole table of requests, in one job.
+
+    ``position`` counts from 0 in the result order of the whole request, so a page begins at its offset; a limit of 0
+    means all rows that follow. Refused requests have no rows. Work grows with the requests, the buckets that their
+    pages and bounds lie in, and the rows that come back.
     """
-    kinds = ["contract", "event_name", "topic0"]
-    by_block = events.groupBy(*kinds, F.col("block_number").alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    wanted = requests.select(
-        "request_id", *[F.col(k).alias(f"_{k}") for k in kinds],
-        F.coalesce("from_block", F.lit(0)).alias("low"), F.coalesce("to_block", F.lit(_LARGEST)).alias("high"),
-    ).where(F.col("low") <= F.col("high"))
-    exact = lambda k: F.concat(F.lit("="), F.col(k))
-    shapes = [tuple(kinds), (), ("event_name",), ("topic0",), ("event_name", "topic0")]
-    shaped = [F.struct(*[(exact(k) if k in given else F.lit("*")).alias(k) for k in kinds]) for given in shapes]
-    counts = by_block.select(F.explode(F.array(*shaped)).alias("kind"), "at", "n").groupBy("kind", "at").agg(F.sum("n").alias("n")).select("kind.*", "at", "n")
-    # A request that names a contract selects among that contract's kinds; one that names none has its own sum.
-    held = counts.where("contract <> '*'").select(*kinds).distinct()
-    match = lambda k: F.col(f"_{k}").isNull() | (exact(f"_{k}") == F.col(k))
-    named = wanted.where("_contract IS NOT NULL").withColumn("contract", exact("_contract")).join(held, "contract")
-    named = named.where(match("event_name") & match("topic0")).select("request_id", *kinds, "low", "high")
-    unnamed = wanted.where("_contract IS NULL").select("request_id", *[F.coalesce(exact(f"_{k}"), F.lit("*")).alias(k) for k in kinds], "low", "high")
-    ends = named.unionByName(unnamed)
-    ends = ends.select(
-        "request_id", *kinds,
-        F.inline(F.array(
-            F.struct((F.col("low") - 1).alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("high").alias("at"), F.lit(1).alias("sign"))
-        )),
-    )
-    none = F.lit(None)
-    id_type = requests.schema["request_id"].dataType
-    sums = counts.select(*kinds, "at", "n", none.cast(id_type).alias("request_id"), none.cast("int").alias("sign"))
-    points = sums.unionByName(ends.withColumn("n", F.lit(0).cast("bigint"))).withColumn("bucket", bucket_of("at"))
-    totals = points.groupBy(*kinds, "bucket").agg(F.sum("n").alias("total"))
-    earlier = Window.partitionBy(*kinds).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*kinds, "bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("carried"))
-    so_far = Window.partitionBy(*kinds, "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    asked = points.withColumn("here", F.sum("n").over(so_far)).where(F.col("sign").isNotNull()).join(carried, [*kinds, "bucket"])
-    signed = F.sum((F.col("here") + F.col("carried")) * F.col("sign"))
-    return asked.groupBy("request_id").agg(signed.cast("bigint").alias("matches"))
+    checked = _checked(requests, contracts, covered).where(F.col("refused").isNull())
+    ranks, bounds = _bounds(checked, events, counts)
+    first = F.col("low_rank") + F.col("page_offset")
+    last = F.when(F.col("page_limit") == 0, F.col("high_rank")).otherwise(F.least("high_rank", first + F.col("page_limit")))
+    pages = bounds.join(checked.select("request_id", "page_limit", "page_offset"), "request_id")
+    rows = ranks.select(pages.select("request_id", "kind", "low_rank", first.alias("first"), last.alias("last")))
+    columns = [c for c in events.columns if c != "block_bucket"]
+    return rows.select("request_id", (F.col("rank") - F.col("low_rank")).alias("position"), *columns)
 
 
 def query_outcome(
@@ -208,22 +218,11 @@ def query_outcome(
     contracts: DataFrame,
     covered: DataFrame,
     cap: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """(request_id, outcome, rows_returned) for a whole table of requests in one job."""
-    known = contracts.select(F.col("address").alias("contract"), F.lit(True).alias("indexed"))
-    guarded = F.col("contract").isNotNull() & F.col("from_block").isNotNull() & F.col("to_block").isNotNull()
-    holding = range_covered(requests.where(guarded).select("request_id", "contract", "from_block", "to_block"), covered)
-    checked = (
-        requests.join(known, "contract", "left")
-        .join(holding.select("request_id", F.lit(True).alias("covered")), "request_id", "left")
-        .withColumn(
-            "refused",
-            F.when(F.col("contract").isNotNull() & F.col("indexed").isNull(), "NotIndexed").when(
-                guarded & F.col("covered").isNull(), "MissingCoverage"
-            ),
-        )
-    )
-    counts = count_matches(checked.where(F.col("refused").isNull()), events)
+    checked = _checked(requests, contracts, covered)
+    found = count_matches(checked.where(F.col("refused").isNull()), events, counts)
     after = F.greatest(F.coalesce("matches", F.lit(0)) - F.col("page_offset"), F.lit(0))
     returned = F.when(F.col("page_limit") == 0, after).otherwise(F.least(after, "page_limit"))
     outcome: Column = (
@@ -232,7 +231,7 @@ def query_outcome(
         .when(returned == 0, "Empty")
         .otherwise("Results")
     )
-    return checked.join(counts, "request_id", "left").select(
+    return checked.join(found, "request_id", "left").select(
         "request_id",
         outcome.alias("outcome"),
         F.when(F.col("refused").isNull(), returned).otherwise(0).cast("bigint").alias("rows_returned"),

@@ -8,7 +8,6 @@ file is decoded twice.
 from __future__ import annotations
 
 import logging
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,10 +18,10 @@ from chainevents.functions.abi import checksum_address, keccak_hex
 from chainevents.functions.expressions import hex_text
 from chainevents.operators import blocks as block_ops
 from chainevents.operators import coverage, decode, matching, outcomes
-from chainevents.session import shared_folder
 from chainevents.sources import checksums, registry
 from chainevents.sources.scopes import validate_scopes
 from chainevents.sources.store import Store
+from chainevents.sources.work import Work
 
 Audit = str | Callable[[DataFrame], DataFrame]
 _KEYS = ["scope_id"]
@@ -44,26 +43,6 @@ class SyncResult:
         return self.report.where("NOT covered").limit(1).isEmpty()
 
 
-class _Run:
-    """Written intermediate tables of one run."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, f"{folder}/sync-{uuid.uuid4().hex}"
-
-    def keep(self, name: str, table: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        table.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(table.schema).parquet(path)
-
-    def drop_all_but(self, name: str) -> None:
-        """Remove the run's tables once only ``name`` is still read."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        hadoop = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        for status in hadoop.listStatus(folder):
-            if status.getPath().getName() != name:
-                hadoop.delete(status.getPath(), True)
-
-
 def checked_scopes(requested: DataFrame) -> DataFrame:
     """Valid scopes with checksummed addresses; any unusable row is an error for the whole run."""
     rows = validate_scopes(requested)
@@ -81,7 +60,7 @@ def checked_scopes(requested: DataFrame) -> DataFrame:
     return rows.drop("error").withColumn("address", text(F.col("address"))).withColumn("impl_address", implementation)
 
 
-def prepare(scopes: DataFrame, store: Store, overrides: DataFrame, snapshot: DataFrame, run: _Run) -> tuple[DataFrame, DataFrame]:
+def prepare(scopes: DataFrame, store: Store, overrides: DataFrame, snapshot: DataFrame, run: Work) -> tuple[DataFrame, DataFrame]:
     """Resolve and compile the events of every scope: (registry, scopes with ``error``).
 
     Newly resolved ABIs are saved first and resolution is repeated, so that a
@@ -151,7 +130,7 @@ def sync(
     (path, content) of local ABI files and ``snapshot`` (address, abi_json) of
     remotely published ones.
     """
-    run = _Run(spark, folder or shared_folder(spark))
+    run = Work(spark, "sync", folder)
     overrides = spark.createDataFrame([], "path string, content string") if overrides is None else overrides
     snapshot = spark.createDataFrame([], "address string, abi_json string") if snapshot is None else snapshot
     known, prepared = _prepared(scopes, store, overrides, snapshot, run)
@@ -171,7 +150,7 @@ def _prepared(scopes, store, overrides, snapshot, run) -> tuple[DataFrame, DataF
 
 
 def run_blocks(
-    run: _Run, decoded: DataFrame, known: DataFrame, ready: DataFrame, failed: DataFrame, store: Store, audit: Audit
+    run: Work, decoded: DataFrame, known: DataFrame, ready: DataFrame, failed: DataFrame, store: Store, audit: Audit
 ) -> SyncResult:
     written = run.keep("blocks", decoded)
     source_failed = not written.where("error IS NOT NULL").limit(1).isEmpty()

@@ -24,12 +24,17 @@ def local_session(cpus: int = 8, name: str = "chainevents") -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession, unset: str | None = None) -> str:
-    """The cluster's folder for written intermediate tables; ``unset`` only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or unset
-    if not named:
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder for written intermediate tables; a local session that names none gets one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return named.rstrip("/")
+    if not named and not _own:
+        _own.append(tempfile.mkdtemp(prefix="spark-"))
+    return (named or _own[0]).rstrip("/")
 
 
 _shipped: set[str] = set()
