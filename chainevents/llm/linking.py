@@ -11,7 +11,7 @@ reach the similarity. In a family of texts with edits of their own, that takes o
 the many that come close to the threshold without reaching it.
 
 Pairs are refused early by parity sketches of the sets: each shingle flips one bit, so bits that differ are never more
-than shingles that differ. A sketch has at least eight bits per shingle (up to ``WORDS`` words, beyond which it only
+than shingles that differ. A sketch has at least two bits per shingle (up to ``WORDS`` words, beyond which it only
 refuses less), so few pairs below the threshold are left for the full sets to decide.
 """
 
@@ -74,7 +74,7 @@ def set_rows(nodes: Sequence[int], sets: list[np.ndarray]) -> pa.RecordBatch:
     """Rows of ``SETS``; ``half`` is the sketch folded once, for partners with half as many words."""
     sizes = np.array([len(s) for s in sets], np.int64)
     hashes = np.concatenate([*sets, np.empty(0, _U)])
-    words = np.minimum(WORDS, 2 ** np.ceil(np.log2(np.maximum(2, sizes / 8))).astype(np.int64))
+    words = np.minimum(WORDS, 2 ** np.ceil(np.log2(np.maximum(2, sizes / 32))).astype(np.int64))
     starts, codes, owner = np.cumsum(words) - words, mixed(hashes), np.repeat(np.arange(len(sets)), sizes)
     sketches = []
     for begin, width in ((starts, words), (starts // 2, words // 2)):
