@@ -1,4 +1,4 @@
-"""Event ABI types: canonical text, checking, and data decoding for Arrow batches."""
+"""Event ABI types: canonical text, checking, compiled layouts, and decoding of dynamic data for Arrow batches."""
 
 from __future__ import annotations
 
@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainevents.functions.keccak import checksum_addresses, keccak256_many
+from chainevents.functions.words import PROGRAM
 
 _ARRAY = re.compile(r"^(.+)\[(\d*)\]$", re.S)
 _NUMBER = re.compile(r"^(uint|int|bytes)(\d+)$")
-_DECODED = T.StructType().add("members", T.StringType()).add("error", T.StringType())
-_OVERRUN = "ABI decode error: buffer overrun while deserializing"
+OVERRUN = "ABI decode error: buffer overrun while deserializing"
 
 
 def canonical_type(kind: str, components: list) -> str:
@@ -76,7 +76,7 @@ def _head(t: tuple) -> int:
 
 def _word(data: bytes, at: int) -> bytes:
     if at + 32 > len(data):
-        raise ValueError(_OVERRUN)
+        raise ValueError(OVERRUN)
     return data[at : at + 32]
 
 
@@ -103,13 +103,13 @@ def _value(t: tuple, data: bytes, at: int):
             count = int.from_bytes(_word(data, at), "big")
             at += 32
             if count * max(_head(t[1]), 1) > len(data) - at:
-                raise ValueError(_OVERRUN)
+                raise ValueError(OVERRUN)
         return _sequence([t[1]] * count, data, at)
     word = _word(data, at)
     if kind in ("string", "bytes"):
         size = int.from_bytes(word, "big")
         if size > len(data) - at - 32:
-            raise ValueError(_OVERRUN)
+            raise ValueError(OVERRUN)
         body = data[at + 32 : at + 32 + size]
         return body.decode("utf-8", "replace") if kind == "string" else "0x" + body.hex()
     if kind == "address":
@@ -157,32 +157,30 @@ def _static_column(kind: str, words: np.ndarray) -> list:
 
 
 _STATIC = ("address", "bool", "word", "uint", "int")
+#: Words of a static array or tuple that a program may name one by one; larger ones are decoded in Arrow batches.
+_WORDS = 64
 
 
-def _decode_alike(types: list[tuple], raws: list[bytes]) -> tuple[list[list], list[str | None]]:
-    """Values per field and errors per row, for rows that share one layout."""
-    size = sum(map(_head, types))
-    errors: list[str | None] = [None if len(r) >= size else _OVERRUN for r in raws]
-    blank = bytes(size)
-    heads = np.frombuffer(b"".join(blank if e else r[:size] for r, e in zip(raws, errors)), dtype=np.uint8)
-    heads = heads.reshape(len(raws), size // 32, 32)
-    columns, at = [], 0
-    for t in types:
+def _decode_alike(types: list[tuple], places: list[int], raws: list[bytes]) -> tuple[list[list], list[str | None]]:
+    """Values per field and errors per row, for rows that share one layout and hold all of its head."""
+    errors: list[str | None] = [None] * len(raws)
+    columns = []
+    for t, at in zip(types, places):
         if t[0] in _STATIC:
-            columns.append(_static_column(t[0], heads[:, at // 32]))
-        else:
-            column = []
-            for i, raw in enumerate(raws):
-                value = None
-                if errors[i] is None:
-                    try:
-                        start = int.from_bytes(raw[at : at + 32], "big") if _dynamic(t) else at
-                        value = _value(t, raw, start)
-                    except (ValueError, OverflowError, RecursionError) as err:
-                        errors[i] = str(err)
-                column.append(value)
-            columns.append(column)
-        at += _head(t)
+            words = np.frombuffer(b"".join(r[at : at + 32] for r in raws), dtype=np.uint8)
+            columns.append(_static_column(t[0], words.reshape(len(raws), 32)))
+            continue
+        column = []
+        for i, raw in enumerate(raws):
+            value = None
+            if errors[i] is None:
+                try:
+                    start = int.from_bytes(raw[at : at + 32], "big") if _dynamic(t) else at
+                    value = _value(t, raw, start)
+                except (ValueError, OverflowError, RecursionError) as err:
+                    errors[i] = str(err)
+            column.append(value)
+        columns.append(column)
     return columns, errors
 
 
@@ -196,31 +194,92 @@ def _texts(column: list, kind: str, names: dict[bytes, str]) -> list[str]:
     return [_json(v, names) for v in column]
 
 
-@F.pandas_udf(_DECODED)
-def decode_data(layout: pd.Series, data: pd.Series) -> pd.DataFrame:
-    """JSON members of the non-indexed fields, by the JSON list of [name, type] in ``layout``.
+def _plain(t: tuple) -> bool:
+    """Whether column expressions can render the type: static, of few words, and without addresses, which need a hash."""
+    if t[0] == "array":
+        return t[2] is not None and t[2] * max(1, _head(t[1]) // 32) <= _WORDS and _plain(t[1])
+    if t[0] == "tuple":
+        return _head(t) // 32 <= _WORDS and all(map(_plain, t[1]))
+    return t[0] in ("bool", "word", "uint", "int", "function")
+
+
+def _pieces(t: tuple, at: int, text: str) -> tuple[list[tuple[str, str, int]], str]:
+    """Pieces of a value whose words begin at ``at``, behind ``text``, and the text that is left for the next piece."""
+    if t[0] not in ("array", "tuple"):
+        return [(text, t[0], at)], ""
+    parts, text = [], text + "["
+    for k, inner in enumerate([t[1]] * t[2] if t[0] == "array" else t[1]):
+        own, text = _pieces(inner, at, text + "," if k else text)
+        parts, at = parts + own, at + _head(inner)
+    return parts, text + "]"
+
+
+def compile_layout(fields: list[list[str]]) -> dict:
+    """``size`` of the head, ``program`` of the JSON members, and ``others``: [type, place] of what needs Arrow."""
+    types = [parse_type(kind) for _, kind in fields]
+    places, size = [], 0
+    for t in types:
+        places.append(size)
+        size += _head(t)
+    if size >= 1 << 31:  # longer than any data can be: every row ends in an overrun
+        return {"size": min(size, (1 << 63) - 1), "program": [("", "text", 0)], "others": None}
+    last = {name: at for at, (name, _) in enumerate(fields)}  # of equal names the last wins
+    program, others, text = [], [], ""
+    for at in sorted(last.values()):
+        key = text + ("," if program else "") + json.dumps(fields[at][0], ensure_ascii=False) + ":"
+        if _plain(types[at]):
+            own, text = _pieces(types[at], places[at], key)
+        else:
+            own, text = [(key, "other", len(others))], ""
+            others.append([fields[at][1], places[at]])
+        program += own
+    # Fields that a later one of the same name hides must be sound as well.
+    hidden = [[fields[at][1], places[at]] for at in range(len(fields)) if at not in last.values() and _dynamic(types[at])]
+    if text:
+        program.append((text, "text", 0))
+    return {"size": size, "program": program, "others": json.dumps(others + hidden) if others or hidden else None}
+
+
+_COMPILED = T.StructType().add("size", T.LongType()).add("program", PROGRAM).add("others", T.StringType())
+
+
+@F.pandas_udf(_COMPILED)
+def compiled_layout(layout: pd.Series) -> pd.DataFrame:
+    """What decoding needs of a JSON list of [name, type]; nulls where it names an unknown type. For registry-sized tables."""
+    rows = []
+    for text in layout:
+        try:
+            rows.append(compile_layout(json.loads(text)))
+        except (ValueError, TypeError):
+            rows.append({"size": None, "program": None, "others": None})
+    frame = pd.DataFrame(rows, columns=["size", "program", "others"])
+    frame["size"] = frame["size"].astype("Int64")
+    frame["program"] = [None if p is None else [{"text": t, "kind": k, "at": at} for t, k, at in p] for p in frame["program"]]
+    return frame
+
+
+@F.pandas_udf(T.StructType().add("values", T.ArrayType(T.StringType())).add("error", T.StringType()))
+def decode_others(others: pd.Series, data: pd.Series) -> pd.DataFrame:
+    """JSON texts of the fields of ``others`` ([type, place] each), or why they cannot be read.
 
-    Rows of one event share a layout, so a batch is decoded field by field.
+    Rows of one event share them, so a batch is decoded field by field. The data holds the whole head.
     """
-    members: list[str | None] = [None] * len(data)
+    values: list[list[str] | None] = [None] * len(data)
     errors: list[str | None] = [None] * len(data)
-    wanted = (data.str.len() > 0) & layout.notna() & (layout != "[]")
-    for text, rows in data[wanted].groupby(layout[wanted]):
+    wanted = others.notna()
+    for text, rows in data[wanted].groupby(others[wanted]):
         fields = json.loads(text)
-        types = [parse_type(kind) for _, kind in fields]
-        columns, faults = _decode_alike(types, rows.tolist())
+        types = [parse_type(kind) for kind, _ in fields]
+        columns, faults = _decode_alike(types, [place for _, place in fields], rows.tolist())
         found: set[bytes] = set()
         for t, column in zip(types, columns):
             found.update(column) if t[0] == "address" else None if t[0] in _STATIC else _found_addresses(column, found)
         names = dict(zip(found, checksum_addresses(list(found))))
-        last = {name: at for at, (name, _) in enumerate(fields)}  # of equal names the last wins
-        kept = sorted(last.values())
-        keys = [json.dumps(fields[at][0], ensure_ascii=False) + ":" for at in kept]
-        rendered = [[key + v for v in _texts(columns[at], types[at][0], names)] for key, at in zip(keys, kept)]
-        for i, fault, parts in zip(rows.index, faults, zip(*rendered)):
+        texts = [_texts(column, t[0], names) for t, column in zip(types, columns)]
+        for i, fault, parts in zip(rows.index, faults, zip(*texts)):
             errors[i] = fault
-            members[i] = None if fault else ",".join(parts)
-    return pd.DataFrame({"members": members, "error": errors})
+            values[i] = None if fault else list(parts)
+    return pd.DataFrame({"values": values, "error": errors})
 
 
 @F.pandas_udf(T.StringType())

@@ -200,7 +200,7 @@ def run_blocks(
 def _events(candidates: DataFrame, checks: DataFrame, known: DataFrame) -> DataFrame:
     """Decoded events of verified candidate blocks, once per scope whose range and Bloom test hold."""
     logs = block_ops.explode_logs(candidates).withColumn("topic0", F.concat(F.lit("0x"), hex_text(F.get("topics", F.lit(0)))))
-    ruled = known.select("scope_id", "contract", "event_name", "inputs", "layout", "repeated", "address", "topic0", "from_block", "to_block")
+    ruled = known.select("scope_id", "contract", "event_name", "inputs", "compiled", "repeated", "address", "topic0", "from_block", "to_block")
     verified = checks.where("root_ok").select("path", "block_number")
     matched = (
         matching.match_logs(logs, ruled)
@@ -211,5 +211,5 @@ def _events(candidates: DataFrame, checks: DataFrame, known: DataFrame) -> DataF
     place = ["scope_id", "path", "block_number"]
     met = matched.select(*place).distinct().join(candidates.select("path", "block_number", "bloom"), ["path", "block_number"])
     hits = matching.bloom_prefilter(met, known).select(*place).distinct()
-    decoded = decode.decode_logs(matched.join(hits, place, "left_semi"))
+    decoded = decode.decode_logs(matched.join(hits, place, "left_semi"), decode.needs_arrow(known))
     return decode.stored_rows(decoded, extra=["scope_id", "path", "decode_failed"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainevents.functions.abi import canonical_types, keccak_text, layout_error
+from chainevents.functions.abi import canonical_types, compiled_layout, keccak_text, layout_error
 from chainevents.functions.expressions import json_string
 
 _INPUT = "struct<name:string,type:string,indexed:boolean,components:string>"
@@ -77,8 +77,8 @@ def flat_signature(name: Column | str, inputs: Column | str) -> Column:
 def with_signatures(events: DataFrame) -> DataFrame:
     """Add ``signature``, ``topic0`` and what decoding needs to event rows.
 
-    ``layout`` lists [name, type] of the non-indexed inputs; ``repeated`` tells
-    whether any name occurs twice.
+    ``layout`` lists [name, type] of the non-indexed inputs, ``compiled`` is what
+    decoding makes of it; ``repeated`` tells whether any name occurs twice.
     """
     plain = F.filter("inputs", lambda i: ~i["indexed"])
     layout = F.to_json(F.transform(plain, lambda i: F.array(i["name"], i["type"])))
@@ -89,6 +89,7 @@ def with_signatures(events: DataFrame) -> DataFrame:
         .withColumn("topic0", keccak_text("signature"))
         .withColumn("layout", layout)
         .withColumn("layout_error", layout_error("layout"))
+        .withColumn("compiled", compiled_layout("layout"))
         .withColumn("repeated", F.size(F.array_distinct(names)) < F.size(names))
     )
 

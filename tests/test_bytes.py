@@ -123,6 +123,6 @@ def test_values():
     assert _value(parse_type("bytes4"), b"\x01\x02\x03\x04" + bytes(28), 0) == "0x01020304" + "00" * 28
     assert _value(parse_type("uint8[2]"), w(1) + w(2), 0) == ["1", "2"]
     assert _value(parse_type("(bool,string)"), w(1) + w(64) + w(2) + b"hi".ljust(32, b"\0"), 0) == [True, "hi"]
-    columns, errors = _decode_alike([parse_type("uint256"), parse_type("int64")], [w(7) + w(-2), w(1), w(1 << 200) + w(3)])
-    assert columns[0][0] == "7" and columns[1][0] == "-2" and columns[0][2] == str(1 << 200)
+    columns, errors = _decode_alike([parse_type("uint256"), parse_type("int64[]")], [0, 32], [w(7) + w(64) + w(1) + w(-2), w(1) + w(64) + w(9), w(1 << 200) + w(64) + w(0)])
+    assert columns[0] == ["7", "1", str(1 << 200)] and columns[1] == [["-2"], None, []]
     assert errors[0] is None and errors[1] and errors[2] is None
