@@ -20,7 +20,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from chainevents.llm.common import narrow, query, table, tidy
+from chainevents.llm.common import in_pandas, narrow, query, table
 from chainevents.llm.tokens import PartEncoder, slices
 
 
@@ -223,7 +223,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 ids, bounds = machine.encode(texts[a:b])
                 yield pd.DataFrame({"doc_id": names.iloc[a:b].to_numpy(object), "ids": np.split(ids.astype(np.int64), bounds[1:-1])})
 
-    return narrow(docs, id_col, text_col).mapInPandas(tidy(encode), "doc_id long, ids array<long>")
+    return in_pandas(narrow(docs, id_col, text_col), encode, "doc_id long, ids array<long>")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -234,7 +234,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             yield batch.assign(text=["".join(machine.decoded(np.asarray(i, np.int64))) for i in batch["ids"]])[["doc_id", "text"]]
 
-    return encoded.mapInPandas(tidy(decode), "doc_id long, text string")
+    return in_pandas(encoded, decode, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,7 +255,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                     "decoded_sha256": [_digest(t.encode() for t in machine.decoded(r)) for r in rows],
                 })
 
-    return narrow(docs, id_col, text_col).mapInPandas(tidy(digests), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_pandas(narrow(docs, id_col, text_col), digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 @query()

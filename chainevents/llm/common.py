@@ -4,23 +4,23 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from chainevents.session import ship_package
+from chainevents.session import shared_folder, ship_package
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 #: Most bytes that Spark hands to a Python worker at once; rows of whole texts are large.
 BATCH_BYTES = 8 << 20
 
-_own_folder: list[str] = []
-
 
 def prepare(spark: SparkSession) -> None:
     """The package for the Python workers, and batches of a bounded size."""
@@ -47,16 +47,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="spark-"))
-    return _own_folder[0]
-
-
 def tidy(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function over batches that, when done, gives freed memory back to the system: Python workers live on."""
 
@@ -69,6 +59,25 @@ def tidy(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return run
 
 
+def in_pandas(frame: DataFrame, rows: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``mapInPandas`` that keeps every digit of ids beside null ones, where pandas would make them floating point."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            given = batch.to_pandas()
+            for name in {"id", "doc_id", "page_id"} & set(batch.schema.names):
+                if batch.column(name).null_count:
+                    given[name] = pd.array(batch.column(name).to_pylist(), "Int64")
+            yield given
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in rows(frames(batches)):
+            yield pa.RecordBatch.from_pandas(found, schema=arrow, preserve_index=False)
+
+    return frame.mapInArrow(tidy(run), schema)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut the lineage, so a lost executor costs no earlier stage.
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainevents.llm.common import query, table, tidy
+from chainevents.llm.common import in_pandas, query, table
 
 # Elements by what they mean for text.
 _SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "head", "title", "textarea", "select", "audio", "video"}
@@ -211,7 +211,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64").to_numpy(object), "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    return named.mapInPandas(tidy(rows), "page_id long, url string, text string, n_chars long")
+    return in_pandas(named, rows, "page_id long, url string, text string, n_chars long")
 
 
 @query()

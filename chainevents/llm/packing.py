@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainevents.llm.common import Scratch, narrow, query, table, tidy
+from chainevents.llm.common import Scratch, in_pandas, narrow, query, table
 from chainevents.llm.tokens import encoder, slices
 
 #: Rows that make one task of a merge round (more where a bin may have more).
@@ -104,9 +104,9 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: st
                     stop = min(s + n, int(lengths[i]) - 1)
                     crc[k] = zlib.crc32(ends[base + s : base + stop].tobytes() + (ends[-1:].tobytes() if stop < s + n else b""))
                 place = np.arange(len(item)) - np.searchsorted(item, item)
-                yield pd.DataFrame({"doc_id": names.iloc[a:b].to_numpy()[item], "piece": place.astype(np.int32), "start": start, "length": length, "ids_crc32": crc})
+                yield pd.DataFrame({"doc_id": names.iloc[a:b].iloc[item].array, "piece": place.astype(np.int32), "start": start, "length": length, "ids_crc32": crc})
 
-    return narrow(docs, id_col, text_col).mapInPandas(tidy(pieces), _PIECES)
+    return in_pandas(narrow(docs, id_col, text_col), pieces, _PIECES)
 
 
 def _mergeable(rows: DataFrame, capacity: int) -> F.Column | None:
@@ -133,7 +133,7 @@ def pack(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
 
     parts, level, done = max(1, pieces.rdd.getNumPartitions()), 0, []
     dealt = pieces.repartition(parts) if parts > 1 else pieces
-    rows = scratch.write(dealt.mapInPandas(tidy(local), schema), "level-0")
+    rows = scratch.write(in_pandas(dealt, local, schema), "level-0")
     while parts > 1 and (needed := _mergeable(rows, capacity)) is not None:
         level += 1
 
@@ -145,7 +145,7 @@ def pack(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
         parts = -(-going.count() // max(MERGED, 8 * capacity))
         done.append(rows.where(~needed))
         going = going.repartition(parts, "bin") if parts > 1 else going.repartition(1)
-        rows = scratch.write(going.mapInPandas(tidy(merge), schema), f"level-{level}")
+        rows = scratch.write(in_pandas(going, merge, schema), f"level-{level}")
     for closed in done:
         rows = rows.unionByName(closed)
     return rows.select(*[F.col(x) for x in pieces.columns], F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainevents.llm.common import Scratch, narrow, query, table, tidy
+from chainevents.llm.common import Scratch, in_pandas, narrow, query, table, tidy
 from chainevents.llm.linear import logistic, sigmoid
 from chainevents.llm.shingles import word_hashes
 from chainevents.llm.tokens import slices
@@ -130,7 +130,7 @@ def quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str =
                 score = np.full(b - a, 0.5) if ranking is None else ranking.score(features(every[a:b]))
                 yield pd.DataFrame({"doc_id": batch["id"].iloc[a:b].astype("Int64").to_numpy(object), "score": score})
 
-    found = texts.mapInPandas(tidy(rows), "doc_id long, score double")
+    found = in_pandas(texts, rows, "doc_id long, score double")
     apart = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(True))
     return found.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 

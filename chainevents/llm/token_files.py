@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chainevents.llm.common import Scratch, narrow, query, table, tidy
+from chainevents.llm.common import Scratch, in_pandas, narrow, query, table
 from chainevents.llm.tokens import encoder, slices
 
 #: Ends each document.
@@ -118,7 +118,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, base: int, id
                 block += 1
 
     ordered = narrow(docs, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInPandas(tidy(shards), _FILE).write.option("compression", "zstd").parquet(path)
+    in_pandas(ordered, shards, _FILE).write.option("compression", "zstd").parquet(path)
 
 
 def documents_of(row) -> Iterator[tuple[int | None, int, np.ndarray]]:
@@ -145,9 +145,9 @@ def token_file_report(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.itertuples():
                 found = [(row.shard, row.block, name, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for name, start, ids in documents_of(row)]
                 frame = pd.DataFrame(found, columns=["shard", "block", "doc_id", "inside", "n_tokens", "ids_crc32"])
-                yield frame.astype({"doc_id": "Int64"})
+                yield frame.assign(doc_id=pd.array([x[2] for x in found], "Int64"))
 
-    rows = files.mapInPandas(tidy(decode), "shard int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    rows = in_pandas(files, decode, "shard int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return rows.join(begins, ["shard", "block"]).select("doc_id", (F.col("begin") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,17 @@ import pyarrow.compute as pc
 _CUT = re.compile(r"(?= \S)")
 
 
+def _letters(text: str) -> bool:
+    """Whether a text is letters alone, also composed and in lower case, as the vocabularies see it."""
+    return text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
+
+
+@lru_cache(1)
+def uneven_letters() -> str:
+    """Letters that become more than letters (some sixty): a mark in them takes a following full stop into its word."""
+    return "".join(c for c in map(chr, range(0x80, 0x30000)) if c.isalpha() and not _letters(c))
+
+
 class PartEncoder:
     """``encode(texts)`` gives the ids of all texts in one array, and the bounds of each text's ids in it."""
 
@@ -45,7 +58,7 @@ class PartEncoder:
         if self.spaces_kept:
             side = [k for k, p in enumerate(parts) if p[:1] == " " and p.count(" ") == 1 and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
         else:
-            side = [k for k, p in enumerate(parts) if p.isalpha() and p.lower().isalpha()]
+            side = [k for k, p in enumerate(parts) if _letters(p)]
         found: list[bytes | None] = [None] * len(parts)
         texts = [("" if self.spaces_kept else " ").join(parts[k] for k in side[i : i + most]) for i in range(0, len(side), most)]
         every = b"".join(self._library(texts))
@@ -85,7 +98,7 @@ class PartEncoder:
 
     def _pool(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of different parts one behind the other, with starts and sizes. A mark after a letter is a word of its own."""
-        marked = pc.match_substring_regex(parts, r"\pL[.,]$")
+        marked = pc.match_substring_regex(parts, rf"[^\PL{uneven_letters()}][.,]$")
         heads = pc.if_else(marked, pc.utf8_slice_codeunits(parts, 0, -1), parts).dictionary_encode()
         pieces = self._ids(heads.dictionary.to_pylist())
         at, extra = heads.indices.to_numpy(), marked.to_numpy(zero_copy_only=False).astype(np.int32)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainevents.llm.common import Scratch, narrow, query, table, tidy
+from chainevents.llm.common import Scratch, in_pandas, narrow, query, table, tidy
 from chainevents.llm.linear import applied, logistic, sigmoid
 from chainevents.llm.tokens import slices
 
@@ -156,7 +156,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str =
                 p = scored(every[a:b])
                 yield pd.DataFrame({"doc_id": batch["id"].iloc[a:b].astype("Int64").to_numpy(object), "p_severe": p[:, 0], "score": p[:, 1]})
 
-    found = texts.mapInPandas(tidy(rows), "doc_id long, p_severe double, score double")
+    found = in_pandas(texts, rows, "doc_id long, p_severe double, score double")
     return found.withColumn("toxic", F.col("score") >= THRESHOLD).withColumn("predicted", F.col("toxic").cast("int"))
 
 
