@@ -32,15 +32,6 @@ def bloom_words(values: DataFrame) -> DataFrame:
     )
 
 
-def bloom_text(words: DataFrame) -> DataFrame:
-    """(block_number, bloom): the 512 hex digits of each block's Bloom, from its words."""
-    by_word = F.map_from_entries(F.collect_list(F.struct("word", "bits")))
-    digits = lambda w: F.lpad(F.lower(F.hex(F.coalesce(F.col("bits")[w.cast("bigint")], F.lit(0).cast("bigint")))), 8, "0")
-    gathered = words.groupBy("block_number").agg(by_word.alias("bits"))
-    ordered = F.transform(F.sequence(F.lit(63), F.lit(0), F.lit(-1)), digits)
-    return gathered.select("block_number", F.array_join(ordered, "").alias("bloom"))
-
-
 def with_probes(targets: DataFrame, address_digest: str, topic_digest: str) -> DataFrame:
     """Turn the digests of a target's address and topic0 into six Bloom digit tests."""
     bits = [bloom_bit(d, i) for d in (address_digest, topic_digest) for i in range(3)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainevents.operators import coverage, outcomes
-from chainevents.operators.matching import bloom_prefilter, scope_blocks
+from chainevents.operators.matching import scope_blocks
 from chainevents.plans.catalog import scopes as scope_queries
 from chainevents.plans.catalog.sample import Sample, duck, query
 
@@ -133,9 +133,9 @@ _OUTCOME_SQL = """, in_range AS (SELECT block_number, count(*) AS n FROM pairs G
 
 @query(scope_queries._bits(scope_queries._HITS_SQL + _OUTCOME_SQL, "headers", "scopes"))
 def block_outcome(s: Sample) -> DataFrame:
-    pairs = scope_queries.bloom_pairs(s)
+    pairs = scope_blocks(s.headers, s.view("scopes").select("scope_id", "from_block", "to_block"))
     counted = pairs.groupBy("block_number").agg(F.count(F.lit(1)).alias("in_range"))
-    hits = bloom_prefilter(pairs, scope_queries._bloom_targets(s)).groupBy("block_number").agg(F.count(F.lit(1)).alias("hits"))
+    hits = scope_queries.bloom_hits(s).groupBy("block_number").agg(F.count(F.lit(1)).alias("hits"))
     joined = s.headers.join(counted, "block_number", "left").join(hits, "block_number", "left")
     outcome = outcomes.block_outcome(
         F.col("in_range"), F.col("hits"), F.col("block_number") % 397 != 0, F.col("block_number") % 389 == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainevents.operators import matching
+from chainevents.operators import matching, signatures
 from chainevents.plans.catalog.sample import DUCK, SPARK, Sample, duck, query, quote
 from chainevents.sources import archive, checksums, registry
 from chainevents.sources import scopes as scope_tables
@@ -332,10 +332,11 @@ def _bloom_values(s: Sample) -> DataFrame:
 
 
 def _bloom_targets(s: Sample) -> DataFrame:
-    scopes = s.view("scopes").select("scope_id", "address", F.explode(F.array(F.lit("AF"), F.lit("NO"))).alias("event_name"))
+    """(scope_id, event_name, bits, from_block, to_block); some scopes have no target."""
+    scopes = s.view("scopes").select("scope_id", "address", "from_block", "to_block", F.explode(F.array(F.lit("AF"), F.lit("NO"))).alias("event_name"))
     named = scopes.where("scope_id % 13 <> 4").withColumn("topic0", F.concat(F.lit("0x"), F.sha2("event_name", 256)))
-    digests = named.select("scope_id", F.sha2("address", 256).alias("address_digest"), F.sha2("topic0", 256).alias("topic_digest"))
-    return matching.with_probes(digests, "address_digest", "topic_digest")
+    digests = named.withColumns({"address_digest": F.sha2("address", 256), "topic_digest": F.sha2("topic0", 256)})
+    return digests.select("scope_id", "event_name", signatures.needed_bits("address_digest", "topic_digest").alias("bits"), "from_block", "to_block")
 
 
 _HITS_SQL = """, targets AS (SELECT scope_id, event_name, sha256(address) AS a, sha256('0x' || sha256(event_name)) AS t FROM scopes, (VALUES ('AF'), ('NO')) v(event_name) WHERE scope_id % 13 <> 4),
@@ -358,17 +359,31 @@ def bloom_build(s: Sample) -> DataFrame:
     return matching.bloom_words(_bloom_values(s))
 
 
-def bloom_pairs(s: Sample) -> DataFrame:
-    """(scope_id, block_number, bloom) of every block in a scope's range; blocks without logs have an empty Bloom."""
-    blooms = matching.bloom_text(matching.bloom_words(_bloom_values(s)))
-    pairs = matching.scope_blocks(s.headers, s.view("scopes").select("scope_id", "from_block", "to_block"))
-    joined = pairs.join(blooms, "block_number", "left")
-    return joined.select("scope_id", "block_number", F.coalesce("bloom", F.lit("0" * 512)).alias("bloom"))
+@query(_bits(" SELECT CAST(block_number // 32768 AS BIGINT) AS slice, CAST(bit AS INTEGER) AS bit, CAST(count(*) AS BIGINT) AS n_blocks FROM bits GROUP BY 1, 2"))
+def bloom_slices(s: Sample) -> DataFrame:
+    slices = signatures.bit_slices(matching.bloom_words(_bloom_values(s)))
+    return slices.select("slice", "bit", F.bitmap_count("blocks").alias("n_blocks"))
+
+
+@query(_bits(" SELECT CAST(block_number // 32768 AS BIGINT) AS slice, CAST(bit AS INTEGER) AS bit, CAST(count(*) AS BIGINT) AS n_blocks FROM bits GROUP BY 1, 2"))
+def bloom_slices_merged(s: Sample) -> DataFrame:
+    """Two runs that share a part of the blocks, merged."""
+    words = matching.bloom_words(_bloom_values(s))
+    runs = [signatures.bit_slices(words.where(kept)) for kept in ("block_number % 3 <> 0", "block_number % 3 <> 1")]
+    return signatures.merged_slices(*runs).select("slice", "bit", F.bitmap_count("blocks").alias("n_blocks"))
+
+
+def bloom_hits(s: Sample) -> DataFrame:
+    """(scope_id, block_number): blocks of a scope's range that may hold one of its targets."""
+    targets = _bloom_targets(s)
+    slices = signatures.bit_slices(matching.bloom_words(_bloom_values(s)), targets.select(F.explode("bits").alias("bit")))
+    found = signatures.probe(slices, targets, ["scope_id", "event_name"]).select("scope_id", "block_number").distinct()
+    return found.join(s.headers.select("block_number"), "block_number", "left_semi").select("scope_id", "block_number")
 
 
 @query(_bits(_HITS_SQL + " SELECT * FROM hits", "headers", "scopes"))
 def bloom_prefilter(s: Sample) -> DataFrame:
-    return matching.bloom_prefilter(bloom_pairs(s), _bloom_targets(s)).select("scope_id", "block_number")
+    return bloom_hits(s)
 
 
 @query(
