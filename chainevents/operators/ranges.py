@@ -1,8 +1,9 @@
-"""Range joins split on block buckets.
+"""Range joins as equi-joins.
 
-A range is exploded into the fixed-width buckets it touches and joined on the
-bucket, so every range join is an equi-join that can be shuffled, broadcast by
-size, or split on skew; no side is ever compared as a whole with the other.
+A range becomes a few nodes of a tree over block buckets, or the fixed-width
+buckets it touches, and a block meets it at the node that holds both. Such a join
+can be shuffled, broadcast by size, or split on skew; no side is ever compared as
+a whole with the other.
 """
 
 from __future__ import annotations
@@ -40,32 +41,63 @@ def exploded(ranges: DataFrame, lo: str = "from_block", hi: str = "to_block") ->
     )
 
 
+#: A node of one level spans so many (as a power of two) of the level below; the lowest level are the buckets.
+_STEP = 4
+_LEVELS = range(0, 52, _STEP)
+
+
+def covering(ranges: DataFrame, lo: str = "from_block", hi: str = "to_block") -> DataFrame:
+    """Ranges cut into nodes (``level``, ``node``) of a tree over the buckets; reversed ranges give none.
+
+    A node is used where it lies inside the range's buckets and its parent does not, so a range of any width gives at
+    most thirty nodes per level: their number grows with the logarithm of the width.
+    """
+    first, last = bucket_of(lo), bucket_of(hi)
+    inside = lambda level: (  # noqa: E731  first and last node of a level within the buckets
+        F.call_function("shiftright", first + ((1 << level) - 1), F.lit(level)),
+        F.call_function("shiftright", last + 1, F.lit(level)) - 1,
+    )
+    some = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.expr("array() :: array<bigint>"))
+    levels = []
+    for level in _LEVELS:
+        (a, b), (up_a, up_b) = inside(level), inside(level + _STEP)
+        width = 1 << _STEP
+        nodes = F.when(up_a <= up_b, F.concat(some(a, up_a * width - 1), some((up_b + 1) * width, b))).otherwise(some(a, b))
+        levels.append(F.arrays_zip(F.array_repeat(F.lit(level), F.size(nodes)).alias("level"), nodes.alias("node")))
+    return ranges.where(F.col(lo) <= F.col(hi)).select("*", F.inline(F.concat(*levels)))
+
+
+def with_nodes(blocks: DataFrame, cut: DataFrame) -> DataFrame:
+    """Blocks once for each level that ``cut`` has nodes of, with the node that holds them."""
+    used = cut.agg(F.collect_set("level").alias("levels")).scalar()
+    leveled = blocks.withColumn("level", F.explode(used))
+    return leveled.withColumn("node", F.call_function("shiftright", bucket_of("block_number"), F.col("level")))
+
+
 def containing(blocks: DataFrame, ranges: DataFrame, span: DataFrame | None = None) -> DataFrame:
     """Pairs of a block and a range that holds it, both ends inclusive.
 
     ``span`` supplies the block numbers that bound the ranges; pass a cheap
     projection of the stored table when ``blocks`` itself is costly to compute.
     """
-    cut = exploded(clipped(ranges, blocks if span is None else span), "lo", "hi").drop("lo", "hi")
-    numbered = blocks.withColumn("bucket", bucket_of("block_number"))
+    cut = covering(clipped(ranges, blocks if span is None else span), "lo", "hi").drop("lo", "hi")
     inside = F.col("b.block_number").between(F.col("r.from_block"), F.col("r.to_block"))
-    joined = numbered.alias("b").join(cut.alias("r"), (F.col("b.bucket") == F.col("r.bucket")) & inside)
-    return joined.select("b.*", *[F.col(f"r.{c}") for c in ranges.columns]).drop("bucket")
+    same = (F.col("b.level") == F.col("r.level")) & (F.col("b.node") == F.col("r.node"))
+    joined = with_nodes(blocks, cut).alias("b").join(cut.alias("r"), same & inside)
+    return joined.select(*[F.col(f"b.{c}") for c in blocks.columns], *[F.col(f"r.{c}") for c in ranges.columns])
 
 
 def overlapping(items: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """Items whose (from_block, to_block) overlaps at least one range; one row per ``key``."""
-    ends = items.select(
-        F.col("from_block").alias("block_number")
-    ).unionAll(items.select(F.col("to_block").alias("block_number")))
-    wanted = exploded(clipped(ranges, ends), "lo", "hi").select("bucket", "from_block", "to_block").distinct()
-    pieces = exploded(items)
-    hit = (
-        (F.col("i.bucket") == F.col("r.bucket"))
-        & (F.col("i.to_block") >= F.col("r.from_block"))
-        & (F.col("i.from_block") <= F.col("r.to_block"))
-    )
-    return pieces.alias("i").join(wanted.alias("r"), hit, "left_semi").drop("bucket").dropDuplicates([key])
+    """Items whose (from_block, to_block) overlaps at least one range; one row per ``key``.
+
+    Two ranges overlap if one of them holds the other's first block.
+    """
+    sound = items.where(F.col("from_block") <= F.col("to_block"))
+    wanted = ranges.where(F.col("from_block") <= F.col("to_block")).select("from_block", "to_block").distinct()
+    begins = sound.select(key, F.col("from_block").alias("block_number"))
+    held = containing(begins, wanted).select(key)
+    holding = containing(wanted.select(F.col("from_block").alias("block_number")).distinct(), sound.select(key, "from_block", "to_block")).select(key)
+    return sound.join(held.union(holding).distinct(), key, "left_semi").dropDuplicates([key])
 
 
 def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:

@@ -52,13 +52,30 @@ def contract_counts(events: DataFrame, contracts: DataFrame) -> DataFrame:
     return joined.select("address", "name", F.coalesce("n", F.lit(0)).cast("bigint").alias("event_count")).orderBy("address")
 
 
+def rolled_counts(rollup: DataFrame) -> DataFrame:
+    """The same, from a store's roll-up instead of its events."""
+    return rollup.groupBy("contract", "event_name").agg(F.sum("n").alias("n"), F.min("min_block").alias("min_block"), F.max("max_block").alias("max_block"))
+
+
+def rolled_totals(rollup: DataFrame, contracts: DataFrame) -> DataFrame:
+    """``totals`` and ``indexed_range`` in one row, from the roll-up."""
+    n_contracts = contracts.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return rollup.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("event_count"), F.min("min_block").alias("min_block"), F.max("max_block").alias("max_block")
+    ).withColumn("contract_count", n_contracts)
+
+
 def status_summary(events: DataFrame, contracts: DataFrame) -> DataFrame:
     """Per contract: totals and the breakdown by event name, beside the dataset-wide facts.
 
     The events are aggregated once to one row per (contract, event name); all
     figures are rolled up from that small table.
     """
-    by_name = counts_by_name(events)
+    return summary_of(counts_by_name(events), contracts)
+
+
+def summary_of(by_name: DataFrame, contracts: DataFrame) -> DataFrame:
+    """The status from one row per (contract, event name): ``counts_by_name`` or ``rolled_counts``."""
     entries = F.array_sort(F.collect_list(F.struct("event_name", "n")))
     per_contract = by_name.groupBy("contract").agg(F.sum("n").alias("total_events"), entries.alias("event_breakdown"))
     overall = by_name.agg(

@@ -285,7 +285,7 @@ def page_requests(s: Sample) -> DataFrame:
     return Q.page_requests(asked, PAGE, CAP)
 
 
-@query(
+_OUTCOME_SQL = (
     duck(
         """, matched AS (SELECT q.request_id, count(e.block_number) AS n FROM requests q LEFT JOIN stored e
           ON (q.contract IS NULL OR q.contract = e.contract) AND (q.event_name IS NULL OR q.event_name = e.event_name)
@@ -304,11 +304,21 @@ def page_requests(s: Sample) -> DataFrame:
         "logs", "stored", "contracts", "registered", "covered_own", "covered", "requests",
     ).replace(") , matched", "), matched")
 )
+
+
+@query(_OUTCOME_SQL)
 def query_outcome(s: Sample) -> DataFrame:
     return Q.query_outcome(s.view("requests"), s.stored, s.contracts, s.covered, CAP)
 
 
-@query(
+@query(_OUTCOME_SQL)
+def stored_query_outcome(s: Sample) -> DataFrame:
+    """Counts come from the roll-up; events are read only in the buckets where a request begins or ends."""
+    written = stored_layout(s)
+    return Q.query_outcome(s.view("requests"), written.events, s.contracts, s.covered, CAP, written.bucket_counts)
+
+
+_ROWS_SQL = (
     duck(
         """, allowed AS (SELECT * FROM requests q WHERE NOT (q.contract IS NOT NULL AND NOT EXISTS (SELECT 1 FROM registered r WHERE r.address = q.contract))
           AND NOT (q.contract IS NOT NULL AND q.from_block IS NOT NULL AND q.to_block IS NOT NULL AND NOT EXISTS (SELECT 1 FROM covered c
@@ -320,10 +330,20 @@ def query_outcome(s: Sample) -> DataFrame:
         "logs", "stored", "contracts", "registered", "covered_own", "covered", "requests",
     ).replace(") , allowed", "), allowed")
 )
+
+
+@query(_ROWS_SQL)
 def query_rows(s: Sample) -> DataFrame:
     return Q.query_rows(s.view("requests"), s.stored, s.contracts, s.covered)
 
 
+@query(_ROWS_SQL.replace(", ".join(ARRIVAL), "contract, event_name, decoded"))
+def stored_query_rows(s: Sample) -> DataFrame:
+    """Of rows that share a key, the store keeps the first by contract, name and decoded text."""
+    written = stored_layout(s)
+    return Q.query_rows(s.view("requests"), written.events, s.contracts, s.covered, written.bucket_counts)
+
+
 # --- projections and quality ---------------------------------------------------------
 
 _QUALITY = r""", graded AS (SELECT *,
@@ -525,7 +545,7 @@ def contract_counts(s: Sample) -> DataFrame:
     return status.contract_counts(s.stored, s.contracts)
 
 
-@query(
+_STATUS_SQL = (
     duck(
         ", by_name AS (SELECT contract, event_name, count(*) AS n FROM stored GROUP BY ALL) "
         "SELECT c.address, c.name, CAST(coalesce((SELECT sum(n) FROM by_name b WHERE b.contract = c.address), 0) AS BIGINT) AS total_events, "
@@ -535,7 +555,30 @@ def contract_counts(s: Sample) -> DataFrame:
         "logs", "stored", "contracts", "registered",
     ).replace(") , by_name", "), by_name")
 )
-def status_summary(s: Sample) -> DataFrame:
-    summary = status.status_summary(s.stored, s.contracts)
+
+
+def _summary(summary: DataFrame) -> DataFrame:
     text = F.transform("event_breakdown", lambda e: F.concat(e["event_name"], F.lit(":"), e["n"].cast("string")))
     return summary.withColumn("breakdown", F.array_join(text, ",")).drop("event_breakdown")
+
+
+@query(_STATUS_SQL)
+def status_summary(s: Sample) -> DataFrame:
+    return _summary(status.status_summary(s.stored, s.contracts))
+
+
+@query(_STATUS_SQL)
+def stored_status(s: Sample) -> DataFrame:
+    """From the roll-up alone: no event file is read."""
+    return _summary(status.summary_of(status.rolled_counts(stored_layout(s).rollup), s.contracts))
+
+
+@query(
+    duck(
+        "SELECT contract, event_name, topic0, CAST(block_number // 8192 AS BIGINT) AS block_bucket, CAST(count(*) AS BIGINT) AS n, min(block_number) AS min_block, max(block_number) AS max_block "
+        "FROM stored GROUP BY ALL",
+        "logs", "stored",
+    )
+)
+def stored_rollup(s: Sample) -> DataFrame:
+    return stored_layout(s).rollup.select("contract", "event_name", "topic0", "block_bucket", "n", "min_block", "max_block")

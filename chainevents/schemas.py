@@ -11,6 +11,7 @@ EVENTS = (
     "tx_hash string, tx_index bigint, log_index bigint, raw_topics string, raw_data string, "
     "decoded string, source string, timestamp bigint"
 )
+ROLLUP = "contract string, event_name string, topic0 string, n bigint, min_block bigint, max_block bigint"
 CONTRACTS = "address string, name string, abi_json string"
 COVERED_RANGES = "contract string, from_block bigint, to_block bigint, source string, recorded_at timestamp"
 SCOPES = (

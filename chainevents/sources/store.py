@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chainevents.operators.coverage import new_coverage
 from chainevents.operators.ranges import bucket_of
-from chainevents.schemas import BUCKET, CONTRACTS, COVERED_RANGES, EVENT_COLUMNS, EVENT_KEY, EVENTS
+from chainevents.schemas import BUCKET, CONTRACTS, COVERED_RANGES, EVENT_COLUMNS, EVENT_KEY, EVENTS, ROLLUP
 
 
 def first_per_key(incoming: DataFrame, arrival: list) -> DataFrame:
@@ -84,6 +84,16 @@ class Store:
         """Stored events, with the ``block_bucket`` partition column."""
         return self._read("events", EVENTS + ", block_bucket bigint")
 
+    @property
+    def rollup(self) -> DataFrame:
+        """Counts and block range of the stored events per bucket, contract, event name and first topic."""
+        return self._read("rollup", ROLLUP + ", block_bucket bigint")
+
+    @property
+    def bucket_counts(self) -> DataFrame:
+        """The roll-up as look-ups of many requests read it."""
+        return self.rollup.select("contract", "event_name", "topic0", F.col("block_bucket").alias("bucket"), "n")
+
     @property
     def contracts(self) -> DataFrame:
         """The newest complete version."""
@@ -108,6 +118,26 @@ class Store:
             .partitionBy("block_bucket")
             .parquet(f"{self.root}/events")
         )
+        self.roll_up(low, high)
+
+    def roll_up(self, low: int, high: int) -> None:
+        """Count the stored events of the buckets of blocks ``low .. high`` anew, in place of what was counted before.
+
+        It reads four narrow columns of those partitions. Done twice it changes nothing, and it mends the roll-up of a
+        run that broke off between its two writes.
+        """
+        stored = self.events.where(F.col("block_bucket").between(low // BUCKET, high // BUCKET))
+        counts = stored.groupBy("contract", "event_name", "topic0", "block_bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.min("block_number").alias("min_block"), F.max("block_number").alias("max_block")
+        )
+        (
+            counts.hint("rebalance", "block_bucket")
+            .sortWithinPartitions("block_bucket", "contract", "topic0")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("block_bucket")
+            .parquet(f"{self.root}/rollup")
+        )
 
     def append_coverage(self, incoming: DataFrame) -> None:
         """Record ranges (contract, from_block, to_block) that are not recorded yet."""
