@@ -17,6 +17,7 @@ HEADLINE = [
     "event_dedup", "event_append", "event_query", "event_page", "event_page_deep", "capped_query", "query_outcome",
     "scope_blocks", "bloom_prefilter", "log_match", "block_log_index", "present_ranges", "missing_ranges",
     "coverage_decision", "row_quality", "event_shape", "status_summary", "log_decode", "stored_event_query", "stored_event_page", "stored_totals",
+    "query_rows", "log_decode_static", "stored_status", "stored_query_outcome", "stored_query_rows",
 ]
 
 
