@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainevents.llm.common import Scratch, query, table, tidy
@@ -87,14 +87,18 @@ def _ranges(owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nd
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), text.alias("text")).select("*", *_identity(F.col("text")))
+
+
+def _identity(text: F.Column) -> list[F.Column]:
+    """``key`` and ``check``: 128 bits that tell whole texts apart, as two hashes with different seeds."""
+    return [F.xxhash64(text).alias("key"), F.xxhash64(F.lit(7), text).alias("check")]
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, keys = batch.column("text").to_pylist(), batch.column("key").to_numpy()
-        _, first = np.unique(keys, return_index=True)
-        texts, keys = [texts[k] for k in first], keys[first]
+        different = dict(zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), strict=True))
+        texts, keys = list(different), np.fromiter(different.values(), np.int64, len(different))
         for a, b in slices(texts, _CHARS):
             found = Windows([t.encode() for t in texts[a:b]])
             order = np.lexsort((found.anchor, found.text))
@@ -132,7 +136,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = low - found.starts[text]
             gone = doc_ids[text] > first
             owner, lo, hi = _ranges(text[gone], at[gone], at[gone] + (high - low)[gone] + DEPTH - 1)
-            yield _found(doc_keys[owner], lo, hi)
+            yield _found(doc_keys[owner], lo, hi, doc_ids[owner])
             sent = np.flatnonzero(~gone)
             deal = np.where(alone[sent], np.fromiter((hash_bytes(strings[k]) if alone[k] else 0 for k in sent.tolist()), np.int64, len(sent)), anchor[sent])
             for k in range(0, len(sent), 50_000):
@@ -147,10 +151,10 @@ def hash_bytes(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
-def _found(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+def _found(key: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     n, none = len(key), pa.nulls
     return pa.RecordBatch.from_arrays(
-        [pa.array(key, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.binary())],
+        [pa.array(key, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), none(n, pa.int64()), pa.array(ids, pa.int64()), none(n, pa.binary())],
         ["key", "low", "high", "deal", "id", "bytes"],
     )
 
@@ -214,11 +218,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lows.append(low[row[gone]] + inside[at[gone]])
             highs.append(lows[-1] + DEPTH)
         owner, lo, hi = (np.concatenate(x) for x in (owners, lows, highs))
-        _, text = np.unique(key, return_inverse=True)
-        text_key = np.zeros(int(text.max()) + 1, np.int64)
-        text_key[text] = key
+        order = np.lexsort((doc, key))
+        new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])])
+        text = np.empty(len(key), np.int64)
+        text[order] = np.cumsum(new) - 1
+        one = order[new]  # a row of each text
         owner, lo, hi = _ranges(text[owner], lo, hi)
-        yield pa.RecordBatch.from_arrays([pa.array(text_key[owner]), pa.array(lo), pa.array(hi)], ["key", "low", "high"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[one[owner]]), pa.array(doc[one[owner]]), pa.array(lo), pa.array(hi)], ["key", "id", "low", "high"])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,34 +240,35 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append(len(low))
             kept.append(rest.decode("utf-8", "ignore"))
             hashes.append(hashlib.sha256(rest).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(hashes, pa.string()), pa.array(kept, pa.string())], ["key", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("check"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(hashes, pa.string()), pa.array(kept, pa.string())], ["key", "check", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def removed_ranges(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Documents that share a string with another text (``key, id, text``), and ``key, low, high`` of what goes from them."""
+    """Documents that share a string with another text (``key, check, id, text``), and ``key, id, low, high`` of what goes from them."""
     rows = _identified(docs, id_col, text_col)
-    group = Window.partitionBy("anchor")
-    anchors = rows.select("key", "text").mapInArrow(tidy(_anchors), "anchor long, key long")
-    often = anchors.select("anchor", "key", F.count(F.lit(1)).over(group).alias("times"), F.min("key").over(group).alias("a"), F.max("key").over(group).alias("b"))
-    lists = often.where("a < b").groupBy("key").agg(F.collect_list(F.struct("anchor", "times")).alias("x"))
+    dealt = rows.select("key", "text").mapInArrow(tidy(_anchors), "anchor long, key long").repartition("anchor")
+    # one exchange serves both: groups are counted in it, and its rows then stream past those that several texts have
+    groups = dealt.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("key").alias("a"), F.max("key").alias("b")).where("a < b")
+    often = dealt.join(groups.select("anchor", "times").hint("shuffle_hash"), "anchor")
+    lists = often.groupBy("key").agg(F.collect_list(F.struct("anchor", "times")).alias("x"))
     lists = lists.select("key", F.col("x.anchor").alias("anchors"), F.col("x.times").alias("times"))
-    lists = scratch.write(lists.join(rows.groupBy("key").agg(F.min("id").alias("id")), "key"), "anchors")
-    touched = scratch.write(rows.join(lists, ["key", "id"]), "touched")
+    lists = scratch.write(lists.join(rows.groupBy("key", "check").agg(F.min("id").alias("id")), "key"), "anchors")
+    touched = scratch.write(rows.join(lists, ["key", "check", "id"]), "touched")
     scratch.drop("anchors")
     strings = scratch.write(touched.sortWithinPartitions("id").mapInArrow(tidy(_strings), "key long, low long, high long, deal long, id long, bytes binary"), "strings")
-    dealt = strings.where("bytes is not null").repartition("deal").sortWithinPartitions("deal")
-    ranges = strings.where("bytes is null").select("key", "low", "high").union(dealt.mapInArrow(tidy(_meet), "key long, low long, high long"))
-    ranges = scratch.write(ranges, "ranges")
+    met = strings.where("bytes is not null").repartition("deal").sortWithinPartitions("deal").mapInArrow(tidy(_meet), "key long, id long, low long, high long")
+    ranges = scratch.write(strings.where("bytes is null").select("key", "id", "low", "high").union(met), "ranges")
     scratch.drop("strings")
-    return touched.select("key", "id", "text"), ranges
+    return touched.select("key", "check", "id", "text"), ranges
 
 
 def _verdicts(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """By ``key`` of the text: the document that keeps it (``first``); and what was cut out of that document's text."""
+    """By ``key`` and ``check`` of the text: the document that keeps it (``first``); and what was cut out of that document's text."""
     touched, ranges = removed_ranges(docs, scratch, id_col, text_col)
-    lists = ranges.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("x")).select("key", F.col("x.low").alias("lows"), F.col("x.high").alias("highs"))
-    cut = touched.join(lists, "key").dropDuplicates(["key"]).select("key", "text", "lows", "highs").mapInArrow(tidy(_cut_out), "key long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    firsts = _identified(docs, id_col, text_col).groupBy("key").agg(F.min("id").alias("first"))
+    lists = ranges.groupBy("key", "id").agg(F.collect_list(F.struct("low", "high")).alias("x")).select("key", "id", F.col("x.low").alias("lows"), F.col("x.high").alias("highs"))
+    held = touched.join(lists, ["key", "id"]).dropDuplicates(["key", "check"]).select("key", "check", "text", "lows", "highs")
+    cut = held.mapInArrow(tidy(_cut_out), "key long, check long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    firsts = _identified(docs, id_col, text_col).groupBy("key", "check").agg(F.min("id").alias("first"))
     return firsts, scratch.write(cut, "cut")
 
 
@@ -282,8 +289,8 @@ def suffix_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     an empty table gives an empty result.
     """
     firsts, cut = _verdicts(docs, scratch, id_col, text_col)
-    rows = _identified(docs, id_col, text_col).select("id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    met = rows.join(firsts, "key").join(cut.drop("kept"), "key", "left")
+    rows = _identified(docs, id_col, text_col).select("id", "key", "check", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+    met = rows.join(firsts, ["key", "check"]).join(cut.drop("kept"), ["key", "check"], "left")
     pick = lambda all_gone, some, none: F.when(_copy(), all_gone).when(_own(), some).otherwise(none)
     return met.select(
         F.when(F.col("id") < LAST, F.col("id")).alias("doc_id"),
@@ -301,8 +308,8 @@ def without_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     """
     firsts, cut = _verdicts(docs, scratch, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("key"), F.octet_length(text).alias("n_bytes"))
-    met = rows.join(firsts, "key").join(cut.select("key", "n_removed", "kept"), "key", "left")
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), *_identity(text), F.octet_length(text).alias("n_bytes"))
+    met = rows.join(firsts, ["key", "check"]).join(cut.select("key", "check", "n_removed", "kept"), ["key", "check"], "left")
     left = F.when(_copy(), F.lit("")).when(_own(), F.col("kept")).otherwise(F.col("row")[text_col])
     return met.select(*[left.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 

@@ -9,13 +9,12 @@ DEPTH, SHALLOW = 50, 16
 _SMALL = 4096
 
 
-def words_at(data: np.ndarray, starts: np.ndarray, offset: int) -> np.ndarray:
-    """The eight bytes from each start plus offset as one number, first byte highest."""
-    at = starts + offset
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | data[at + k]
-    return out
+def words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number, first byte highest; behind the end stand zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    two = (padded[:-1].astype(np.uint16) << 8) | padded[1:]
+    four = (two[:-2].astype(np.uint32) << 16) | two[2:]
+    return ((four[:-4].astype(np.uint64) << np.uint64(32)) | four[4:])[: len(data)]
 
 
 def multikey_quicksort(keys: list[np.ndarray]) -> np.ndarray:
@@ -87,7 +86,8 @@ class BlindTrie:
 def suffix_array(data: np.ndarray, starts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``starts`` within their groups, and a class number by place in that order: suffixes of
     one class share their first DEPTH bytes. ``data`` must reach DEPTH bytes behind each start."""
-    keys = [group.astype(np.uint64)] + [words_at(data, starts, k) for k in range(0, SHALLOW, 8)]
+    eight = words(data)
+    keys = [group.astype(np.uint64)] + [eight[starts + k] for k in range(0, SHALLOW, 8)]
     order = multikey_quicksort(keys)
     if not len(order):
         return order, order
@@ -97,10 +97,10 @@ def suffix_array(data: np.ndarray, starts: np.ndarray, group: np.ndarray) -> tup
         new[1:] |= k[order[1:]] != k[order[:-1]]
     first = np.flatnonzero(new)
     run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-    deep = [words_at(data, starts, k) for k in [*range(SHALLOW, DEPTH - 7, 8), DEPTH - 8]]
     differs = np.zeros(len(order), bool)
-    for k in deep:
-        differs |= k[order] != k[order[first]][run]
+    place, leader = starts[order], starts[order[first]][run]
+    for k in [*range(SHALLOW, DEPTH - 7, 8), DEPTH - 8]:
+        differs |= eight[place + k] != eight[leader + k]
     changes = new.copy()
     for r in np.unique(run[differs]).tolist():  # these share a long prefix, but not all of it
         low = first[r]

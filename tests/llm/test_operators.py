@@ -177,6 +177,17 @@ def test_suffix_dedup_texts(clashing, scratch):
     assert Counter((r.doc_id, r.text) for r in got.collect()) == want
 
 
+def test_texts_of_one_hash_keep_their_bytes(spark, scratch, monkeypatch):
+    """Texts are told apart by both hashes: where the first is equal, nothing that differs goes."""
+    both = suffix_dedup._identity
+    monkeypatch.setattr(suffix_dedup, "_identity", lambda text: [F.lit(5).cast("long").alias("key"), both(text)[1]])
+    a, b = "".join(f"first {k} " for k in range(20)), "".join(f"second {k} " for k in range(20))
+    frame = spark.createDataFrame([(1, a), (2, b), (3, a), (4, b)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(frame, scratch).collect()}
+    assert got == {1: 0, 2: 0, 3: len(a), 4: len(b)}
+    assert {r.doc_id: r.text for r in suffix_dedup.without_repeats(frame, scratch).collect()} == {1: a, 2: b, 3: "", 4: ""}
+
+
 def test_suffix_array_orders_and_classes():
     chance = random.Random(3)
     data = np.frombuffer("".join(chance.choice("ab") * chance.randint(1, 30) for _ in range(300)).encode() + b"q" * 60, np.uint8)
