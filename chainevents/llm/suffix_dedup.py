@@ -107,6 +107,22 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), pa.array(keys[a:b][text[new]])], ["anchor", "key"])
 
 
+def _times(found: Windows, anchors: list[list[int]], times: list[list[int]]) -> np.ndarray:
+    """How many texts have the anchor of each run of windows, by the lists of its text; 0 where its text's list lacks it."""
+    flat = np.array([x for each in anchors for x in each], np.int64)
+    counts = np.array([x for each in times for x in each], np.int64)
+    known = np.unique(flat)
+    if not len(known):
+        return np.zeros(len(found.text), np.int64)
+    pair = np.repeat(np.arange(len(anchors)), [len(x) for x in anchors]) * len(known) + np.searchsorted(known, flat)
+    order = np.argsort(pair)
+    pair, counts = pair[order], counts[order]
+    at = np.minimum(np.searchsorted(known, found.anchor), len(known) - 1)
+    wanted = found.text * len(known) + at
+    place = np.minimum(np.searchsorted(pair, wanted), len(pair) - 1)
+    return np.where((known[at] == found.anchor) & (pair[place] == wanted), counts[place], 0)
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Strings to be met elsewhere (``bytes`` set), and ranges that a smaller document of the task has already."""
     seen: dict[bytes, int] = {}
@@ -116,8 +132,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in slices(texts, _CHARS):
             order = sorted(range(a, b), key=lambda k: ids[k])
             found = Windows([texts[k].encode() for k in order])
-            wanted = [dict(zip(lists[0][k].as_py(), lists[1][k].as_py(), strict=True)) for k in order]
-            times = np.fromiter((wanted[t].get(x, 0) for t, x in zip(found.text.tolist(), found.anchor.tolist(), strict=True)), np.int64, len(found.text))
+            times = _times(found, [lists[0][k].as_py() for k in order], [lists[1][k].as_py() for k in order])
             step = np.where(times > OFTEN, 1, LONGEST)
             keep = times > 0
             begin, end, step, text, anchor = (x[keep] for x in (found.begin, found.end, step, found.text, found.anchor))
@@ -247,7 +262,7 @@ def removed_ranges(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str
     """Documents that share a string with another text (``key, check, id, text``), and ``key, id, low, high`` of what goes from them."""
     rows = _identified(docs, id_col, text_col)
     dealt = rows.select("key", "text").mapInArrow(tidy(_anchors), "anchor long, key long").repartition("anchor")
-    # one exchange serves both: groups are counted in it, and its rows then stream past those that several texts have
+    # neither side is sorted or buffered by anchor: groups are counted, then all rows stream past those that several texts have
     groups = dealt.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("key").alias("a"), F.max("key").alias("b")).where("a < b")
     often = dealt.join(groups.select("anchor", "times").hint("shuffle_hash"), "anchor")
     lists = often.groupBy("key").agg(F.collect_list(F.struct("anchor", "times")).alias("x"))

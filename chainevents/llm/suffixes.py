@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes compared, and bytes that the multikey quicksort orders before blind tries take over.
-DEPTH, SHALLOW = 50, 16
+DEPTH, SHALLOW = 50, 32
 _SMALL = 4096
 
 
@@ -46,22 +46,23 @@ class BlindTrie:
     def __init__(self):
         self.root = None  # a leaf (string, members) or a branch [depth, {byte: child}]
 
-    def insert(self, text: bytes, member: int) -> None:
+    def insert(self, text: bytes, members: list[int]) -> None:
         if self.root is None:
-            self.root = (text, [member])
+            self.root = (text, members)
             return
         node = self.root
         while isinstance(node, list):
             node = node[1].get(text[node[0]]) or next(iter(node[1].values()))
         other = node[0]
         if other == text:
-            node[1].append(member)
+            node[1].extend(members)
             return
-        depth = next(k for k in range(len(text)) if text[k] != other[k])
+        apart = int.from_bytes(text) ^ int.from_bytes(other)
+        depth = len(text) - (apart.bit_length() + 7) // 8
         above, node = None, self.root
         while isinstance(node, list) and node[0] < depth:
             above, node = node, node[1][text[node[0]]]
-        leaf = (text, [member])
+        leaf = (text, members)
         if isinstance(node, list) and node[0] == depth:
             node[1][text[depth]] = leaf
             return
@@ -102,15 +103,22 @@ def suffix_array(data: np.ndarray, starts: np.ndarray, group: np.ndarray) -> tup
     for k in [*range(SHALLOW, DEPTH - 7, 8), DEPTH - 8]:
         differs |= eight[place + k] != eight[leader + k]
     changes = new.copy()
-    for r in np.unique(run[differs]).tolist():  # these share a long prefix, but not all of it
-        low = first[r]
-        high = first[r + 1] if r + 1 < len(first) else len(order)
+    whole, bounds = data.tobytes(), np.append(first, len(order))
+    sorted_places, sorted_members, opened = [], [], []
+    for low, high in zip(*(bounds[np.unique(run[differs]) + k].tolist() for k in (0, 1)), strict=True):  # these share a long prefix, but not all of it
+        equal: dict[bytes, list[int]] = {}
+        for m, start in zip(order[low:high].tolist(), place[low:high].tolist(), strict=True):
+            equal.setdefault(whole[start + SHALLOW : start + DEPTH], []).append(m)
         trie = BlindTrie()
-        for m in order[low:high].tolist():
-            trie.insert(data[starts[m] + SHALLOW : starts[m] + DEPTH].tobytes(), m)
+        for text, members in equal.items():
+            trie.insert(text, members)
         at = low
-        for members in trie.leaves():
-            order[at : at + len(members)] = members
-            changes[at] = True
-            at += len(members)
+        for leaf in trie.leaves():
+            opened.append(at)
+            sorted_members += leaf
+            at += len(leaf)
+        sorted_places.append(np.arange(low, high))
+    if opened:
+        order[np.concatenate(sorted_places)] = sorted_members
+        changes[opened] = True
     return order, np.cumsum(changes) - 1

@@ -211,7 +211,7 @@ def test_multikey_quicksort_splits_large_segments():
 def test_blind_trie():
     trie, texts = BlindTrie(), [b"aab", b"aaa", b"bba", b"aab", b"abb", b"bbb"]
     for k, t in enumerate(texts):
-        trie.insert(t, k)
+        trie.insert(t, [k])
     assert [[texts[k] for k in m] for m in trie.leaves()] == [[b"aaa"], [b"aab", b"aab"], [b"abb"], [b"bba"], [b"bbb"]]
 
 
