@@ -26,7 +26,12 @@ def present_ranges(pairs: DataFrame, keys: list[str]) -> DataFrame:
     pieces = per_bucket.select(
         *keys, F.inline(F.arrays_zip(starts.alias("from_block"), ends.alias("to_block"))).alias("from_block", "to_block")
     )
-    at_edge = (F.col("from_block") % BUCKET == 0) | (F.col("to_block") % BUCKET == BUCKET - 1)
+    return joined_at_edges(pieces, keys, BUCKET)
+
+
+def joined_at_edges(pieces: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Ranges found within stretches of ``width`` blocks, those that meet across an edge as one."""
+    at_edge = (F.col("from_block") % width == 0) | (F.col("to_block") % width == width - 1)
     in_order = Window.partitionBy(*keys).orderBy("from_block")
     opens = F.coalesce(F.col("from_block") != F.lag("to_block").over(in_order) + 1, F.lit(True)).cast("int")
     edge = pieces.where(at_edge).withColumn("opens", opens).withColumn("island", F.sum("opens").over(in_order))

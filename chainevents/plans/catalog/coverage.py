@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainevents.operators import coverage, outcomes
+from chainevents.operators import coverage, outcomes, presence
 from chainevents.operators.matching import scope_blocks
 from chainevents.plans.catalog import scopes as scope_queries
 from chainevents.plans.catalog.sample import Sample, duck, query
@@ -71,6 +71,13 @@ def scope_present_ranges(s: Sample) -> DataFrame:
     return _present(s)
 
 
+@query(duck("SELECT block_number % 7 AS run, count(DISTINCT block_number) AS n_blocks FROM present GROUP BY ALL", "present"))
+def presence_counts(s: Sample) -> DataFrame:
+    """Different blocks of each of seven runs, counted on their bitmaps."""
+    runs = s.present.withColumn("run", F.col("block_number") % 7)
+    return presence.present_counts(presence.presence(runs, ["run"]), ["run"])
+
+
 @query(duck("SELECT min(block_number) AS from_block, max(block_number) AS to_block FROM (SELECT block_number, block_number - row_number() OVER (ORDER BY block_number) AS g FROM present) GROUP BY g", "present"))
 def present_ranges_one_scope(s: Sample) -> DataFrame:
     """One scope that holds every block: the islands of the whole table."""
@@ -78,6 +85,28 @@ def present_ranges_one_scope(s: Sample) -> DataFrame:
     return coverage.present_ranges(pairs, _KEYS).drop("scope_id")
 
 
+def _two_runs(s: Sample) -> DataFrame:
+    """Presence of two runs that each lack a third of the blocks, another one, and so share the last third; merged, all are there."""
+    first, second = (s.present.where(F.col("block_number") % 3 != k) for k in (0, 1))
+    return presence.merged_presence(presence.presence(first, []), presence.presence(second, []), [])
+
+
+def _merged_present(s: Sample) -> DataFrame:
+    return coverage.clip_to_scopes(presence.islands(_two_runs(s), []), _scopes(s), _KEYS, s.present)
+
+
+@query(_sql(_PRESENT_SQL, " SELECT * FROM islands"))
+def presence_ranges(s: Sample) -> DataFrame:
+    """Islands of every scope out of the bitmaps of two runs that overlap."""
+    return _merged_present(s)
+
+
+@query(_sql(_PRESENT_SQL, " SELECT * FROM gaps"))
+def presence_gaps(s: Sample) -> DataFrame:
+    """Gaps of every scope out of the same bitmaps."""
+    return coverage.missing_ranges(_scopes(s), _merged_present(s), _KEYS)
+
+
 @query(_sql(_PRESENT_SQL, " SELECT * FROM gaps"))
 def missing_ranges(s: Sample) -> DataFrame:
     return coverage.missing_ranges(_scopes(s), _present(s), _KEYS)
