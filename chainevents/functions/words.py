@@ -6,6 +6,8 @@ word of the data. Any number of layouts then shares one expression that walks th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,33 +15,50 @@ from pyspark.sql import types as T
 #: Pieces of a program: literal text, then what follows it and where.
 PROGRAM = T.ArrayType(T.StructType().add("text", T.StringType()).add("kind", T.StringType()).add("at", T.IntegerType()))
 _ZEROS, _ONES = "0" * 48, "f" * 48
+#: Digits of one limb, and powers of its base in nine-digit pieces, smallest first: what a limb adds to each piece.
+_DIGITS, _PIECES = 7, 9
+_POWERS = [[(1 << 4 * _DIGITS * i) // 10 ** (9 * j) % 10**9 for j in range(_PIECES)] for i in range(-(-64 // _DIGITS))]
 
 
-def _unsigned_large(limbs: Column) -> Column:
-    """Decimal text of eight 32-bit limbs, largest first: nine rounds of division by 10**9, nine digits each."""
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once: a lambda variable is not inlined."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    def divided(number: Column) -> Column:
-        none = F.struct(F.lit(0).cast("long").alias("rest"), F.array().cast("array<bigint>").alias("limbs"))
-        step = lambda s, x: F.struct(
-            ((s["rest"] * (1 << 32) + x) % 10**9).alias("rest"), F.concat(s["limbs"], F.array(F.call_function("div", s["rest"] * (1 << 32) + x, F.lit(10**9)))).alias("limbs")
-        )
-        return F.aggregate(number, none, step)
 
-    start = F.struct(limbs.alias("limbs"), F.lit("").alias("text"))
-    round_ = lambda s, _: F.struct(divided(s["limbs"])["limbs"].alias("limbs"), F.concat(F.lpad(divided(s["limbs"])["rest"].cast("string"), 9, "0"), s["text"]).alias("text"))
-    text = F.aggregate(F.sequence(F.lit(1), F.lit(9)), start, round_)["text"]
-    return F.regexp_replace(text, "^0+(?!$)", "")
+def _limbs(word: Column) -> Column:
+    """Ten limbs of 28 bits, smallest first; the last has four."""
+    starts = [max(64 - _DIGITS * (i + 1), 0) for i in range(len(_POWERS))]
+    return F.array(*[F.conv(F.substring(word, s + 1, min(_DIGITS, 64 - _DIGITS * i)), 16, 10).cast("long") for i, s in enumerate(starts)])
 
 
-def _limbs(word: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(word, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+def _large(word: Column, minus: Column) -> Column:
+    """Decimal text of 256 bits: limbs times powers, summed per nine-digit piece, then carried; no sum passes 63 bits.
+
+    A negative number's bits are turned and one is added.
+    """
+
+    def pieces(limbs: Column) -> Column:
+        sums = []
+        for j in range(_PIECES):
+            terms = [F.get(limbs, F.lit(i)) * F.lit(power[j]) for i, power in enumerate(_POWERS) if power[j]]
+            sums.append(sum(terms[1:], terms[0]))
+        return F.array(*sums)
+
+    def text(given: Column) -> Column:
+        none = F.struct(F.lit(0).cast("long").alias("carry"), F.lit("").alias("text"))
+        last = lambda s, x: F.struct(
+            F.call_function("div", s["carry"] + x, F.lit(10**9)).alias("carry"), F.concat(F.lpad(((s["carry"] + x) % 10**9).cast("string"), 9, "0"), s["text"]).alias("text")
+        )
+        return F.regexp_replace(F.aggregate(given, none, last)["text"], "^0+(?!$)", "")
 
+    def turned(limbs: Column) -> Column:
+        full = F.array(*[F.lit((1 << 4 * min(_DIGITS, 64 - _DIGITS * i)) - 1).cast("long") for i in range(len(_POWERS))])
+        return F.zip_with(full, limbs, lambda f, x: f - x)
 
-def _negated(limbs: Column) -> Column:
-    """Two's complement: all bits turned, and one added from the last limb on."""
-    none = F.struct(F.lit(1).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("limbs"))
-    add = lambda s, x: F.struct(F.shiftright(s["carry"] + x, 32).alias("carry"), F.concat(F.array((s["carry"] + x).bitwiseAND(0xFFFFFFFF)), s["limbs"]).alias("limbs"))
-    return F.aggregate(F.reverse(F.transform(limbs, lambda x: 0xFFFFFFFF - x)), none, add)["limbs"]
+    one = F.array(*[F.lit(int(j == 0)).cast("long") for j in range(_PIECES)])
+    plain = lambda limbs: text(pieces(limbs))
+    negative = lambda limbs: F.concat(F.lit("-"), text(F.zip_with(pieces(limbs), one, lambda p, o: p + o)))
+    return F.when(minus, _bound(turned(_limbs(word)), negative)).otherwise(_bound(_limbs(word), plain))
 
 
 def decimal_text(word: Column, signed: Column) -> Column:
@@ -48,25 +67,30 @@ def decimal_text(word: Column, signed: Column) -> Column:
     return (
         F.when(head == _ZEROS, F.conv(tail, 16, 10))
         .when(minus & (head == _ONES) & (F.substring(word, 49, 1) >= "8"), F.conv(tail, 16, -10))
-        .when(minus, F.concat(F.lit("-"), _unsigned_large(_negated(_limbs(word)))))
-        .otherwise(_unsigned_large(_limbs(word)))
+        .otherwise(_large(word, minus))
     )
 
 
 def rendered(program: Column, data: Column, others: Column) -> Column:
     """The text of a program over binary ``data``; a piece of kind ``other`` takes the element of ``others`` at its place."""
 
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+
+    def value(p: Column, word: Column) -> Column:
+        return (
+            F.when(p["kind"] == "bool", F.when(word == "0" * 64, "false").otherwise("true"))
+            .when(p["kind"] == "word", quoted(F.concat(F.lit("0x"), word)))
+            .otherwise(quoted(decimal_text(word, p["kind"] == "int")))
+        )
+
     def piece(p: Column) -> Column:
         word = F.lower(F.hex(F.substring(data, p["at"] + 1, F.lit(32))))
-        quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-        value = (
+        wordless = (
             F.when(p["kind"] == "text", F.lit(""))
             .when(p["kind"] == "other", F.get(others, p["at"]))
-            .when(p["kind"] == "bool", F.when(word == "0" * 64, "false").otherwise("true"))
-            .when(p["kind"] == "word", quoted(F.concat(F.lit("0x"), word)))
             .when(p["kind"] == "function", F.lit('"[unknown]"'))
-            .otherwise(quoted(decimal_text(word, p["kind"] == "int")))
+            .otherwise(_bound(word, lambda w: value(p, w)))
         )
-        return F.concat(p["text"], value)
+        return F.concat(p["text"], wordless)
 
     return F.array_join(F.transform(program, piece), "")

@@ -108,3 +108,11 @@ def test_addresses_keep_their_mixed_case(spark):
     raw = bytes.fromhex("a0b86991c6218b36c1d19d4a2e9eb0ce3606eb48")
     data = w(5) + bytes(12) + raw + w(160) + w(224) + w(-3) + w(2) + b"hi".ljust(32, b"\0") + w(1) + w(9)
     assert decoded(spark, known, [(0, data)])[1] == [({"a": "5", "who": "0xA0b86991c6218b36c1d19D4a2e9Eb0cE3606eB48", "s": "hi", "n": ["9"], "z": "-3"}, False)]
+
+
+def test_a_large_number_takes_one_fold(spark):
+    """No fold within a fold: each of nine pieces is carried once, for either sign."""
+    rows = spark.createDataFrame([(f"{n % (1 << 256):064x}", s, str(n)) for n, s in [(10**76 + 7, False), (-(1 << 255), True), ((1 << 256) - 1, False), (10**27, True), (-(10**36), True)]], "word string, signed boolean, want string")
+    got = rows.withColumn("got", decimal_text(F.col("word"), F.col("signed")))
+    assert [r.got for r in got.collect()] == [r.want for r in got.collect()]
+    assert got._jdf.queryExecution().analyzed().toString().count("aggregate(") == 2
