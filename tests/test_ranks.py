@@ -1,6 +1,7 @@
 """Requests by rank and select, against plain filtering and slicing."""
 
 import random
+import re
 
 import pytest
 from test_query import TOKEN, TOPIC, event, events_of
@@ -95,3 +96,15 @@ def test_requests_at_one_block_are_looked_up_once(spark):
     asked = spark.createDataFrame([(k, TOKEN if k % 2 else None, None, None, 10, 39, 0, 0) for k in range(400)], REQUEST)
     counts = Q.count_matches(asked, events_of(spark, *rows)).collect()
     assert len(counts) == 400 and {r.matches for r in counts} == {30}
+
+
+def test_exploded_pages_do_not_pass_the_driver(spark):
+    """A page's rows are met by runs of ranks, dealt on both sides: their table looks small by its file and is not."""
+    rows = [event(k, 0) for k in range(3 * ranks.RUN)]
+    events, asked = events_of(spark, *rows), spark.createDataFrame([(k, TOKEN, None, None, 0, 10**6, 0, 0) for k in range(50)], REQUEST)
+    wanted = ranks.with_kinds(asked)
+    found = ranks.Ranks(wanted, events, ranks.bucket_counts(events), Work(spark, "test"))
+    picked = found.select(wanted.selectExpr("request_id", "kind", "CAST(60 AS BIGINT) AS first", "CAST(130 AS BIGINT) AS last"))
+    joins = re.findall(r"SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin", picked._jdf.queryExecution().executedPlan().toString())
+    assert joins[0] == "SortMergeJoin"
+    assert sorted((r.request_id, r["rank"], r.block_number) for r in picked.collect()) == [(k, n, n) for k in range(50) for n in range(60, 130)]
