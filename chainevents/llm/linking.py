@@ -8,7 +8,7 @@ different components are met, and links found there complete the components, so
 Before that last step, nodes that can link to no other component any more are left out: a shingle that only one
 component's candidates hold is in no intersection with another one, and a node with too few other shingles cannot
 reach the similarity. In a family of texts with edits of their own, that takes out the distant ones, whose pairs are
-the many that come close to the threshold without reaching it.
+the many that come close to the threshold without reaching it. A pair that shares many keys comes out of the join once.
 
 Pairs are refused early by parity sketches of the sets: each shingle flips one bit, so bits that differ are never more
 than shingles that differ. A sketch has at least two bits per shingle (up to ``WORDS`` words, beyond which it only
@@ -34,6 +34,8 @@ _U = np.uint64
 
 #: Rounds of stars; their number only moves work, never a result.
 ROUNDS = 3
+#: Smallest keys of a node that tell whether a pair has met before; their number only moves work.
+FIRSTS = 32
 #: Most 64-bit words of a parity sketch.
 WORDS = 1024
 
@@ -140,6 +142,22 @@ def _mixed(rooted: DataFrame) -> DataFrame:
     return rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
 
 
+def _firsts(given: DataFrame) -> DataFrame:
+    """The ``FIRSTS`` smallest keys of each node."""
+    return given.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, FIRSTS).alias("firsts"))
+
+
+def _apart_pairs(rest: DataFrame, likely: Column) -> DataFrame:
+    """Likely pairs of nodes of different components that share a key.
+
+    Copies share most of their keys; of the keys that are among the first ones of both, only the smallest gives the pair.
+    A pair that shares none of these comes with each key that it shares, so none is lost.
+    """
+    a, b = _sides(rest)
+    once = F.coalesce(F.array_min(F.array_intersect("firsts_u", "firsts_v")), "sig_u") >= F.col("sig_u")
+    return a.join(b, (F.col("sig_u") == F.col("sig_v")) & (F.col("root_u") < F.col("root_v")) & likely & once).select("node_u", "node_v")
+
+
 def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``SETS`` of the texts with the keys of ``wanted``, each node once."""
 
@@ -215,8 +233,8 @@ def linked(given: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, ou
     apart = scratch.write(rooted.join(_mixed(rooted), "sig", "left_semi"), "apart")
     able = scratch.write(_able(apart, sets, percent), "able")
     rest = apart.join(able, "node", "left_semi")
-    rest = scratch.write(rest.join(_mixed(rest), "sig", "left_semi").join(outline, "node"), "rest")
-    a, b = _sides(rest)
-    pairs = a.join(b, (F.col("sig_u") == F.col("sig_v")) & (F.col("root_u") < F.col("root_v")) & likely()).select("node_u", "node_v").distinct()
+    rest = rest.join(_mixed(rest), "sig", "left_semi")
+    rest = scratch.write(rest.join(_firsts(rest), "node").join(outline, "node"), "rest")
+    pairs = _apart_pairs(rest, likely()).distinct()
     links = scratch.write(verified(scratch.write(pairs, "pairs"), sets, percent), "links-last")
     return _united(roots, links, scratch, "last")
