@@ -208,7 +208,8 @@ class Sample:
 
     @staticmethod
     def shaped(rows: DataFrame) -> DataFrame:
-        return rows.selectExpr(*select(_logs(SPARK)))
+        """Key columns that the rows hold are taken as they are: filters on them then pass the windows over the key."""
+        return rows.selectExpr(*select({c: c if c in EVENT_KEY and c in rows.columns else x for c, x in _logs(SPARK).items()}))
 
     @property
     def stored(self) -> DataFrame:

@@ -58,24 +58,39 @@ def event_query(events: DataFrame, query: EventQuery) -> DataFrame:
 def page(rows: DataFrame, limit: int, offset: int) -> DataFrame:
     """Rows ``offset .. offset + limit`` of the result order; a limit of 0 means all that follow.
 
-    Counts per bucket of blocks tell in which buckets the page lies; only those are sorted and numbered, each by
-    itself, so rows before and behind the page are counted but never moved. The one window without a partition runs
-    over one row per bucket.
+    A first job counts rows per bucket of blocks, and hands back in which buckets the page lies: three numbers. Rows are
+    then read again in that range of blocks alone, where sources and keys allow it, and are numbered bucket by bucket. The
+    one window without a partition runs over one row per bucket.
     """
     if offset == 0 and limit == 0:
         return rows.orderBy(*ORDER)
-    per_bucket = rows.groupBy(bucket_of("block_number").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_bucket.select("bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"), "n")
     last = F.lit(offset + limit if limit else _LARGEST)
-    touched = starts.where((F.col("start") < last) & (F.col("start") + F.col("n") > offset)).drop("n")
+    touched = _bucket_starts(rows).where((F.col("start") < last) & (F.col("start") + F.col("n") > offset))
+    found = touched.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"), F.min("start").alias("start")).first()
+    if found.low is None:
+        return rows.limit(0)
+    # Blocks of a bucket lie on the side of 0 that it lies on, and on both sides in bucket 0.
+    first_block = found.low * BUCKET if found.low > 0 else (found.low - 1) * BUCKET + 1
+    last_block = found.high * BUCKET if found.high < 0 else (found.high + 1) * BUCKET - 1
+    near = rows.where(F.col("block_number").between(first_block, last_block))
     inside = Window.partitionBy("bucket").orderBy(*ORDER)
-    numbered = rows.withColumn("bucket", bucket_of("block_number")).join(touched, "bucket")
-    place = F.col("start") + F.row_number().over(inside) - 1
+    numbered = near.withColumn("bucket", bucket_of("block_number"))
+    if found.low == found.high:
+        numbered = numbered.withColumn("start", F.lit(0))
+    else:
+        numbered = numbered.join(F.broadcast(_bucket_starts(near).drop("n")), "bucket")  # one row per bucket
+    place = F.col("start") + F.row_number().over(inside) - 1 + found.start
     kept = numbered.withColumn("place", place).where((F.col("place") >= offset) & (F.col("place") < last))
     return kept.select(*rows.columns).orderBy(*ORDER)
 
 
+def _bucket_starts(rows: DataFrame) -> DataFrame:
+    """(bucket, n, start): the rows of every bucket of blocks, and those of the buckets before it."""
+    per_bucket = rows.groupBy(bucket_of("block_number").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return per_bucket.where("bucket IS NOT NULL").withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+
+
 def capped(rows: DataFrame, limit: int, offset: int, cap: int | None = None) -> tuple[DataFrame, bool]:
     """A page and whether it ended at the cap with rows left over.
 
