@@ -73,9 +73,11 @@ def has_decode_error(text: Column | str) -> Column:
 
 
 def json_string(text: Column | str) -> Column:
-    """Quoted and escaped JSON form of a text column."""
-    whole = F.to_json(F.struct(_col(text).alias("s")))
-    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+    """Quoted and escaped JSON form of a text column; plain words need no JSON writer."""
+    text = _col(text)
+    whole = F.to_json(F.struct(text.alias("s")))
+    escaped = F.substring(whole, F.lit(6), F.length(whole) - 6)
+    return F.when(text.rlike(r"\A[0-9A-Za-z_$]*\z"), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(escaped)
 
 
 def reason_text(reason: Column | str, gap_from: Column | str, gap_to: Column | str) -> Column:
