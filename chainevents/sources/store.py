@@ -10,16 +10,26 @@ from chainevents.operators.ranges import bucket_of
 from chainevents.schemas import BUCKET, CONTRACTS, COVERED_RANGES, EVENT_COLUMNS, EVENT_KEY, EVENTS, ROLLUP
 
 
-def first_per_key(incoming: DataFrame, arrival: list) -> DataFrame:
+def first_per_key(incoming: DataFrame, arrival: list, dealt: tuple[str, ...] = ()) -> DataFrame:
     """The first row of every event key in order of ``arrival`` (names or column expressions).
 
-    One exchange moves the rows as they come in. The arrival columns are worked out behind it, and only for rows that
-    share their key, so neither they nor columns that are derived from the outcome are moved or sorted.
+    One exchange moves the rows as they come in, and one sort by key puts them together. The arrival columns are worked
+    out behind it, only for rows that share their key, and compared there, so neither they nor columns that are derived
+    from the outcome are moved or sorted. ``dealt`` are columns that follow from the key; rows that are dealt by them
+    already are not moved again.
     """
-    same = Window.partitionBy(*EVENT_KEY)
-    shared = incoming.withColumn("_shared", F.count(F.lit(1)).over(same) > 1)
-    order = same.orderBy(*[F.when(F.col("_shared"), F.col(a) if isinstance(a, str) else a) for a in arrival])
-    return shared.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank", "_shared")
+    # The order within a key is left open: a part of the key is the same for all of its rows.
+    lined = Window.partitionBy(*EVENT_KEY, *dealt).orderBy(EVENT_KEY[0])
+    same = lined.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = incoming.withColumns({"_n": F.count(F.lit(1)).over(same), "_at": F.row_number().over(lined)})
+    order = F.struct(*[(F.col(a) if isinstance(a, str) else a).alias(f"_{i}") for i, a in enumerate(arrival)], "_at")
+    earliest = F.min(F.when(F.col("_n") > 1, order)).over(same)
+    return placed.withColumn("_first", earliest["_at"]).where("_at = coalesce(_first, 1)").drop("_n", "_at", "_first")
+
+
+def in_buckets(rows: DataFrame) -> DataFrame:
+    """Rows with ``block_bucket``, those of a bucket in one task."""
+    return rows.withColumn("block_bucket", bucket_of("block_number")).repartition("block_bucket")
 
 
 def new_events(existing: DataFrame, incoming: DataFrame, arrival: list) -> DataFrame:
@@ -114,16 +124,17 @@ class Store:
         are compared, moved and sorted as they come in, and take their shape where they are written.
         """
         shape = shape or {c: F.col(c) for c in EVENT_COLUMNS}
-        existing = self.events.where(F.col("block_bucket").between(low // BUCKET, high // BUCKET))
+        existing = self.events.where(F.col("block_bucket").between(low // BUCKET, high // BUCKET)).select(*EVENT_KEY)
+        # Without stored rows to compare with, rows are moved once: to the task that writes their bucket.
+        fresh = incoming if existing.isEmpty() else incoming.join(existing, EVENT_KEY, "left_anti")
         # A rerun hands over the same row for a key, except that several scopes may decode it alike.
-        added = new_events(existing, incoming, [shape[c] for c in ("contract", "event_name", "decoded")])
+        added = first_per_key(in_buckets(fresh), [shape[c] for c in ("contract", "event_name", "decoded")], ("block_bucket",))
         (
-            added.withColumn("block_bucket", bucket_of("block_number"))
-            .hint("rebalance", "block_bucket")
-            .withColumns({"_contract": shape["contract"], "_topic0": shape["topic0"]})
+            added.withColumns({"_contract": shape["contract"], "_topic0": shape["topic0"]})
             .sortWithinPartitions("block_bucket", "_contract", "_topic0", "block_number", "log_index")
             .select(*[shape[c].alias(c) for c in EVENT_COLUMNS], "block_bucket")
             .write.mode("append")
+            .option("compression", "zstd")  # hashes as hex text come down to half
             .partitionBy("block_bucket")
             .parquet(f"{self.root}/events")
         )
@@ -132,16 +143,17 @@ class Store:
     def roll_up(self, low: int, high: int) -> None:
         """Count the stored events of the buckets of blocks ``low .. high`` anew, in place of what was counted before.
 
-        It reads four narrow columns of those partitions. Done twice it changes nothing, and it mends the roll-up of a
+        It reads four narrow columns of those partitions and moves them once, in the order of their files, to the task that
+        counts and writes their bucket. Done twice it changes nothing, and it mends the roll-up of a
         run that broke off between its two writes.
         """
         stored = self.events.where(F.col("block_bucket").between(low // BUCKET, high // BUCKET))
-        counts = stored.groupBy("contract", "event_name", "topic0", "block_bucket").agg(
+        dealt = stored.select("block_bucket", "contract", "event_name", "topic0", "block_number").repartition("block_bucket")
+        counts = dealt.groupBy("contract", "event_name", "topic0", "block_bucket").agg(
             F.count(F.lit(1)).alias("n"), F.min("block_number").alias("min_block"), F.max("block_number").alias("max_block")
         )
         (
-            counts.hint("rebalance", "block_bucket")
-            .sortWithinPartitions("block_bucket", "contract", "topic0")
+            counts.sortWithinPartitions("block_bucket", "contract", "topic0")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("block_bucket")
