@@ -74,11 +74,20 @@ def status_summary(events: DataFrame, contracts: DataFrame) -> DataFrame:
     return summary_of(counts_by_name(events), contracts)
 
 
-def summary_of(by_name: DataFrame, contracts: DataFrame) -> DataFrame:
-    """The status from one row per (contract, event name): ``counts_by_name`` or ``rolled_counts``."""
+def rolled_summary(rollup: DataFrame, contracts: DataFrame) -> DataFrame:
+    """``status_summary`` from a store's roll-up; only counts by name are moved, the dataset-wide facts fold per task."""
+    return summary_of(rolled_counts(rollup), contracts, rolled_totals(rollup, contracts).withColumnRenamed("max_block", "latest_block"))
+
+
+def summary_of(by_name: DataFrame, contracts: DataFrame, overall: DataFrame | None = None) -> DataFrame:
+    """The status from one row per (contract, event name): ``counts_by_name`` or ``rolled_counts``.
+
+    ``overall`` has the dataset-wide ``event_count``, ``min_block`` and ``latest_block`` in one row, where they are known
+    without the counts by name.
+    """
     entries = F.array_sort(F.collect_list(F.struct("event_name", "n")))
     per_contract = by_name.groupBy("contract").agg(F.sum("n").alias("total_events"), entries.alias("event_breakdown"))
-    overall = by_name.agg(
+    overall = overall or by_name.agg(
         F.max("max_block").alias("latest_block"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("event_count"),
         F.min("min_block").alias("min_block"),

@@ -570,7 +570,7 @@ def status_summary(s: Sample) -> DataFrame:
 @query(_STATUS_SQL)
 def stored_status(s: Sample) -> DataFrame:
     """From the roll-up alone: no event file is read."""
-    return _summary(status.summary_of(status.rolled_counts(stored_layout(s).rollup), s.contracts))
+    return _summary(status.rolled_summary(stored_layout(s).rollup, s.contracts))
 
 
 @query(

@@ -1,5 +1,6 @@
 """The store's roll-up follows its events through appends, reruns and broken runs."""
 
+import re
 from collections import Counter
 
 from test_query import TOKEN, TOPIC, event, events_of
@@ -64,3 +65,17 @@ def test_requests_count_by_the_rollup(spark, folder):
     contracts, covered = spark.createDataFrame([(TOKEN, None, None)], "address string, name string, abi_json string"), spark.createDataFrame([(TOKEN, 0, 99_999, "era1", None)], COVERED_RANGES)
     page = Q.query_rows(asked, store.events, contracts, covered, store.bucket_counts).where("request_id = 2").orderBy("position").collect()
     assert [(r.position, r.block_number) for r in page] == [(50 + k, (50 + k) * 700) for k in range(5)]
+
+
+def test_status_moves_counts_by_name_once(spark, folder):
+    """The dataset-wide facts come from the roll-up itself, not from a second set of counts by name."""
+    store = Store(spark, folder)
+    rows = [event(b, 0, contract=c) for b, c in ((1, TOKEN), (2, TOKEN), (9000, OTHER))]
+    store.append_events(events_of(spark, *rows), 1, 9000)
+    store.upsert_contracts(spark.createDataFrame([(TOKEN, "a", "[]"), ("0x" + "11" * 20, None, None)], "address string, name string, abi_json string"))
+    summary = status.rolled_summary(store.rollup, store.contracts)
+    dealt = lambda table: len(re.findall(r"Exchange hashpartitioning\(contract#\d+, event_name#\d+", table._jdf.queryExecution().executedPlan().toString()))
+    assert dealt(status.summary_of(status.rolled_counts(store.rollup), store.contracts)) > 1 and dealt(summary) == 1
+    assert [tuple(r) for r in summary.collect()] == [tuple(r) for r in status.status_summary(store.events, store.contracts).collect()]
+    nothing = status.rolled_summary(Store(spark, f"{folder}/none").rollup, store.contracts).collect()
+    assert [(r.event_count, r.min_block, r.latest_block, r.contract_count) for r in nothing] == [(0, None, None, 2)] * 2
