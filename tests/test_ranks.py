@@ -9,6 +9,7 @@ from test_query import TOKEN, TOPIC, event, events_of
 from chainevents.operators import ranks
 from chainevents.plans import query as Q
 from chainevents.schemas import BUCKET, CONTRACTS, COVERED_RANGES
+from chainevents.sources.store import first_per_key, in_buckets
 from chainevents.sources.work import Work
 
 OTHER, UNKNOWN = "0x" + "cd" * 20, "0x" + "ee" * 20
@@ -108,3 +109,19 @@ def test_exploded_pages_do_not_pass_the_driver(spark):
     joins = re.findall(r"SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin", picked._jdf.queryExecution().executedPlan().toString())
     assert joins[0] == "SortMergeJoin"
     assert sorted((r.request_id, r["rank"], r.block_number) for r in picked.collect()) == [(k, n, n) for k in range(50) for n in range(60, 130)]
+
+
+def test_dealt_events_are_moved_by_touched_bucket(spark):
+    """Events dealt by bucket are counted where they are, and a look-up moves the buckets of its bounds alone."""
+    rows = [event(b * BUCKET + k, 0) for b in range(12) for k in range(5)]
+    events = events_of(spark, *rows)
+    dealt = first_per_key(in_buckets(events), ["contract"], ("block_bucket",))
+    plan = lambda table: table._jdf.queryExecution().executedPlan().toString()
+    assert plan(ranks.bucket_counts(dealt)).count("Exchange ") == 1
+    asked = spark.createDataFrame([(1, TOKEN, None, None, 2 * BUCKET + 1, 2 * BUCKET + 3, 0, 0), (2, None, None, None, None, 5 * BUCKET, 0, 0)], REQUEST)
+    assert {(r.request_id, r.matches) for r in Q.count_matches(asked, dealt).collect()} == {(1, 3), (2, 26)}
+    found = ranks.Ranks(ranks.with_kinds(asked), dealt, ranks.bucket_counts(dealt), Work(spark, "test"))
+    near = found._in_buckets(spark.createDataFrame([(1, 2), (1, 1 << 49)], "kind bigint, bucket bigint"))
+    assert str(3 * BUCKET - 1) in plan(near)[plan(near).index("REPARTITION_BY_COL") :]
+    assert sorted(r.block_number for r in near.collect()) == [2 * BUCKET + k for k in range(5)]
+    assert found._in_buckets(spark.createDataFrame([(1, 1 << 49)], "kind bigint, bucket bigint")).count() == 0
