@@ -224,6 +224,44 @@ def test_frequent_anchors_go_by_window(spark, scratch, monkeypatch):
     assert got == {i: sum(m) for (i, _), (_, m) in zip(rows, plain_repeats(rows), strict=True)}
 
 
+def test_phrases_shared_by_chance_are_not_sent(spark, scratch):
+    """A string travels if texts share 29 bytes around its anchor, not for a phrase of 16 that many texts have."""
+    phrases = [prose(900 + k, 3)[:20] for k in range(8)]
+    rows = [(k, " ".join(f"{phrases[(k + j) % 8]} {hashlib.sha256(bytes([k, j])).hexdigest()[:12]}" for j in range(40))) for k in range(30)]
+    passage = prose(78, 30)
+    rows += [(40, passage), (41, f"{rows[0][1]} {passage}")]
+    sent = []
+
+    class Kept:
+        def write(self, frame, name):
+            written = scratch.write(frame, name)
+            if name == "strings":
+                sent.append(written.select("bytes").where("bytes is not null").collect())
+            return written
+
+        drop = scratch.drop
+
+    frame = documents(spark, [Row(doc_id=i, text=t, lang="", source="", n_chars=0) for i, t in rows])
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(frame, Kept()).collect()}
+    assert got == {i: sum(m) for (i, _), (_, m) in zip(rows, plain_repeats(rows), strict=True)} and got[41] > 1_000
+    shared = [bytes(r.bytes) for r in sent[0]]
+    assert shared and all(any(r in t.encode() for k, t in rows if k in (0, 40, 41)) for r in shared)
+
+
+def test_slices_of_many_batches(spark, scratch, monkeypatch):
+    """Also where a slice's rows come in several batches, and slices and buckets are many."""
+    for name, value in (("SLICE", 3_000), ("MET", 1)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rows = [(k, " ".join(prose((k * 7 + j) % 23, 25) for j in range(3)) + " " + "=-" * (k % 5 * 40)) for k in range(60)]
+    frame = documents(spark, [Row(doc_id=i, text=t, lang="", source="", n_chars=0) for i, t in rows]).repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(frame, scratch).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: sum(m) for (i, _), (_, m) in zip(rows, plain_repeats(rows), strict=True)}
+
+
 # --- similarity join -------------------------------------------------------------
 
 
