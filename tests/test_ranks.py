@@ -125,3 +125,24 @@ def test_dealt_events_are_moved_by_touched_bucket(spark):
     assert str(3 * BUCKET - 1) in plan(near)[plan(near).index("REPARTITION_BY_COL") :]
     assert sorted(r.block_number for r in near.collect()) == [2 * BUCKET + k for k in range(5)]
     assert found._in_buckets(spark.createDataFrame([(1, 1 << 49)], "kind bigint, bucket bigint")).count() == 0
+
+
+def test_wide_requests_meet_events_by_whole_chunks(spark, monkeypatch):
+    """What is dealt for a request grows with its chunks, not with its runs; its rows are the same."""
+    monkeypatch.setattr(ranks, "RUN", 4)
+    monkeypatch.setattr(ranks, "WIDE", 32)
+    rows = [event(3 * k, k % 3, contract=TOKEN if k % 5 else OTHER) for k in range(700)]
+    spans = [(0, 700), (5, 690), (32, 64), (31, 65), (33, 63), (600, 601), (64, 700), (700, 800)]
+    asked = spark.createDataFrame([(i, None if i % 2 == 0 else TOKEN, None, None, None, None, b - a, a) for i, (a, b) in enumerate(spans)], REQUEST)
+    events, contracts = events_of(spark, *rows), spark.createDataFrame([(TOKEN, "a", "[]")], CONTRACTS)
+    got = Q.query_rows(asked, events, contracts, spark.createDataFrame([], COVERED_RANGES))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(sequence(") == 2
+    requests = [tuple(r) for r in asked.collect()]
+    found = sorted(((r.request_id, r.position, r.block_number, r.log_index, r.contract) for r in got.collect()), key=repr)
+    assert found == plain(rows, requests, {TOKEN}, [])
+    bounds = spark.createDataFrame([(i, 0, 5, 695) for i in range(20)], "request_id long, kind long, first long, last long")
+    wanted = ranks.with_kinds(asked.where("request_id = 0"))
+    found = ranks.Ranks(wanted, events, ranks.bucket_counts(events), Work(spark, "test"))
+    assert found.select(bounds).groupBy("request_id").count().where("count = 690").count() == 20
+    assert [spark.read.parquet(f"{found.work.folder}/{name}").count() for name in ("touched", "touched_whole")] == [1, 1]  # one bucket, once for all requests
