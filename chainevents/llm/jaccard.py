@@ -243,7 +243,10 @@ def near_dedup(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80,
     stays. All rows without words stay. An empty table gives an empty result.
     """
     rows, names, _ = _grouped(docs, scratch, n, percent, id_col, text_col)
-    return one_row_each(docs, scratch.write(_topped(rows, names).select("id", "key1", "key2", "top"), "found"), id_col, text_col)
+    found = scratch.write(_topped(rows, names).select("id", "key1", "key2", "top"), "found")
+    for name in ("signed", "names", "placed", "given", "sets", "rooted", "apart", "able", "rest", "pairs", "links-last"):
+        scratch.drop(name)  # else they lie beside all later stages
+    return one_row_each(docs, found, id_col, text_col)
 
 
 @query()

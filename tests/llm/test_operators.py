@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -274,6 +275,15 @@ def test_jaccard_components(docs, empty, scratch, n, percent):
         assert jaccard.jaccard_components(empty, scratch, n, percent).collect() == []
 
 
+def test_near_dedup_leaves_no_large_tables(spark):
+    """What is left beside the result, and so beside later stages of a pipeline, holds no texts, sets or signatures."""
+    own = Scratch(spark, "near")
+    frame = documents(spark, [Row(doc_id=k, text=prose(k // 3, 60) + (" more" if k % 3 == 1 else ""), lang="", source="", n_chars=0) for k in range(60)])
+    left = jaccard.near_dedup(frame, own)
+    assert {p.name for p in Path(own.folder).iterdir()} & {"signed", "names", "placed", "given", "sets"} == set()
+    assert sorted(r.doc_id for r in left.collect()) == list(range(0, 60, 3))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_jaccard_components_on_varied_copies(spark, scratch, seed):
     chance = random.Random(seed)
